@@ -4,10 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ontoloom.llm.leakage import leaked_items
+from ontoloom.llm.mixing import Mixture
 from ontoloom.llm.spans import SharedSpans
 from ontoloom.session import table
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that contain a long run of an item's words, with the item."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("run > 0").select("doc_id", "item_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Run, missing words and coverage of every leaked item, reordered ones included."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture with their copies."""
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).rows()
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with at least 200 consecutive characters in common."""
     return SharedSpans(table(spark, d, "documents")).pairs()
@@ -18,5 +40,5 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return SharedSpans(table(spark, d, "documents")).report()
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_report)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_report, p7_mixture, p7_shares, p8_found, p8_report)}
 ORACLES: dict[str, str] = {}
