@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.functions.iri import expand, local_name
-from ontoloom.operators import eav, hierarchy, orphans
+from ontoloom.operators import anomalies, eav, hierarchy, orphans
 from ontoloom.operators.grid import regular_grid
 from ontoloom.session import table
 
@@ -72,6 +72,20 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.report_missing(hit, [F.col("parent_table"), F.col("subject_type"), F.date_format("load_closed_at", "yyyy-MM").alias("month")])
 
 
+def _implausible(spark: SparkSession, d: str) -> DataFrame:
+    return anomalies.implausible(table(spark, d, "logger"), time_from=YEAR_FROM, time_to=YEAR_TO)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of implausible readings."""
+    return _implausible(spark, d).select("logger_id")
+
+
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of implausible readings with the reasons."""
+    return _implausible(spark, d).select("logger_id", "meter", "time_stamp", "volt", "uptime", anomalies.reason_names(F.col("_reasons")).alias("reasons"))
+
+
 def _properties(spark: SparkSession, d: str, most: int = 10_000) -> dict[str, tuple[str, bool]]:
     """The property schema, a small fixed table; ``most`` proves that the driver can hold it."""
     rows = table(spark, d, "prop_schema").select("p", "range_type", "multi_valued").filter("p is not null").distinct().orderBy("p").limit(most + 1).collect()
@@ -95,4 +109,4 @@ def p5_wide(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d).withColumn("_conflicts", F.concat_ws(" ", "_conflicts")).withColumnRenamed("_conflicts", "conflicts")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_nodes, p2_descendants, p3_found, p3_report, p5_found, p5_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_nodes, p2_descendants, p3_found, p3_report, p4_found, p4_reasons, p5_found, p5_wide)}
