@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ontoloom.session import materialize
+from ontoloom.session import broadcast_if_small, materialize
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -85,9 +85,13 @@ def anchors(text: str, roll: _Roller, k: int, min_len: int) -> tuple[np.ndarray,
 def _anchor_batches(min_len: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = _Roller(1)
+        seen: set[int] = set()  # repeated rows of a task
         for b in batches:
             out = []
-            for cls, text in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()):
+            for cls, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if cls in seen:
+                    continue
+                seen.add(cls)
                 u, lo, hi = anchors(text, roll, k, min_len)
                 if len(u):
                     out.append((u.view(np.int64), np.full(len(u), cls), lo.astype(np.int32), hi.astype(np.int32)))
@@ -242,14 +246,30 @@ class SharedSpans:
             raise ValueError("min_len must be at least 2")
         self.min_len, self.k, self.hot, self.chunk = min_len, max(1, min_len // 2), hot, chunk
         self.spark = docs.sparkSession
-        self.docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(
+        docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(
             F.col("id").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") >= min_len)
-        ).select("id", F.xxhash64("text").alias("cls"), "text")
-        self.members = materialize(self.docs.select("id", "cls", F.xxhash64("text", F.lit(1)).alias("cls2"), F.char_length("text").alias("n")).distinct(), "members")
+        )
+        x, y = F.xxhash64("text").alias("x"), F.xxhash64("text", F.lit(1)).alias("y")
+        texts = docs.select("id", x, y, F.char_length("text").alias("n")).distinct()
+        lead = texts.groupBy("x", "y").agg(F.min("id").alias("lead"))
+        # a text goes by its least id; an id that leads several texts goes by its hash for all but the first
+        twice = lead.groupBy(F.col("lead").alias("id")).agg(F.count("*").alias("k"), F.min(F.struct("x", "y")).alias("first")).filter("k > 1")
+        other = (F.col("first").isNotNull()) & (F.struct("x", "y") != F.col("first"))
+        lead = lead.join(broadcast_if_small(twice.select(F.col("id").alias("lead"), "first"), 40), "lead", "left").select(
+            "x", "y", "lead", F.when(other, F.xxhash64("lead", "x", "y").bitwiseOR(F.lit(-(2**63)))).otherwise(F.col("lead")).alias("cls")
+        )
+        self.members = materialize(texts.join(lead, ["x", "y"]).select("id", "x", "cls", "n", (F.col("id") == F.col("lead")).alias("leads")), "members")
+        special = self.members.filter(~F.col("leads") | (F.col("id") != F.col("cls"))).select("id", "x", "leads", "cls")
+        self.docs = (
+            docs.withColumn("x", F.xxhash64("text"))
+            .join(broadcast_if_small(special, 40), ["id", "x"], "left")
+            .filter(F.coalesce("leads", F.lit(True)))
+            .select(F.coalesce("cls", "id").alias("cls"), "text")
+        )
         self._find()
 
     def _find(self) -> None:
-        found = materialize(self.docs.select("cls", "text").mapInArrow(_anchor_batches(self.min_len, self.k), "h long, cls long, lo int, hi int"), "anchors")
+        found = materialize(self.docs.mapInArrow(_anchor_batches(self.min_len, self.k), "h long, cls long, lo int, hi int"), "anchors")
         recurring = found.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a != b").select("h")
         one = found.join(recurring, "h").groupBy("h", "cls").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         one = materialize(one, "recurring")
@@ -266,9 +286,10 @@ class SharedSpans:
             F.sort_array(F.collect_list("lo")).alias("at"),
             F.max("n").alias("n"),
         )
-        reps = self.members.groupBy("cls").agg(F.min("id").alias("id"))
-        pieces = pieces.join(reps, "cls").groupBy("id", "cls").agg(F.collect_list(F.struct("grp", "start", "stop", "at", "n")).alias("piece"))
-        cut = self.docs.join(pieces, ["id", "cls"]).select("cls", "text", F.explode("piece").alias("p")).select(
+        pieces = pieces.groupBy("cls").agg(F.collect_list(F.struct("grp", "start", "stop", "at", "n")).alias("piece"))
+        having = broadcast_if_small(one.select("cls").distinct(), 24)
+        texts = self.docs.join(having, "cls", "left_semi").dropDuplicates(["cls"])
+        cut = texts.join(pieces, "cls").select("cls", "text", F.explode("piece").alias("p")).select(
             F.col("p.grp").alias("grp"), "cls", F.col("p.start").alias("start"), F.expr("substring(text, p.start + 1, p.stop - p.start)").alias("text"), F.col("p.at").alias("at"), F.col("p.n").alias("n")
         )
         self.cut = materialize(cut, "pieces")
@@ -308,7 +329,7 @@ class SharedSpans:
         """Distinct pairs of ids, ``doc_a < doc_b``, whose texts share at least ``min_len`` characters."""
         m = self.members
         pairs = self.text_pairs().join(m.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-        same = m.alias("l").join(m.alias("r"), (F.col("l.cls") == F.col("r.cls")) & (F.col("l.cls2") == F.col("r.cls2")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
+        same = m.alias("l").join(m.alias("r"), (F.col("l.cls") == F.col("r.cls")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
         both = pairs.unionByName(same).filter("x != y")
         return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
