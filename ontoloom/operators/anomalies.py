@@ -15,7 +15,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +150,11 @@ def summarize(s: Shard, lim: Limits) -> dict:
     t, v = s.t[ok], s.v[ok]
     slot = t // lim.slot
     start = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.empty(0, np.int64)
-    med = v[start] if len(start) == len(v) else np.array([np.median(x) for x in np.split(v, start[1:])]) if len(v) else v
+    med = v[start]
+    if len(start) < len(v):
+        n = np.diff(np.r_[start, len(v)])
+        by_value = v[np.lexsort((v, slot))]
+        med = (by_value[start + (n - 1) // 2] + by_value[start + n // 2]) / 2
     change, times = np.unique(np.round(np.abs(np.diff(v)), 4), return_counts=True)
     head = int(np.searchsorted(t, t[min(lim.run - 1, len(t) - 1)] + lim.level, "right")) if len(t) else 0
     tail = int(np.searchsorted(t, t[-min(lim.run, len(t))] - lim.level, "left")) if len(t) else 0
@@ -273,17 +276,28 @@ def _frozen(x: np.ndarray, before: tuple, after: tuple, least: int) -> np.ndarra
 def spikes(t: np.ndarray, v: np.ndarray, candidates: np.ndarray, limit: float, lim: Limits) -> np.ndarray:
     """The exact test around the candidates: runs of at most ``lim.run`` readings beyond both levels."""
     flag = np.zeros(len(v), bool)
+    near = np.zeros(len(v) + lim.run, bool)
+    for k in range(1 - lim.run, lim.run):  # what a run with a candidate can touch
+        near[np.clip(candidates + k, 0, len(v) - 1)] = True
+    at = np.flatnonzero(near[: len(v)])
+    spans = [np.searchsorted(t, x, side).tolist() for x, side in ((t[at] - lim.level, "left"), (t[at], "left"), (t[at], "right"), (t[at] + lim.level, "right"))]
+    values = v.tolist()
+
+    def median(lo: int, hi: int) -> float:
+        x = sorted(values[lo:hi])
+        n = hi - lo
+        return (x[(n - 1) // 2] + x[n // 2]) / 2 if n else float("nan")
+
+    before = {i: median(lo, hi) for i, lo, hi in zip(at.tolist(), spans[0], spans[1])}
+    after = {i: median(lo, hi) for i, lo, hi in zip(at.tolist(), spans[2], spans[3])}
     for i in candidates.tolist():
-        for n in range(1, lim.run + 1):
-            for a in range(max(0, i - n + 1), min(i, len(v) - n) + 1):
-                b = a + n
-                lo, hi = np.searchsorted(t, t[a] - lim.level, "left"), np.searchsorted(t, t[b - 1] + lim.level, "right")
-                first, after = np.searchsorted(t, t[a], "left"), np.searchsorted(t, t[b - 1], "right")
-                if lo >= first or after >= hi:
-                    continue
-                d = v[a:b] - np.array([[np.median(v[lo:first])], [np.median(v[after:hi])]])
-                if (d > limit).all() or (d < -limit).all():
-                    flag[a:b] = True
+        for a in range(max(0, i - lim.run + 1), i + 1):
+            for b in range(i, min(a + lim.run, len(v))):
+                lo, hi = before[a], after[b]
+                part = values[a : b + 1]
+                if min(part) > max(lo, hi) + limit or max(part) < min(lo, hi) - limit:
+                    if lo == lo and hi == hi:
+                        flag[a : b + 1] = True
     return flag
 
 
@@ -314,32 +328,40 @@ def judge(s: Shard, ctx: dict, lim: Limits) -> np.ndarray:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """Rows of one key after another from batches that are sorted by their first ``keys`` columns."""
-    held: list[pa.RecordBatch] = []
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list]]:
+    """Columns of one key after another, as arrays, from batches that are sorted by their first ``keys`` columns."""
+    held: list[list] = []
     key: tuple | None = None
+
+    def joined() -> list:
+        return held[0] if len(held) == 1 else [np.concatenate(c) for c in zip(*held)]
+
     for b in batches:
         if not b.num_rows:
             continue
         change = np.zeros(b.num_rows, bool)
+        names = []
         for c in range(keys):
             col = b.column(c)
-            x = col.dictionary_encode().indices.to_numpy(zero_copy_only=False) if pa.types.is_string(col.type) else col.to_numpy(zero_copy_only=False)
+            if pa.types.is_string(col.type):
+                coded = col.dictionary_encode()
+                x, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+                names.append((x, words))
+            else:
+                x = col.to_numpy(zero_copy_only=False)
+                names.append((x, None))
             change[1:] |= x[1:] != x[:-1]
+        rest = [b.column(c).to_numpy(zero_copy_only=False) for c in range(keys, b.num_columns)]
         cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
-            here = tuple(b.column(c)[lo].as_py() for c in range(keys))
+            here = tuple(words[x[lo]] if words is not None else int(x[lo]) for x, words in names)
             if here != key:
                 if held:
-                    yield key, pa.Table.from_batches(held)
+                    yield key, joined()
                 held, key = [], here
-            held.append(b.slice(lo, hi - lo))
+            held.append([x[lo:hi] for x in rest])
     if held:
-        yield key, pa.Table.from_batches(held)
-
-
-def _shard(t: pa.Table) -> Shard:
-    return Shard(*(t.column(c).to_numpy() for c in ("t", "v", "u")))
+        yield key, joined()
 
 
 def _flush(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -350,7 +372,7 @@ def _sum_batches(lim: Limits) -> Callable:
     def run(batches):
         rows = []
         for (source, shard), part in _groups(batches, 2):
-            rows.append((source, shard, pickle.dumps(summarize(_shard(part), lim))))
+            rows.append((source, shard, pickle.dumps(summarize(Shard(*part), lim))))
             if len(rows) >= 500:
                 yield _flush(rows, ["s", "shard", "sums"], [pa.string(), pa.int64(), pa.binary()])
                 rows = []
@@ -363,23 +385,27 @@ def _sum_batches(lim: Limits) -> Callable:
 def _context_batches(lim: Limits) -> Callable:
     def run(batches):
         for (source,), part in _groups(batches, 1):
-            shards = part.column("shard").to_pylist()
-            got = contexts([pickle.loads(x) for x in part.column("sums").to_pylist()], lim)
-            yield _flush([(source, k, pickle.dumps(c)) for k, c in zip(shards, got)], ["s", "shard", "ctx"], [pa.string(), pa.int64(), pa.binary()])
+            got = contexts([pickle.loads(x) for x in part[1]], lim)
+            yield _flush([(source, int(k), pickle.dumps(c)) for k, c in zip(part[0], got)], ["s", "shard", "ctx"], [pa.string(), pa.int64(), pa.binary()])
 
     return run
 
 
 def _judge_batches(lim: Limits) -> Callable:
+    names, types = ["s", "t", "v", "u", "reasons"], [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int32()]
+
     def run(batches):
-        for (source, _), part in _groups(batches, 2):
-            ctx = pickle.loads(part.column("ctx")[0].as_py())  # the context sorts first
-            rows = part.slice(1)
-            reasons = judge(_shard(rows), ctx, lim)
+        rows: list[tuple] = []
+        for (source, _), (ctx, t, v, u) in _groups(batches, 2):
+            part = Shard(t[1:], v[1:], u[1:])  # the context sorts first
+            reasons = judge(part, pickle.loads(ctx[0]), lim)
             hit = np.flatnonzero(reasons)
-            if len(hit):
-                take = pc.take(rows.select(["s", "t", "v", "u"]), pa.array(hit)).combine_chunks()
-                yield pa.RecordBatch.from_arrays([*(take.column(c).combine_chunks() for c in ("s", "t", "v", "u")), pa.array(reasons[hit])], names=["s", "t", "v", "u", "reasons"])
+            rows.extend((source, *x) for x in zip(part.t[hit].tolist(), part.v[hit].tolist(), part.u[hit].tolist(), reasons[hit].tolist()))
+            if len(rows) >= 5000:
+                yield _flush(rows, names, types)
+                rows = []
+        if rows:
+            yield _flush(rows, names, types)
 
     return run
 
@@ -416,8 +442,7 @@ def implausible(
     sums = one.drop("ctx").repartition(parts, "s", "shard").sortWithinPartitions("s", "shard", "t", "v", "u").mapInArrow(_sum_batches(lim), "s string, shard long, sums binary")
     ctx = sums.repartition(parts, "s").sortWithinPartitions("s", "shard").mapInArrow(_context_batches(lim), "s string, shard long, ctx binary")
     ctx = materialize(ctx, "contexts")
-    null = F.lit(None)
-    both = one.unionByName(ctx.select("s", "shard", "ctx", F.lit(-(2**62)).cast("long").alias("t"), null.cast("double").alias("v"), null.cast("long").alias("u")))
+    both = one.unionByName(ctx.select("s", "shard", "ctx", F.lit(-(2**62)).cast("long").alias("t"), F.lit(0.0).alias("v"), F.lit(0).cast("long").alias("u")))
     hits = (
         both.repartition(parts, "s", "shard")
         .sortWithinPartitions("s", "shard", F.col("ctx").isNull(), "t", "v", "u")
