@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontoloom.llm.spans import slices
+
 SEED = 5  #: words of a seed
 BAND = 16  #: width of a diagonal band in words
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -250,7 +252,7 @@ def leaked_items(
 
 def _batches(shared, rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [(d, *r) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in find_in(t, shared.value, rule)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["doc_id", "item_id", "run", "missing", "coverage"])

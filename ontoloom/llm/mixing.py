@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ontoloom.llm.spans import slices
 from ontoloom.session import materialize
 
 #: Default place of the public tokenizer's ranks.
@@ -44,7 +45,7 @@ def token_counts(docs: DataFrame, text: str, name: str, tokenizer: str = TOKENIZ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _encoding(ranks.value).encode_ordinary
-        for b in batches:
+        for b in slices(batches):
             n = pa.array([0 if t is None else len(count(t)) for t in b.column(b.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*b.schema.names[:-1], name])
 

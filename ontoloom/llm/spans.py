@@ -25,9 +25,18 @@ from ontoloom.session import broadcast_if_small, materialize
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+BLOCK = 1 << 18  #: characters that are hashed at once; longer texts go in overlapping blocks
+ROWS = 256  #: rows of a batch that are turned into Python strings at once
 _KEY = 40  #: characters of a passage that the automaton holds; the rest is compared where they occur
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that few texts are held as Python strings."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 class _Roller:
     """64-bit polynomial hashes of all substrings of one length."""
 
@@ -71,14 +80,18 @@ def _slide(a: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
 def anchors(text: str, roll: _Roller, k: int, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct anchor hashes of a text with the first and last position where each was chosen."""
     w = min_len - k + 1
-    h = roll(text, k)
-    if len(h) < w:
-        return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 2
-    least = _slide(h, w, np.minimum)
+    hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     pad = np.zeros(w - 1, np.uint64)
-    at = np.flatnonzero(_slide(np.r_[pad, least, pad], w, np.maximum) == h)
-    u, first = np.unique(h[at], return_index=True)
-    last = len(at) - 1 - np.unique(h[at][::-1], return_index=True)[1]
+    for start in range(0, max(1, len(text) - min_len + 1), BLOCK):  # every window lies whole in one block
+        h = roll(text[start : start + BLOCK + min_len - 1], k)
+        if len(h) >= w:
+            least = _slide(h, w, np.minimum)
+            at = np.flatnonzero(_slide(np.r_[pad, least, pad], w, np.maximum) == h)
+            hashes.append(h[at])
+            places.append(at + start)
+    h, at = np.concatenate(hashes), np.concatenate(places)
+    u, first = np.unique(h, return_index=True)
+    last = len(at) - 1 - np.unique(h[::-1], return_index=True)[1]
     return u, at[first], at[last]
 
 
@@ -86,7 +99,7 @@ def _anchor_batches(min_len: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = _Roller(1)
         seen: set[int] = set()  # repeated rows of a task
-        for b in batches:
+        for b in slices(batches):
             out = []
             for cls, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if cls in seen:
@@ -197,7 +210,7 @@ def _confirm_batches(min_len: int, k: int, extents: bool, chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, group, rows = _Shard(min_len, k, extents), None, []
-        for b in batches:
+        for b in slices(batches):
             for g, cls, start, text, at in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if g != group:
                     if rows:
@@ -219,16 +232,15 @@ def _window_batches(min_len: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = _Roller(1), _Roller(2)
-        for b in batches:
+        for b in slices(batches):
             for cls, start, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                g = one(text, min_len)
-                if not len(g):
-                    continue
-                _, keep = np.unique(g, return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[keep].view(np.int64)), pa.array(two(text, min_len)[keep].view(np.int64)), pa.array(np.full(len(keep), cls)), pa.array((start + keep).astype(np.int64))],
-                    names=["g", "g2", "cls", "at"],
-                )
+                for at in range(0, max(1, len(text) - min_len + 1), BLOCK):
+                    part = text[at : at + BLOCK + min_len - 1]
+                    g = one(part, min_len)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(g.view(np.int64)), pa.array(two(part, min_len).view(np.int64)), pa.array(np.full(len(g), cls, np.int64)), pa.array((start + at + np.arange(len(g))).astype(np.int64))],
+                        names=["g", "g2", "cls", "at"],
+                    )
 
     return run
 
@@ -241,7 +253,7 @@ class SharedSpans:
     tables give no rows; other columns are not read. Equal texts are handled once and paired at the end.
     """
 
-    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_len: int = 200, hot: int = 64, chunk: int = 2_000_000) -> None:
+    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_len: int = 200, hot: int = 64, chunk: int = 1_000_000) -> None:
         if min_len < 2:
             raise ValueError("min_len must be at least 2")
         self.min_len, self.k, self.hot, self.chunk = min_len, max(1, min_len // 2), hot, chunk
