@@ -158,17 +158,15 @@ class Updater:
         cat = self.catalog
         named = {t.p.value for t in template if isinstance(t.p, Iri)}
         any_prop = any(isinstance(t.p, Var) for t in template)
-        props = {i: p for i, p in cat.all_properties().items() if (any_prop or i in named) and i not in (TYPE, SELF, ID) and not p.const and p.computed is None and p.inverse is None}
         event = "insert" if insert else "delete"
-        for name in props:
-            hook = cat.triggers.get((name, event))
-            if hook is not None:
+        for (name, when), hook in cat.triggers.items():
+            if when == event and (any_prop or name in named):
                 own = hook(triples.filter(F.col("p") == name).select("s", "p", "o", "r", "n"))
                 triples = triples.filter(F.col("p") != name).unionByName(own.select("s", "p", "o", "r", "n"))
         tables: dict[str, tuple[DataFrame, str]] = {}
         for c in classes:
             d = cat.classes[c]
-            mine = {i: p for i, p in cat.properties(c).items() if i in props}
+            mine = {i: p for i, p in cat.properties(c).items() if (any_prop or i in named) and i not in (TYPE, SELF, ID) and not p.const and p.computed is None and p.inverse is None}
             if not mine or d.read_only or d.table is None:
                 continue
             tables[c] = (self._changed(d, mine, triples, insert), d.prefix)
