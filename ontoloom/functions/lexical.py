@@ -8,7 +8,10 @@ from pyspark.sql import types as T
 
 
 def general_float(x: Column) -> Column:
-    """A number in the shortest of fixed or exponent form with six significant digits, no trailing zeros."""
+    """A number in the shortest of fixed or exponent form with six significant digits, no trailing zeros.
+
+    Halves are rounded up from the shortest decimal form of the number.
+    """
     x = x.cast("double")
     sci = F.format_string("%.5e", x)
     exponent = F.element_at(F.split(sci, "e"), -1).cast("int")
