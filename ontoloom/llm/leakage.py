@@ -45,7 +45,7 @@ class Rule(NamedTuple):
     run: int = 30
     per: int = 10
     slack: int = 1
-    insert: int = 16  #: document words that may stand between two tiles of a run
+    insert: int = 6  #: document words that may stand between two tiles of a run
     coverage: float = 0.6  #: share of an item, in any order, from which it is reported too
 
 
