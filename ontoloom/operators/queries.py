@@ -28,17 +28,21 @@ def p1_grid(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d).withColumnRenamed("source", "meter")
 
 
-def _trees(spark: SparkSession, d: str) -> DataFrame:
+def _links(spark: SparkSession, d: str) -> DataFrame:
     now = hierarchy.current_version(table(spark, d, "equipment"), "equipment_id", "time_stamp")
     part = hierarchy.links_of(now, "part_of", local_name(expand(F.col("equipment_id"), bare=True)), local_name(expand(F.col("part_of"), bare=True)))
     cls = table(spark, d, "rdf_class")
     sub = hierarchy.links_of(cls, "sub_class_of", local_name(expand(F.col("class_id"), bare=True)), local_name(expand(F.col("sub_class_of"), bare=True)))
-    return hierarchy.hierarchy(part.unionByName(sub))
+    return part.unionByName(sub)
+
+
+def _trees(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchy(_links(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that lie on a cycle of parent links."""
-    return _trees(spark, d).filter("on_cycle").select("tree", "node_id")
+    return hierarchy.cycles(_links(spark, d))
 
 
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
