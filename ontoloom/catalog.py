@@ -92,6 +92,8 @@ class ClassDef:
     comment: str = ""
     read_only: bool = False
     hidden: frozenset[str] = frozenset()
+    versioned: str | None = None  # a property whose changes keep the old state, linked by obj:prev and obj:next
+    render: Callable[[DataFrame], DataFrame] | None = None  # rows to one column of text
 
 
 @dataclass

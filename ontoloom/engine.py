@@ -8,7 +8,7 @@ from ontoloom.catalog import Catalog
 from ontoloom.plans.parser import parse
 from ontoloom.plans.planner import Planner, key_of
 from ontoloom.plans.terms import Describe, Select
-from ontoloom.plans.update import apply_changes
+from ontoloom.plans.update import apply_changes, clone, rename
 
 
 class Engine:
@@ -39,6 +39,14 @@ class Engine:
     def describe(self, iri: str) -> DataFrame:
         return self.query(f"DESCRIBE <{iri}>")
 
+    def clone(self, iri: str, new: str) -> None:
+        """Copy a resource under another IRI."""
+        self.catalog = clone(self.catalog, iri, new)
+
+    def rename(self, iri: str, new: str) -> None:
+        """Change a resource's IRI, and every link to it."""
+        self.catalog = rename(self.catalog, iri, new)
+
     def lookup(self, iri: str, cls: str | None = None) -> DataFrame:
         """The row of a resource, as its class stores it; of the given class or the first whose keys fit."""
         for c in self.catalog.concrete([cls] if cls else None):

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.engine import Engine
-from ontoloom.functions.lexical import duration, first_word, general_float, hex_in, percent_decode, percent_encode
+from ontoloom.functions.lexical import distance_km, duration, first_word, general_float, hex_in, percent_decode, percent_encode
+from ontoloom.functions.xml import xml_digest
 from ontoloom.operators import history, timeseries
 from ontoloom.session import table
 from ontoloom.shop import EX, shop
@@ -201,6 +202,14 @@ def ts_delta(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.counter_delta(_log(spark, d), source="meter", time="time_stamp", counter="data_bytes", uptime="uptime", tie="logger_id").select("logger_id", "delta")
 
 
+@_query(f"""select meter, sum(delta) as total from (select meter, case when pt < time_stamp - uptime then coalesce(data_bytes, 0) else coalesce(data_bytes, 0) - coalesce(pd, 0) end as delta
+ from (select *, lag(time_stamp) over w as pt, lag(data_bytes) over w as pd from {_LOG} window w as (partition by meter order by time_stamp, logger_id)) where pt is not null) group by 1""")
+def ts_total(spark: SparkSession, d: str) -> DataFrame:
+    """Data used by each meter over all restarts."""
+    delta = timeseries.counter_delta(_log(spark, d), source="meter", time="time_stamp", counter="data_bytes", uptime="uptime", tie="logger_id")
+    return delta.filter("delta is not null").groupBy("meter").agg(F.sum("delta").alias("total"))
+
+
 @_query(f"""with f as (select *, case when lag(time_stamp) over w is null or time_stamp - lag(time_stamp) over w > 3600 or n_client is distinct from lag(n_client) over w then 1 else 0 end as flag from {_LOG} window w as (partition by meter order by time_stamp, logger_id)),
  i as (select *, sum(flag) over (partition by meter order by time_stamp, logger_id rows unbounded preceding) as island from f)
  select meter, n_client, min(time_stamp) as start, max(time_stamp) as stop, count(*) as n from i group by meter, island, n_client""")
@@ -268,6 +277,21 @@ def fn_lexical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", hex_in(F.lower(F.hex(F.col("p_size").cast("long")))).alias("back"), general_float(F.col("p_retailprice")).alias("g"))
 
 
+@_query("select a.site_id as a, b.site_id as b, 2 * 6371.0 * asin(sqrt(pow(sin(radians(b.geo_lat::double - a.geo_lat::double) / 2), 2) + cos(radians(a.geo_lat::double)) * cos(radians(b.geo_lat::double)) * pow(sin(radians(b.geo_long::double - a.geo_long::double) / 2), 2))) > 100 as far from sites a join sites b on a.organization = b.organization and a.row_id < b.row_id where a.site_id is not null and b.site_id is not null")
+def fn_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Whether two sites of one organization lie over 100 km apart."""
+    t = table(spark, d, "sites").select("row_id", "site_id", "organization", F.col("geo_lat").cast("double").alias("lat"), F.col("geo_long").cast("double").alias("lon")).filter("site_id is not null")
+    a, b = t.alias("a"), t.alias("b")
+    j = a.join(b, (F.col("a.organization") == F.col("b.organization")) & (F.col("a.row_id") < F.col("b.row_id")))
+    return j.select(F.col("a.site_id").alias("a"), F.col("b.site_id").alias("b"), (distance_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) > 100).alias("far"))
+
+
+@_query("select p_partkey, md5('<p>' || p_name || '</p>') as digest from part")
+def fn_xml_digest(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of an XML document whose spelling differs from the canonical one."""
+    return table(spark, d, "part").select("p_partkey", xml_digest(F.concat(F.lit("<p >"), "p_name", F.lit("</p >"))).alias("digest"))
+
+
 # sinks
 
 

@@ -216,8 +216,22 @@ class Updater:
                 out[p.name] = F.when(F.size(new) > 0, F.aggregate(new, old, _dropper(b))).otherwise(old)
             else:
                 out[p.name] = F.when(F.array_contains(new, text_of(old, b)), _default(p, kind)).otherwise(old)
+        if d.versioned in props:
+            return self._versions(d, props[d.versioned].name, joined, out)
         return joined.select(*[c.alias(n) for n, c in out.items()])
 
+    def _versions(self, d: ClassDef, changed: str, joined: DataFrame, out: dict[str, Column]) -> DataFrame:
+        """Changed rows twice: the new state, whose ``prev`` is a copy of the old state, whose ``next`` is the row."""
+        names = list(out)
+        if "prev" not in names or "next" not in names or d.prefix:
+            raise CatalogError(f"{d.iri} is versioned but has no prev and next, or has native keys")
+        copy = F.concat(F.lit("_:v"), F.hex(F.xxhash64(F.lit(self.catalog.version), *[F.col(f"`{n}`") for n in names])))
+        new = F.struct(*[(copy if n == "prev" else out[n]).alias(n) for n in names])
+        old = F.struct(*[(copy if n == "id" else F.col("id") if n == "next" else F.col(f"`{n}`")).alias(n) for n in names])
+        plain = F.struct(*[out[n].alias(n) for n in names])
+        is_new = ~out[changed].eqNullSafe(F.col(f"`{changed}`"))
+        return joined.select(F.inline(F.when(is_new, F.array(new, old)).otherwise(F.array(plain))))
+
     def _reader(self, p: PropertyDef, b: Binding, kind: T.DataType):
         return lambda x: self._read(x, p, b, kind)
 
@@ -260,6 +274,50 @@ class Updater:
                 self._apply(triples, template, insert, self._classes(template, names, s))
 
 
+def clone(catalog: Catalog, iri: str, new: str) -> Catalog:
+    """A copy of a resource under another IRI, in the same class."""
+    u = Updater(catalog)
+    cls = u._exists(iri)
+    if cls is None or u._exists(new) is not None:
+        raise CatalogError(f"{iri} does not exist, or {new} does")
+    d = catalog.classes[cls]
+    key, to = key_of(iri, d), key_of(new, d)
+    if to is None:
+        raise CatalogError(f"{new} cannot be an instance of {cls}")
+    row = d.table.filter(F.col("id") == key).select(*[(to.cast(f.dataType) if f.name == "id" else F.col(f"`{f.name}`")).alias(f.name) for f in d.table.schema])
+    return catalog.with_tables({cls: (d.table.unionByName(row), d.prefix)})
+
+
+def rename(catalog: Catalog, iri: str, new: str) -> Catalog:
+    """A resource under another IRI, with every link that led to it."""
+    u = Updater(catalog)
+    cls = u._exists(iri)
+    if cls is None or u._exists(new) is not None:
+        raise CatalogError(f"{iri} does not exist, or {new} does")
+    d = catalog.classes[cls]
+    if key_of(new, d) is None:
+        raise CatalogError(f"{new} cannot be an instance of {cls}")
+    planner = Planner(catalog)
+    tables = {}
+    for c in catalog.concrete():
+        e = catalog.classes[c]
+        cols = {f.name: F.col(f"`{f.name}`") for f in e.table.schema}
+        if c == cls:
+            cols["id"] = F.when(F.col("id") == key_of(iri, d), key_of(new, d)).otherwise(F.col("id")).cast(e.table.schema["id"].dataType)
+        for p in catalog.properties(c).values():
+            if p.is_literal or p.computed is not None or p.inverse is not None or not catalog.is_a(cls, p.range):
+                continue
+            prefix = planner.link_prefix(p.range)[0]
+            old, to = (key_of(x, d) if prefix else F.lit(x) for x in (iri, new))
+            cols[p.name] = _moved(cols[p.name], p.multi, old, to).cast(e.table.schema[p.name].dataType)
+        tables[c] = (e.table.select(*[x.alias(n) for n, x in cols.items()]), e.prefix)
+    return catalog.with_tables(tables)
+
+
+def _moved(c: Column, multi: bool, old: Column, new: Column) -> Column:
+    return F.transform(c, lambda x: F.when(x == old, new).otherwise(x)) if multi else F.when(c == old, new).otherwise(c)
+
+
 def _without(a: Column, at: Column) -> Column:
     """An array without the item at position ``at`` (from 1)."""
     return F.filter(a, lambda x, i: i + 1 != at)

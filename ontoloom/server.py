@@ -60,6 +60,9 @@ def serve(engine: Engine, port: int = 0, host: str = "127.0.0.1") -> ThreadingHT
             elif url.path.startswith("/rest"):
                 status, body = writers.rest(engine.catalog, unquote(url.path))
                 self._send(status, "application/json", body)
+            elif url.path.startswith("/r/"):
+                body = writers.rendered(engine.catalog, unquote(url.path[3:]))
+                self._send(200 if body is not None else 404, "text/plain", body if body is not None else "not found")
             elif url.path.startswith("/data/"):
                 self._query(f"DESCRIBE <{unquote(url.path[6:])}>", "xml")
             else:

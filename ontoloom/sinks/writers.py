@@ -239,3 +239,15 @@ def rest(catalog: Catalog, path: str, most: int = 1000) -> tuple[int, str]:
             if got:
                 return 200, got[0].value
     return 404, json.dumps({"error": "not found"})
+
+
+def rendered(catalog: Catalog, iri: str) -> str | None:
+    """A resource as its class renders it; None if it has no such class or does not exist."""
+    for c in catalog.concrete():
+        d = catalog.classes[c]
+        key = key_of(iri, d) if d.render is not None else None
+        if key is not None:
+            got = d.render(d.table.filter(F.col("id") == key)).limit(1).collect()
+            if got:
+                return got[0][0]
+    return None

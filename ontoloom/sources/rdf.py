@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from xml.etree import ElementTree
 
@@ -252,6 +252,7 @@ def reified(triples: DataFrame) -> DataFrame:
     return about.dropDuplicates(["s", "p"]).groupBy("s").agg(pick("subject"), pick("predicate"), pick("object"), meta).drop("s")
 
 
-def load(catalog: Catalog, path: str, form: str = "rdfxml") -> Loaded:
-    """Read and merge the files below ``path``."""
-    return load_triples(catalog, read_triples(catalog.spark, path, form, catalog.base))
+def load(catalog: Catalog, path: str, form: str = "rdfxml", after: Callable[[Catalog], Catalog] | None = None) -> Loaded:
+    """Read and merge the files below ``path``; ``after`` may change the catalog once all resources are there."""
+    out = load_triples(catalog, read_triples(catalog.spark, path, form, catalog.base))
+    return replace(out, catalog=after(out.catalog)) if after else out
