@@ -35,7 +35,38 @@ _CELLS = rf"""st as (select {_name('subject')} as subject, {_name('p')} as p, {_
    else v end as c
   from st join ps on ps.p = st.p where st.subject is not null and v <> '')"""
 
+_READINGS = """r as (select distinct meter, time_stamp as t, case when volt is null or isnan(volt) or volt = -1 then null else volt::double end as v, uptime as u
+   from logger where meter is not null and time_stamp >= 1546300800 and time_stamp < 1577836800),
+ fv as (select meter, t, v, u, count(*) over (partition by meter, g) as n from (select *, sum(c) over (partition by meter order by t, v, u) as g from
+   (select *, case when v is distinct from lag(v) over (partition by meter order by t, v, u) then 1 else 0 end as c from r where v is not null))),
+ fu as (select meter, t, v, u, count(*) over (partition by meter, g) as n from (select *, sum(c) over (partition by meter order by t, v, u) as g from
+   (select *, case when u is distinct from lag(u) over (partition by meter order by t, v, u) then 1 else 0 end as c from r where u is not null))),
+ ok as (select *, row_number() over (partition by meter order by t, v, u) as i from r where v >= 0 and v <= 60),
+ lim as (select meter, greatest(0.5, 8 * median(d)) as l from (select meter, round(abs(v - lag(v) over (partition by meter order by i)), 4) as d from ok) group by meter),
+ lv as (select *, median(v) over (partition by meter order by t range between 3600 preceding and 1 preceding) as lo,
+   median(v) over (partition by meter order by t range between 1 following and 3600 following) as hi from ok),
+ runs as (select a.meter, a.i, b.i as j from lv a join lv b on b.meter = a.meter and b.i between a.i and a.i + 2 join ok m on m.meter = a.meter and m.i between a.i and b.i join lim on lim.meter = a.meter
+   where a.lo is not null and b.hi is not null group by a.meter, a.i, b.i, a.lo, b.hi, l having min(m.v) > greatest(a.lo, b.hi) + l or max(m.v) < least(a.lo, b.hi) - l),
+ z as (select meter, t, v, u, u - t as z, row_number() over (partition by meter order by t, v, u) as i from fu where n < 12 and u >= 0 and u <= 315360000),
+ st as (select meter, i, z as sound, false as flag from z where i = 1
+   union all select z.meter, z.i, case when z.z > st.sound + 3600 then st.sound else z.z end, z.z > st.sound + 3600 from st join z on z.meter = st.meter and z.i = st.i + 1),
+ bad as (select meter, t, v, u from fv where n >= 12 union select meter, t, v, u from fu where n >= 12
+   union select meter, t, v, u from r where v < 0 or v > 60 or u < 0 or u > 315360000
+   union select ok.meter, ok.t, ok.v, ok.u from ok join runs on runs.meter = ok.meter and ok.i between runs.i and runs.j
+   union select z.meter, z.t, z.v, z.u from z join st on st.meter = z.meter and st.i = z.i where st.flag)"""
+
 ORACLES = {
+    "p4_found": f"""with recursive {_READINGS} select logger_id from logger g where exists (select 1 from bad b where b.meter = g.meter and b.t = g.time_stamp
+  and b.v is not distinct from case when volt is null or isnan(volt) or volt = -1 then null else volt::double end and b.u is not distinct from g.uptime)""",
+    "p2_nodes": f"""with recursive {_LINKS}, nodes as (select tree, node from up union select tree, parent from up union select 'part_of', node from eq where node is not null
+   union select 'sub_class_of', {_name('class_id')} from rdf_class where {_name('class_id')} is not null),
+ first as (select tree, node, min(parent) as parent from up group by all),
+ walk as (select tree, node, node as top, [node] as path from nodes
+   union all select w.tree, w.node, f.parent, list_prepend(f.parent, w.path) from walk w join first f on f.tree = w.tree and f.node = w.top where not list_contains(w.path, f.parent)),
+ longest as (select tree, node, max_by(top, len(path)) as top, max_by(path, len(path)) as path from walk group by all),
+ n as (select tree, node, count(distinct above) as n from closure group by all)
+ select l.tree, l.node as node_id, array_to_string(l.path, '/') as path, len(l.path) - 1 as depth, case when f.node is null then l.top end as root, coalesce(n.n, 0) as n_ancestors
+ from longest l left join first f on f.tree = l.tree and f.node = l.top left join n on n.tree = l.tree and n.node = l.node""",
     "p1_found": f"""with k as (select distinct meter, time_stamp // 600 as k from logger where {_USABLE}),
  span as (select meter, min(k) as a, max(k) as b from k group by meter),
  every as (select meter, unnest(range(a, b + 1)) as k from span)
