@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,12 +83,15 @@ class PropertyDef:
 
 @dataclass(frozen=True)
 class ClassDef:
-    """A class: ``table`` has ``id`` (the key after ``prefix``) and a column per stored property; None is abstract."""
+    """A class: its table has ``id`` (the key after ``prefix``) and a column per stored property; None is abstract.
+
+    ``rows`` may be a function that reads the table, so that a query opens only the classes that it touches.
+    """
 
     iri: str
     extends: str | None = None
     properties: tuple[PropertyDef, ...] = ()
-    table: DataFrame | None = None
+    rows: DataFrame | Callable[[], DataFrame] | None = None
     prefix: str = ""
     comment: str = ""
     read_only: bool = False
@@ -95,6 +99,10 @@ class ClassDef:
     versioned: str | None = None  # a property whose changes keep the old state, linked by obj:prev and obj:next
     render: Callable[[DataFrame], DataFrame] | None = None  # rows to one column of text
 
+    @cached_property
+    def table(self) -> DataFrame | None:
+        return self.rows() if callable(self.rows) else self.rows
+
 
 @dataclass
 class Catalog:
@@ -121,7 +129,7 @@ class Catalog:
 
     def with_tables(self, tables: dict[str, tuple[DataFrame, str]]) -> Catalog:
         """The next version, with other tables and key prefixes for some classes."""
-        new = {i: dataclasses.replace(self.classes[i], table=t, prefix=p) for i, (t, p) in tables.items()}
+        new = {i: dataclasses.replace(self.classes[i], rows=t, prefix=p) for i, (t, p) in tables.items()}
         return dataclasses.replace(self, classes={**self.classes, **new}, version=self.version + 1)
 
     def with_trigger(self, prop: str, event: str, f: Callable[[DataFrame], DataFrame]) -> Catalog:
@@ -158,7 +166,7 @@ class Catalog:
         return [c for c in self.classes if self.is_a(c, iri)]
 
     def concrete(self, among: Iterable[str] | None = None) -> list[str]:
-        return [c for c in (self.classes if among is None else among) if self.classes[c].table is not None]
+        return [c for c in (self.classes if among is None else among) if self.classes[c].rows is not None]
 
     def properties(self, iri: str) -> dict[str, PropertyDef]:
         """Own and inherited properties that are visible, inherited first."""
@@ -203,8 +211,8 @@ class Catalog:
             for c in self.classes.values()
         ]
         prows = [(p.iri, self.domains(p.iri), p.range, p.sub_property_of) for p in props.values()]
-        cdf = self.spark.createDataFrame(crows, "id string, subClassOf array<string>, superClassOf array<string>, comment string, isDefinedBy string, sizeOf int, hashOf string")
-        pdf = self.spark.createDataFrame(prows, "id string, domain array<string>, range string, subPropertyOf string")
+        cdf = lambda: self.spark.createDataFrame(crows, "id string, subClassOf array<string>, superClassOf array<string>, comment string, isDefinedBy string, sizeOf int, hashOf string")
+        pdf = lambda: self.spark.createDataFrame(prows, "id string, domain array<string>, range string, subPropertyOf string")
         cp = (
             PropertyDef(RDFS + "subClassOf", CLASS, multi=True),
             PropertyDef(OBJ + "superClassOf", CLASS, multi=True),
@@ -219,8 +227,8 @@ class Catalog:
 
     def cardinalities(self) -> DataFrame:
         """``id, cardinality``: rows of each class's own pool, one aggregate per table."""
-        parts = [c.table.agg(F.count("*").alias("cardinality")).select(F.lit(c.iri).alias("id"), "cardinality") for c in self.classes.values() if c.table is not None]
-        none = [(c.iri, 0) for c in self.classes.values() if c.table is None]
+        parts = [c.table.agg(F.count("*").alias("cardinality")).select(F.lit(c.iri).alias("id"), "cardinality") for c in self.classes.values() if c.rows is not None]
+        none = [(c.iri, 0) for c in self.classes.values() if c.rows is None]
         out = self.spark.createDataFrame(none, "id string, cardinality long")
         for p in parts:
             out = out.unionByName(p)

@@ -111,7 +111,7 @@ class Updater:
         props = self.catalog.properties(cls)
         if c.read_only:
             raise CatalogError(f"{cls} is read-only")
-        if c.table is None:
+        if c.rows is None:
             schema = T.StructType([T.StructField("id", T.StringType())] + [T.StructField(p.name, p.type_of(T.StringType())) for p in props.values() if p.computed is None and p.inverse is None])
             c = ClassDef(c.iri, c.extends, c.properties, self.catalog.spark.createDataFrame([], schema), "", c.comment, c.read_only, c.hidden)
             self.catalog = self.catalog.with_tables({cls: (c.table, "")})
@@ -167,7 +167,7 @@ class Updater:
         for c in classes:
             d = cat.classes[c]
             mine = {i: p for i, p in cat.properties(c).items() if (any_prop or i in named) and i not in (TYPE, SELF, ID) and not p.const and p.computed is None and p.inverse is None}
-            if not mine or d.read_only or d.table is None:
+            if not mine or d.read_only or d.rows is None:
                 continue
             tables[c] = (self._changed(d, mine, triples, insert), d.prefix)
         self.catalog = cat.with_tables(tables)
@@ -343,7 +343,7 @@ def apply_changes(catalog: Catalog, changes: list[Change]) -> tuple[Catalog, lis
     u.run(changes)
     out = u.catalog
     if out.version // CUT_AFTER > catalog.version // CUT_AFTER:
-        changed = {c: (materialize(d.table, "class"), d.prefix) for c, d in out.classes.items() if d.table is not None and d.table is not catalog.classes[c].table}
+        changed = {c: (materialize(d.table, "class"), d.prefix) for c, d in out.classes.items() if d.rows is not None and d.rows is not catalog.classes[c].rows}
         version = out.version
         out = out.with_tables(changed)
         out.version = version

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +21,24 @@ def _p(name: str, kind: str, **kw) -> PropertyDef:
     return PropertyDef(EX + name, kind if ":" in kind else EX + kind, **kw)
 
 
-def _t(df: DataFrame, key: str | None, cols: dict[str, str], **computed) -> DataFrame:
-    """The class table: ``id`` from the key, properties from columns."""
-    ident = F.col(key) if key else F.concat(F.lit("_:"), F.xxhash64(*df.columns).cast("string"))
-    return df.select(ident.alias("id"), *[F.col(c).alias(n) for n, c in cols.items()], *[c.alias(n) for n, c in computed.items()])
+def _t(read: Callable[[], DataFrame], key: str | None, cols: dict[str, str]) -> Callable[[], DataFrame]:
+    """Reads a class table: ``id`` from the key (or from all columns), properties from columns."""
+
+    def rows() -> DataFrame:
+        df = read()
+        ident = F.col(key) if key else F.concat(F.lit("_:"), F.xxhash64(*df.columns).cast("string"))
+        return df.select(ident.alias("id"), *[F.col(c).alias(n) for n, c in cols.items()])
+
+    return rows
 
 
 def shop(spark: SparkSession, d: str) -> Catalog:
     """Classes, properties and lazily read tables of one folder."""
-    t = lambda n: table(spark, d, n)
-    orders = t("orders")
+    t = lambda n: lru_cache(lambda: table(spark, d, n))
+    orders, events = t("orders"), t("events")
     cat = Catalog(spark).with_namespace("ex", EX)
 
-    def add(name: str, props: list[PropertyDef], df: DataFrame | None = None, prefix: str = "", extends: str | None = None, **kw) -> None:
+    def add(name: str, props: list[PropertyDef], df: Callable[[], DataFrame] | None = None, prefix: str = "", extends: str | None = None, **kw) -> None:
         nonlocal cat
         cat = cat.with_class(ClassDef(EX + name, EX + extends if extends else None, tuple(props), df, EX + prefix if prefix else "", **kw))
 
@@ -39,7 +47,7 @@ def shop(spark: SparkSession, d: str) -> Catalog:
     add("Party", [_p("name", STRING), _p("nation", "Nation"), _p("acctbal", DOUBLE)])
     add(
         "Customer",
-        [_p("mktsegment", STRING), _p("order", "Order", multi=True, inverse=lambda: orders.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("value")))],
+        [_p("mktsegment", STRING), _p("order", "Order", multi=True, inverse=lambda: orders().select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("value")))],
         _t(t("customer"), "c_custkey", {"name": "c_name", "nation": "c_nationkey", "acctbal": "c_acctbal", "mktsegment": "c_mktsegment"}), "customer_", "Party",
     )
     add("Supplier", [], _t(t("supplier"), "s_suppkey", {"name": "s_name", "nation": "s_nationkey", "acctbal": "s_acctbal"}), "supplier_", "Party")
@@ -66,9 +74,8 @@ def shop(spark: SparkSession, d: str) -> Catalog:
             _p("ts_v", STRING, computed=lambda: F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")),
         ],
     )
-    events = t("events")
     for e in EVENTS:
-        add(f"{e}Event", [], _t(events.filter(F.col("event_type") == e.lower()), "event_id", {"ts": "ts", "user": "user_id", "value": "value", "props": "props"}), "event_", "Event")
+        add(f"{e}Event", [], _t(lambda e=e: events().filter(F.col("event_type") == e.lower()), "event_id", {"ts": "ts", "user": "user_id", "value": "value", "props": "props"}), "event_", "Event")
     add("Document", [_p("text", STRING), _p("lang", STRING), _p("source", STRING), _p("n_chars", XSD + "integer")], _t(t("documents"), "doc_id", {c: c for c in ("text", "lang", "source", "n_chars")}), "document_")
     add("Vector", [_p("component", XSD + "float", multi=True), _p("label", INT)], _t(t("embeddings"), "vec_id", {"component": "embedding", "label": "label"}), "vector_")
     return cat

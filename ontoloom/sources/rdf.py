@@ -232,7 +232,7 @@ def _append_rows(u: Updater, cls: str, subjects: DataFrame) -> None:
     """Rows with defaults for the subjects of a class that do not exist yet."""
     cat = u.catalog
     c = cat.class_def(cls)
-    if c.table is None:
+    if c.rows is None:
         fields = [T.StructField("id", T.StringType())] + [T.StructField(p.name, p.type_of(T.StringType())) for p in cat.properties(cls).values() if p.computed is None and p.inverse is None]
         c = ClassDef(c.iri, c.extends, c.properties, cat.spark.createDataFrame([], T.StructType(fields)), "", c.comment, c.read_only, c.hidden)
     kind = c.table.schema["id"].dataType

@@ -18,5 +18,5 @@ def load(catalog: Catalog, path: str, read_only: bool = False) -> Catalog:
     for c in catalog.concrete():
         d = catalog.classes[c]
         table = catalog.spark.read.schema(d.table.schema).parquet(f"{path}/{split_iri(c)[1]}")
-        catalog = catalog.with_class(dataclasses.replace(d, table=table, read_only=read_only or d.read_only))
+        catalog = catalog.with_class(dataclasses.replace(d, rows=table, read_only=read_only or d.read_only))
     return catalog
