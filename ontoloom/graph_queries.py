@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.engine import Engine
-from ontoloom.functions.lexical import distance_km, duration, first_word, general_float, hex_in, percent_decode, percent_encode
+from ontoloom.functions.lexical import distance_km, duration, erase, first_word, general_float, hex_in, percent_decode, percent_encode
 from ontoloom.functions.xml import xml_digest
 from ontoloom.operators import history, timeseries
 from ontoloom.session import table
 from ontoloom.shop import EX, shop
 from ontoloom.sinks import writers
+from ontoloom.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,6 +110,7 @@ _sparql(
     + "".join(f" union all select '{EX}{e}Event', count(*) from events where event_type = '{e.lower()}'" for e in ("Click", "Error", "Purchase", "Signup", "View"))
     + f" union all select '{EX}Party', 0 union all select '{EX}Event', 0",
 )
+_sparql("class_shape", "SELECT ?c ?n WHERE { ?c rdfs:subClassOf ex:Party ; obj:sizeOf ?n }", f"select * from (values ('{EX}Customer', 6), ('{EX}Supplier', 4)) t(c, n)")
 _sparql("array_explode", "SELECT ?e ?v WHERE { ?e ex:component ?v }", f"select {_iri('vector', 'vec_id')} as e, unnest(embedding) as v from embeddings")
 _sparql("inverse_array", "SELECT ?c ?o WHERE { ?c a ex:Customer ; ex:order ?o }", f"select {CUST('o_custkey')} as c, {ORD('o_orderkey')} as o from orders")
 _sparql("pseudo_time", "SELECT ?e ?t WHERE { ?e a ex:ErrorEvent ; ex:ts_v ?t }", f"select {EVT('event_id')} as e, strftime(ts, '%Y-%m-%dT%H:%M:%S') as t from events where event_type = 'error'")
@@ -254,9 +256,37 @@ def ts_compress(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.compress(_log(spark, d), source="meter", time="time_stamp", same=["n_client"], tie="logger_id").select("logger_id")
 
 
+# streams
+
+
+@_query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def stream_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Daily counts of the event table, read as a stream."""
+    s = events.event_stream(spark, f"{d}/[e]vents.parquet", table(spark, d, "events").schema, "ts")
+    rows = events.run_to_end(events.windowed(s, "ts", "1 day", ["event_type"], "value"), "daily")
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@_query("""with f as (select *, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 6 hours then 1 else 0 end as flag from events window w as (partition by user_id order by ts)),
+ i as (select *, sum(flag) over (partition by user_id order by ts rows unbounded preceding) as k from f) select user_id, count(*) as n, count(distinct k) as sessions from i group by 1""")
+def session_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events and sessions per user, parted by pauses of six hours."""
+    t = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.sessions(t, "ts", "6 hours", "user_id").groupBy("user_id").agg(F.sum("n").alias("n"), F.count("*").alias("sessions"))
+
+
 # functions
 
 
+@_query("select vec_id, len(embedding)::integer as n, embedding[1] as first, len(embedding)::integer + 1 as appended, len(embedding)::integer - 2 as erased from embeddings")
+def fn_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Number of values, access by index, append and erase."""
+    e = F.col("embedding")
+    more = F.array_append(e, F.lit(0.0).cast("float"))
+    return table(spark, d, "embeddings").select("vec_id", F.size(e).alias("n"), F.element_at(e, 1).alias("first"), F.size(more).alias("appended"), F.size(erase(e, 1, 2)).alias("erased"))
+
+
+
 @_query("select doc_id, url_encode(court) as encoded, court as back from documents where court is not null")
 def fn_percent(spark: SparkSession, d: str) -> DataFrame:
     """Percent-encoding and back."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ontoloom.engine import Engine
+from ontoloom.session import shared_dir
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, time: str, late: str = "1 hour", files: int = 8) -> DataFrame:
@@ -28,6 +30,22 @@ def sessions(df: DataFrame, time: str, gap: str, source: str) -> DataFrame:
     return df.groupBy(F.session_window(time, gap).alias("w"), source).agg(F.count("*").alias("n")).select(source, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
+def run_to_end(stream: DataFrame, name: str) -> DataFrame:
+    """Run an aggregated stream over all that is there now; the last whole result, from the shared folder.
+
+    Every micro-batch overwrites the result of the one before, so a batch that is run again changes nothing.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/ontoloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def batch(df: DataFrame, _: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def apply_updates(stream: DataFrame, engine: Engine, to_text: Callable[[DataFrame], list[str]], checkpoint: str):
     """Start a query that turns every micro-batch into update texts and applies them to the engine in order."""
 
