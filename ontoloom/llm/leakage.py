@@ -31,8 +31,8 @@ _NOT_WORD = re.compile(r"[^\w\s]+|_+")
 
 
 def words(text: str) -> list[str]:
-    """Words in lower case without punctuation, page headers and splits at line ends; hyphens join."""
-    t = text.lower()
+    """Words in folded case without punctuation, page headers and splits at line ends; hyphens join."""
+    t = text.casefold()
     if "\n" in t:
         t = _SPLIT.sub("", _HEADER.sub("\n", t))
         # a split word whose halves a page header parted is joined once the header is gone
