@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from ontoloom.engine import Engine
 from ontoloom.functions.lexical import distance_km, duration, erase, first_word, general_float, hex_in, percent_decode, percent_encode
 from ontoloom.functions.xml import xml_digest
 from ontoloom.operators import history, timeseries
-from ontoloom.session import table
+from ontoloom.session import shared_dir, table
 from ontoloom.shop import EX, shop
 from ontoloom.sinks import writers
+from ontoloom.sources import rdf
 from ontoloom.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,6 +343,16 @@ def rdfxml_sink(spark: SparkSession, d: str) -> DataFrame:
     return writers.rdf_xml_rows(cat, cat.classes[EX + "Nation"])
 
 
+@_query(f"select {NAT('n_nationkey')} as x, n_name as n, {REG('n_regionkey')} as r from nation")
+def rdfxml_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Nations written as RDF/XML and loaded again into emptied tables."""
+    cat = shop(spark, d)
+    folder = f"{shared_dir(spark)}/ontoloom/{spark.sparkContext.applicationId}/rdf-{uuid.uuid4().hex[:12]}"
+    writers.write_rdf_xml(cat, folder, [EX + "Nation", EX + "Region"])
+    bare = cat.with_tables({EX + c: (cat.classes[EX + c].table.limit(0), cat.classes[EX + c].prefix) for c in ("Nation", "Region")})
+    return Engine(rdf.load(bare, folder).catalog).query("SELECT ?x ?n ?r WHERE { ?x a ex:Nation ; ex:name ?n ; ex:region ?r }")
+
+
 @_query()
 def jsonld_sink(spark: SparkSession, d: str) -> DataFrame:
     cat = shop(spark, d)

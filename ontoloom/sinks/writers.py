@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterator
 from html import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,10 +141,17 @@ def rdf_xml(catalog: Catalog, classes: list[str] | None = None) -> Iterator[str]
     yield "</rdf:RDF>"
 
 
-def write_rdf_xml(catalog: Catalog, path: str) -> None:
-    """All resources as text files, a folder per class; each line is one node element."""
-    for c in catalog.concrete():
-        rdf_xml_rows(catalog, catalog.classes[c]).write.text(f"{path}/{split_iri(c)[1]}")
+def write_rdf_xml(catalog: Catalog, path: str, classes: list[str] | None = None) -> None:
+    """All resources as text files, a folder per class; every file is a document of its own, so it loads again."""
+    for c in catalog.concrete(classes):
+        head = _head(catalog, [c, *catalog.properties(c)])
+
+        def wrap(parts: Iterator[pd.DataFrame], head: str = head) -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame({"value": [head]})
+            yield from parts
+            yield pd.DataFrame({"value": ["</rdf:RDF>"]})
+
+        rdf_xml_rows(catalog, catalog.classes[c]).mapInPandas(wrap, "value string").write.text(f"{path}/{split_iri(c)[1]}")
 
 
 def describe_rdf_xml(catalog: Catalog, described: DataFrame) -> DataFrame:
