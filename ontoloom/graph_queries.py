@@ -104,7 +104,7 @@ _sparql(
 _sparql("schema_domain_entail", "SELECT ?p WHERE { ?p rdfs:domain ex:Customer }", "select * from (values " + ", ".join(f"('{EX}{x}')" for x in ("name", "nation", "acctbal", "mktsegment", "order")) + ") t(p)")
 _sparql("schema_range", "SELECT ?p WHERE { ?p rdfs:range ex:Customer }", f"select * from (values ('{EX}customer'), ('{EX}user')) t(p)")
 _sparql("schema_subclass", "SELECT ?c WHERE { ?c rdfs:subClassOf ex:Event }", "select * from (values " + ", ".join(f"('{EX}{x}Event')" for x in ("Click", "Error", "Purchase", "Signup", "View")) + ") t(c)")
-_sparql("schema_optional", "SELECT ?p ?r ?s WHERE { ?p rdfs:domain ex:Nation ; rdfs:range ?r ; rdfs:subPropertyOf ?s }", f"select * from (values ('{EX}name', 'http://www.w3.org/2001/XMLSchema#string', null), ('{EX}region', '{EX}Region', null)) t(p, r, s)")
+_sparql("schema_optional", "SELECT ?p ?r ?s WHERE { ?p rdfs:domain ex:Nation ; rdfs:range ?r ; rdfs:subPropertyOf ?s }", f"select * from (values ('{EX}name', 'http://www.w3.org/2001/XMLSchema#string', null::varchar), ('{EX}region', '{EX}Region', null::varchar)) t(p, r, s)")
 _CARD = {"Region": "region", "Nation": "nation", "Customer": "customer", "Supplier": "supplier", "Part": "part", "Order": "orders", "LineItem": "lineitem", "Document": "documents", "Vector": "embeddings"}
 _sparql(
     "class_cardinality", "SELECT ?c ?n WHERE { ?c a rdfs:Class ; obj:cardinality ?n }",
@@ -126,7 +126,7 @@ _sparql("user_path", "SELECT ?e ?n WHERE { ?e a ex:Event ; ex:user ?u ; ex:value
 
 _after(
     "insert_data_post", ["INSERT DATA { ex:customer_900000001 a ex:Customer ; ex:name 'New' ; ex:nation ex:nation_3 , ex:nation_777 . }"], "SELECT ?x ?n ?b WHERE { ?x a ex:Customer ; ex:name ?n ; ex:nation ex:nation_3 ; ex:acctbal ?b }",
-    f"select {CUST('c_custkey')} as x, c_name as n, c_acctbal as b from customer where c_nationkey = 3 union all select '{EX}customer_900000001', 'New', 0.0",
+    f"select {CUST('c_custkey')} as x, c_name as n, c_acctbal as b from customer where c_nationkey = 3 union all select '{EX}customer_900000001', 'New', 0.0::double",
 )
 _after(
     "insert_where_post", ["INSERT { ?c ex:mktsegment 'VIP' } WHERE { ?c a ex:Customer ; ex:acctbal ?b . FILTER(?b > 9000) }"], "SELECT ?c ?m WHERE { ?c ex:mktsegment ?m }",
@@ -138,7 +138,7 @@ _after(
 )
 _after(
     "delete_where_post", ["DELETE { ?c ex:acctbal ?b } WHERE { ?c a ex:Customer ; ex:acctbal ?b ; ex:mktsegment 'BUILDING' }"], "SELECT ?c ?b WHERE { ?c a ex:Customer ; ex:acctbal ?b . FILTER(?b = 0) }",
-    f"select {CUST('c_custkey')} as c, 0.0 as b from customer where c_acctbal = 0 or c_mktsegment = 'BUILDING'",
+    f"select {CUST('c_custkey')} as c, 0.0::double as b from customer where c_acctbal = 0 or c_mktsegment = 'BUILDING'",
 )
 _after(
     "modify_post", ["DELETE { ?c ex:mktsegment ?m } INSERT { ?c ex:mktsegment 'MOVED' } WHERE { ?c ex:mktsegment ?m ; ex:nation ex:nation_3 }"], "SELECT ?c ?m WHERE { ?c ex:mktsegment ?m }",
@@ -147,7 +147,7 @@ _after(
 _after("array_append_post", ["INSERT DATA { ex:vector_1 ex:component 1.5 , 2.5 . } ; DELETE DATA { ex:vector_1 ex:component 1.5 }"], "SELECT ?v WHERE { ex:vector_1 ex:component ?v }", "select unnest(embedding) as v from embeddings where vec_id = 1 union all select 2.5::float")
 
 
-@_query(f"select {PART('p_partkey')} as x, case when p_partkey = 2 then 12.0 else p_retailprice end as p from part")
+@_query(f"select {PART('p_partkey')} as x, case when p_partkey = 2 then 12.0::double else p_retailprice end as p from part")
 def trigger_reject(spark: SparkSession, d: str) -> DataFrame:
     """A trigger leaves out negative prices before a change is applied."""
     cat = shop(spark, d).with_trigger(EX + "price", "insert", lambda batch: batch.filter(F.col("o").try_cast("double") >= 0))
@@ -206,7 +206,7 @@ def ts_delta(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.counter_delta(_log(spark, d), source="meter", time="time_stamp", counter="data_bytes", uptime="uptime", tie="logger_id").select("logger_id", "delta")
 
 
-@_query(f"""select meter, sum(delta) as total from (select meter, case when pt < time_stamp - uptime then coalesce(data_bytes, 0) else coalesce(data_bytes, 0) - coalesce(pd, 0) end as delta
+@_query(f"""select meter, sum(delta)::bigint as total from (select meter, case when pt < time_stamp - uptime then coalesce(data_bytes, 0) else coalesce(data_bytes, 0) - coalesce(pd, 0) end as delta
  from (select *, lag(time_stamp) over w as pt, lag(data_bytes) over w as pd from {_LOG} window w as (partition by meter order by time_stamp, logger_id)) where pt is not null) group by 1""")
 def ts_total(spark: SparkSession, d: str) -> DataFrame:
     """Data used by each meter over all restarts."""
