@@ -25,8 +25,8 @@ BAND = 16  #: width of a diagonal band in words
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: Lines that are page headers.
-_HEADER = re.compile(r"^[ \t]*(?:[-–—]\s*\d+\s*[-–—]|(?:page|seite)\s+\d+\s+(?:of|von|sur|de)\s+\d+\b[^\n]*)[ \t]*$", re.I | re.M)
-_SPLIT = re.compile(r"(?<=\w)[-‐‑]\s*\n\s*(?=\w)")
+_HEADER = re.compile(r"^[ \t]*+(?:[-–—][ \t]*+\d++[ \t]*+[-–—]|(?:page|seite)[ \t]++\d++[ \t]++(?:of|von|sur|de)[ \t]++\d++\b[^\n]*)[ \t]*+$", re.I | re.M)
+_SPLIT = re.compile(r"(?<=\w)[-‐‑][^\S\n]*+\n\s*+(?=\w)")
 _NOT_WORD = re.compile(r"[^\w\s]+|_+")
 
 

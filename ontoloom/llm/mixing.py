@@ -8,6 +8,7 @@ comparing its hash with the thresholds of its source: no sort, no rank, no row c
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -25,6 +26,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that parts a text before byte pairs are merged, as published with this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space as the pattern knows it, and the length from which a run is encoded apart from it.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_SPACE = 50_000
+
 LEVEL_BITS = 10
 LEVELS = 6
 HASH_BITS = LEVEL_BITS * LEVELS
@@ -38,15 +43,31 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
+def count_tokens(text: str | None, ranks: bytes) -> int:
+    """Tokens of a text; 0 for null.
+
+    The pattern backtracks over a run of white space and fails on very long ones. Such a run is a piece of its
+    own but for its last character, which belongs to what follows; so it is encoded as one piece, without the pattern.
+    """
+    if not text:
+        return 0
+    encoding, n, at = _encoding(ranks), 0, 0
+    if len(text) > LONG_SPACE:
+        for m in re.finditer(f"[{_SPACE}]{{{LONG_SPACE},}}", text):
+            stop = m.end() if m.end() == len(text) else m.end() - 1
+            n += len(encoding.encode_ordinary(text[at : m.start()])) + len(encoding._encode_single_piece(text[m.start() : stop]))
+            at = stop
+    return n + len(encoding.encode_ordinary(text[at:] if at else text))
+
+
 def token_counts(docs: DataFrame, text: str, name: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """``docs`` (few columns, ``text`` the last) with the tokens of ``text`` as ``name`` in its place; 0 for null."""
     with open(tokenizer, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _encoding(ranks.value).encode_ordinary
         for b in slices(batches):
-            n = pa.array([0 if t is None else len(count(t)) for t in b.column(b.num_columns - 1).to_pylist()], pa.int64())
+            n = pa.array([count_tokens(t, ranks.value) for t in b.column(b.num_columns - 1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*b.schema.names[:-1], name])
 
     kept = [c for c in docs.columns if c != text]

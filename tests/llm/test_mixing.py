@@ -3,7 +3,8 @@ import base64
 import pytest
 from pyspark.sql import functions as F
 
-from ontoloom.llm.mixing import TOKENIZER, Mixture, Target, _encoding, budgets, source_name, token_counts
+from ontoloom.llm import mixing
+from ontoloom.llm.mixing import TOKENIZER, Mixture, Target, _encoding, budgets, count_tokens, source_name, token_counts
 
 DOCS = "doc_id long, text string, source string, tokens int, copies string, h string"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -32,6 +33,17 @@ def test_tokens_equal_the_library(spark):
         assert base64.b64decode(f.readline().split()[0])
 
 
+def test_long_white_space(monkeypatch):
+    with open(TOKENIZER, "rb") as f:
+        ranks = f.read()
+    texts = [a + w * 40 + b for a in ("", "x", "é ") for w in (" ", "\n", " \t", "\u2003\x1c", "\xa0") for b in ("", "end", " end", "\nx" + " " * 50 + "y")]
+    plain = [count_tokens(t, ranks) for t in texts]
+    monkeypatch.setattr(mixing, "LONG_SPACE", 10)
+    assert [count_tokens(t, ranks) for t in texts] == plain
+    monkeypatch.setattr(mixing, "LONG_SPACE", 50_000)
+    assert count_tokens(" " * 3_000_000 + "x", ranks) > 0 and count_tokens("\n" * 3_000_000, ranks) > 0
+
+
 def test_names(spark):
     df = spark.createDataFrame([(" Court-Portal ",), ("LAW REPORTS",), ("",), (" ",), (None,)], "s string")
     assert [r[0] for r in df.select(source_name(F.col("s"))).collect()] == ["court_portal", "law_reports", None, None, None]
