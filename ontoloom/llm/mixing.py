@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ontoloom.functions.iri import stripped
 from ontoloom.llm.spans import slices
 from ontoloom.session import materialize
 
@@ -77,7 +78,7 @@ def token_counts(docs: DataFrame, text: str, name: str, tokenizer: str = TOKENIZ
 
 def source_name(c: Column) -> Column:
     """A source in one spelling: trimmed, lower case, ``_`` for ``-`` and inner white space; blank is null."""
-    s = F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"[\s-]+", "_")
+    s = F.regexp_replace(F.lower(stripped(c)), r"[\s-]+", "_")
     return F.when(s != "", s)
 
 
