@@ -10,9 +10,13 @@ MON = "http://monitor.example.org/#"
 MON_PREFIX = "mon"
 
 
+#: Fixed value: white space.
+_SPACE = " \t\n\x0b\f\r"
+
+
 def stripped(ref: Column) -> Column:
     """``ref`` without white space around it; null stays null."""
-    return F.regexp_replace(ref, r"^\s+|\s+$", "")
+    return F.btrim(ref, F.lit(_SPACE))
 
 
 def is_blank(ref: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ontoloom.functions.iri import stripped
 from ontoloom.session import materialize
 
 #: Spark type of each range.
@@ -72,7 +73,7 @@ def cells(statements: DataFrame, properties: dict[str, tuple[str, bool]], *, sub
     kinds = F.create_map(*[x for p, (kind, _) in properties.items() for x in (F.lit(p), F.lit(kind))]) if properties else None
     if kinds is None:
         return statements.select(F.lit("").alias("s"), F.lit("").alias("p"), F.lit("").alias("value"), F.array(F.lit("")).alias("values"), F.lit(False).alias("conflict")).limit(0)
-    rows = statements.select(subject.alias("s"), attribute.alias("p"), F.regexp_replace(value, r"^\s+|\s+$", "").alias("v"))
+    rows = statements.select(subject.alias("s"), attribute.alias("p"), stripped(value).alias("v"))
     rows = rows.filter(F.col("s").isNotNull() & F.col("p").isin(*properties) & (F.col("v") != "")).withColumn("kind", kinds[F.col("p")])
     canonical = reduce(lambda out, k: out.when(F.col("kind") == k[0], k[1]), readers(F.col("v")).items(), F.when(F.lit(False), F.lit(None).cast("string")))
     many = [p for p, (_, multi) in properties.items() if multi]

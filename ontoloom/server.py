@@ -8,14 +8,13 @@ from urllib.parse import parse_qs, unquote, urlparse
 
 from ontoloom.catalog import CatalogError
 from ontoloom.engine import Engine
-from ontoloom.plans.parser import QuerySyntaxError
+from ontoloom.plans.parser import QuerySyntaxError, parse
 from ontoloom.sinks import writers
 
 
 def answer(engine: Engine, text: str, accept: str = "xml") -> tuple[str, str]:
     """Media type and body of a query, or of an update's reply (the description of what it created)."""
-    word = text.lstrip().split(None, 1)[0].upper() if text.strip() else ""
-    is_update = any(w in text.upper().split() or w == word for w in ("INSERT", "DELETE")) and "SELECT" not in text.upper().split() and "DESCRIBE" not in text.upper().split()
+    is_update = isinstance(parse(text, engine.catalog.namespaces, engine.catalog.base), list)
     if is_update:
         made = engine.update(text)
         lines = [r.value for iri in made for r in writers.describe_rdf_xml(engine.catalog, engine.describe(iri)).collect()]
