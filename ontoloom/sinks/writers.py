@@ -259,3 +259,33 @@ def rendered(catalog: Catalog, iri: str) -> str | None:
             if got:
                 return got[0][0]
     return None
+
+
+_ODS = "application/vnd.oasis.opendocument.spreadsheet"
+
+
+def write_ods(df: DataFrame, path: str, most: int = 1_048_575) -> None:
+    """A result as one sheet of an OpenDocument file; more than ``most`` rows do not fit a sheet and are an error."""
+    import zipfile
+
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
+
+    def cell(name: str, v: str | None) -> str:
+        if v is None:
+            return "<table:table-cell/>"
+        kind = f'office:value-type="float" office:value="{escape(v)}"' if name in numeric else 'office:value-type="string"'
+        return f"<table:table-cell {kind}><text:p>{escape(v)}</text:p></table:table-cell>"
+
+    line = lambda cells: "<table:table-row>" + "".join(cells) + "</table:table-row>"
+    ns = "urn:oasis:names:tc:opendocument:xmlns:"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(zipfile.ZipInfo("mimetype"), _ODS)
+        z.writestr("META-INF/manifest.xml", f'<manifest:manifest xmlns:manifest="{ns}manifest:1.0"><manifest:file-entry manifest:full-path="/" manifest:media-type="{_ODS}"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/></manifest:manifest>')
+        with z.open("content.xml", "w") as out:
+            out.write(f'<office:document-content xmlns:office="{ns}office:1.0" xmlns:table="{ns}table:1.0" xmlns:text="{ns}text:1.0"><office:body><office:spreadsheet><table:table table:name="result">'.encode())
+            out.write(line(f'<table:table-cell office:value-type="string"><text:p>{escape(n)}</text:p></table:table-cell>' for n in df.columns).encode())
+            for k, r in enumerate(df.select(*[_text(df, n).alias(n) for n in df.columns]).toLocalIterator()):
+                if k >= most:
+                    raise ValueError(f"more than {most} rows")
+                out.write(line(cell(n, r[n]) for n in df.columns).encode())
+            out.write(b"</table:table></office:spreadsheet></office:body></office:document-content>")

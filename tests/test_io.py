@@ -92,6 +92,20 @@ def test_results(spark):
     assert [u.text for u in root.iter(ns + "uri")] == ["http://x/<y>"] and len(list(root.iter(ns + "binding"))) == 5
 
 
+def test_spreadsheet(spark, tmp_path):
+    import zipfile
+
+    df = spark.createDataFrame([("a<b", 1.5), (None, 2.0)], "s string, d double")
+    writers.write_ods(df, str(tmp_path / "r.ods"))
+    with zipfile.ZipFile(tmp_path / "r.ods") as z:
+        assert z.namelist()[0] == "mimetype"
+        root = ElementTree.fromstring(z.read("content.xml"))
+    ns = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}p"
+    assert [x.text for x in root.iter(ns)] == ["s", "d", "a<b", "1.5", "2"]
+    with pytest.raises(ValueError):
+        writers.write_ods(df, str(tmp_path / "x.ods"), most=1)
+
+
 def test_rest_and_server(spark):
     e = Engine(catalog(spark))
     assert writers.rest(e.catalog, "/rest") == (200, '["A", "B", "C"]')
