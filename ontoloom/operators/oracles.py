@@ -55,7 +55,33 @@ _READINGS = """r as (select distinct meter, time_stamp as t, case when volt is n
    union select ok.meter, ok.t, ok.v, ok.u from ok join runs on runs.meter = ok.meter and ok.i between runs.i and runs.j
    union select z.meter, z.t, z.v, z.u from z join st on st.meter = z.meter and st.i = z.i where st.flag)"""
 
+_EDGE = """case when {d1} is null then {d0} when sign(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1})) <> sign({d0}) then 0.0
+  when sign({d0}) <> sign({d1}) and abs(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1})) > 3 * abs({d0}) then 3 * {d0} else ((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1}) end"""
+_INNER = "case when {d0} * {d1} <= 0 then 0.0 else ((2 * {h1} + {h0}) + ({h1} + 2 * {h0})) / ((2 * {h1} + {h0}) / {d0} + ({h1} + 2 * {h0}) / {d1}) end"
+
+
+def _edge(h0: str, h1: str, d0: str, d1: str) -> str:
+    return _EDGE.format(h0=h0, h1=h1, d0=d0, d1=d1)
+
+
+def _inner(h0: str, h1: str, d0: str, d1: str) -> str:
+    return _INNER.format(h0=h0, h1=h1, d0=d0, d1=d1)
+
+
+_GRID = f"""with u as (select meter, time_stamp as t, avg(volt::double) as v, count(*) as n from logger where {_USABLE} group by 1, 2),
+ w as (select *, t - lag(t) over p as g0, v - lag(v) over p as e0, lead(t) over p - t as h1, lead(v) over p as v2, lead(t, 2) over p - lead(t) over p as g2, lead(v, 2) over p - lead(v) over p as e2
+   from u window p as (partition by meter order by t)),
+ d as (select *, t // 600 + 1 as a, (t + h1) // 600 - 1 as b, case when g0 <= 7200 then g0 end as h0, case when g2 <= 7200 then g2 end as h2, case when g0 <= 7200 then e0 / g0 end as d0, (v2 - v) / h1 as d1, case when g2 <= 7200 then e2 / g2 end as d2 from w where h1 is not null),
+ m as (select *, case when h0 is null then {_edge('h1', 'h2', 'd1', 'd2')} else {_inner('h0', 'h1', 'd0', 'd1')} end as m1,
+   case when h2 is null then {_edge('h1', 'h0', 'd1', 'd0')} else {_inner('h1', 'h2', 'd1', 'd2')} end as m2 from d where a <= b),
+ k as (select *, unnest(range(a, b + 1)) as k from m),
+ x as (select *, (k * 600 + 300 - t) / h1 as x from k)
+ select meter, k * 600 as period_start, case when h1 <= 7200 then round(v * (1 + 2 * x) * (1 - x) * (1 - x) + h1 * m1 * x * (1 - x) * (1 - x) + v2 * x * x * (3 - 2 * x) + h1 * m2 * x * x * (x - 1), 4) end as value,
+  0::bigint as n_readings, case when h1 <= 7200 then 'interpolated' else 'gap' end as status from x
+ union all select meter, t // 600 * 600, round(avg(v), 4), sum(n)::bigint, 'observed' from u group by 1, 2"""
+
 ORACLES = {
+    "p1_grid": _GRID,
     "p4_found": f"""with recursive {_READINGS} select logger_id from logger g where exists (select 1 from bad b where b.meter = g.meter and b.t = g.time_stamp
   and b.v is not distinct from case when volt is null or isnan(volt) or volt = -1 then null else volt::double end and b.u is not distinct from g.uptime)""",
     "p2_nodes": f"""with recursive {_LINKS}, nodes as (select tree, node from up union select tree, parent from up union select 'part_of', node from eq where node is not null

@@ -24,8 +24,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The regular series of every meter."""
-    return _grid(spark, d).withColumnRenamed("source", "meter")
+    """The regular series of every meter; values to four digits, as the order of a sum shows in the last ones."""
+    return _grid(spark, d).select(F.col("source").alias("meter"), "period_start", F.round("value", 4).alias("value"), "n_readings", "status")
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
