@@ -17,6 +17,9 @@ SPARK_TYPE = {"int": "int", "long": "bigint", "double": "double", "boolean": "bo
 #: Fixed value: parts the names in a signature.
 _SEP = "\x1f"
 
+#: Folders over which the characteristic sets are spread.
+_BUCKETS = 32
+
 _DATE_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$"
 _DECIMAL = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
@@ -118,8 +121,9 @@ def wide(statements: DataFrame, properties: dict[str, tuple[str, bool]], *, subj
             F.concat_ws(_SEP, F.sort_array(F.collect_list("p"))).alias("signature"),
         )
     )
-    entity = materialize(entity, "characteristic-sets")
-    largest = [r.signature for r in entity.groupBy("signature").count().orderBy(F.desc("count"), "signature").limit(dense_sets).collect()]
+    entity = materialize(entity.withColumn("bucket", F.pmod(F.xxhash64("signature"), F.lit(_BUCKETS)).cast("int")), "characteristic-sets", by="bucket")
+    found = entity.groupBy("bucket", "signature").count().orderBy(F.desc("count"), "signature").limit(dense_sets).collect()
+    largest = [r.signature for r in found]
 
     def dense(part: DataFrame, names: list[str]) -> DataFrame:
         out = [F.col("s").alias("subject")]
@@ -132,6 +136,7 @@ def wide(statements: DataFrame, properties: dict[str, tuple[str, bool]], *, subj
 
     rest = dense(entity.filter(~F.col("signature").isin(*largest)) if largest else entity, list(properties))
     out = rest
-    for signature in largest:
-        out = out.unionByName(dense(entity.filter(F.col("signature") == signature), signature.split(_SEP)), allowMissingColumns=True)
+    for r in found:  # each branch reads the folder of its bucket only
+        own = entity.filter((F.col("bucket") == r.bucket) & (F.col("signature") == r.signature))
+        out = out.unionByName(dense(own, r.signature.split(_SEP)), allowMissingColumns=True)
     return out.select("subject", *properties, "_conflicts")
