@@ -26,7 +26,7 @@ _DECIMAL = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 def _read_time(s: Column) -> Column:
     """An instant; a fraction beyond microseconds is cut, a missing offset means UTC."""
-    day = F.try_to_timestamp(F.substring(s, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    day = F.try_to_timestamp(F.concat(F.substring(s, 1, 19), F.lit("Z")), F.lit("yyyy-MM-dd'T'HH:mm:ssX"))
     sign = F.when(F.regexp_extract(s, r"([+-])\d{2}:\d{2}$", 1) == "-", -1).otherwise(1)
     hh = F.regexp_extract(s, r"[+-](\d{2}):\d{2}$", 1).try_cast("int")
     mm = F.regexp_extract(s, r"[+-]\d{2}:(\d{2})$", 1).try_cast("int")

@@ -63,6 +63,16 @@ def test_readable(spark):
         assert got[s]._conflicts == ([] if out is not None else [p])
 
 
+def test_session_zone_does_not_matter(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        rows = [("a", "t", "2019-03-31T02:30:00"), ("a", "t", "2019-03-31T02:30:00Z"), ("a", "t", "2019-03-31T04:30:00+02:00")]
+        got = wide(spark, rows).select("_conflicts", F.unix_micros("t").alias("u")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got._conflicts == [] and got.u == int(dt.datetime(2019, 3, 31, 2, 30, tzinfo=dt.timezone.utc).timestamp()) * 10**6
+
+
 def test_sets_and_cases(spark):
     rows = [("a", "n", "1"), ("a", "m", "2"), ("a", "m", "02"), ("a", "m", "3"), ("b", "n", "1"), ("c", "s", "x"), ("c", "zz", "y"), (None, "n", "1"), ("d", "n", None), ("d", "n", "  "), ("e", "m", "bad")]
     for dense in (0, 1, 48):
