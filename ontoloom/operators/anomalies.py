@@ -273,6 +273,36 @@ def _frozen(x: np.ndarray, before: tuple, after: tuple, least: int) -> np.ndarra
     return np.repeat(whole >= least, n)
 
 
+def _least(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least of ``v[lo:hi]`` for each pair; infinite for an empty one."""
+    out = np.full(len(lo), np.inf)
+    size, table = 1, v
+    while True:
+        at = np.flatnonzero((hi - lo >= size) & (hi - lo < 2 * size))
+        out[at] = np.minimum(table[lo[at]], table[hi[at] - size])
+        if not (hi - lo >= 2 * size).any():
+            return out
+        table = np.minimum(table[:-size], table[size:])
+        size *= 2
+
+
+def outliers(t: np.ndarray, v: np.ndarray, limit: float, lim: Limits) -> np.ndarray:
+    """Which readings can be in a spike: a superset for the exact test, whatever the normal behaviour.
+
+    A level is a median, so a value beyond it by ``limit`` is beyond the extreme of its hour by as much; the hours of
+    every run that holds a reading lie in the stretches before and after it that are looked at here.
+    """
+    n = len(v)
+    i = np.arange(n)
+    before = np.searchsorted(t, t[np.maximum(i - lim.run + 1, 0)] - lim.level, "left"), i
+    after = i + 1, np.searchsorted(t, t[np.minimum(i + lim.run - 1, n - 1)] + lim.level, "right")
+    flag = np.zeros(n, bool)
+    for x in (v, -v):
+        low = np.maximum(_least(x, *before), _least(x, *after))
+        flag |= x > low + limit
+    return flag
+
+
 def spikes(t: np.ndarray, v: np.ndarray, candidates: np.ndarray, limit: float, lim: Limits) -> np.ndarray:
     """The exact test around the candidates: runs of at most ``lim.run`` readings beyond both levels."""
     flag = np.zeros(len(v), bool)
@@ -320,10 +350,12 @@ def judge(s: Shard, ctx: dict, lim: Limits) -> np.ndarray:
         far = np.zeros(len(own), bool)
         for level in ctx["levels"]:
             far |= np.abs(s.v[own] - level[at]) > ctx["limit"] / 2
+        (lt, lv), (rt, rv) = ctx["left"], ctx["right"]
+        t, v = np.r_[lt, s.t[own], rt], np.r_[lv, s.v[own], rv]
+        far |= outliers(t, v, ctx["limit"], lim)[len(lt) : len(lt) + len(own)]
         cand = np.flatnonzero(far)
         if len(cand):
-            (lt, lv), (rt, rv) = ctx["left"], ctx["right"]
-            flag = spikes(np.r_[lt, s.t[own], rt], np.r_[lv, s.v[own], rv], cand + len(lt), ctx["limit"], lim)
+            flag = spikes(t, v, cand + len(lt), ctx["limit"], lim)
             out[own[flag[len(lt) : len(lt) + len(own)]]] |= SPIKE
     return out
 
@@ -417,8 +449,9 @@ def implausible(
 
     Method: robust principal components on the profile matrix of each source (a row per day, and again a row per
     two hours, as a source of few days has few rows) part normal behaviour from sparse deviations; deviations of
-    half the spike limit are candidates, and the rule for spikes is tested exactly around them. Constant runs,
-    ranges and uptime are tested apart from that.
+    half the spike limit are candidates. So is every reading that stands out of the hours around it (``outliers``),
+    as spikes on a schedule are normal behaviour to the matrix. The rule for spikes is tested exactly around the
+    candidates. Constant runs, ranges and uptime are tested apart from that.
 
     Cases: a null source or time, or a time outside ``[time_from, time_to)``, is never implausible and never
     looked at. Null, NaN and -1 are no measurement: never flagged, skipped. Rows with equal source, time, value

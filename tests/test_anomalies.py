@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,13 @@ def test_defined_cases(spark):
     check(spark, [(i, "a", i * 600, 12.0 + i % 2, 7) for i in range(12)])
     df = frame(spark, [(1, "a", 5, 99.0, 1)])
     assert implausible(df).columns == df.columns
+
+
+@pytest.mark.parametrize("every", [4, 6, 12])
+def test_spikes_on_a_schedule(spark, every):
+    r = random.Random(every)
+    v = [12.0 + r.gauss(0, 0.03) + (1.5 if i % every == 3 else 0) for i in range(4320)]
+    rows = [(i, "a", 1_546_300_800 + i * 600, float(np.float32(round(x, 2))), i * 600) for i, x in enumerate(v)]
+    want = implausible_rows(rows)
+    assert sum("spike" in w for w in want.values()) > 4000 // every
+    check(spark, rows)
