@@ -131,17 +131,38 @@ def tiles(a: list[int], b: list[int], shortest: int = 3, longest: int = 24) -> l
     return sorted(out)
 
 
+def _beyond(a: list[int], b: list[int], i: int, j: int, step: int, most: int) -> list[tuple[int, int]]:
+    """``(item words, missing)`` by which a run grows that has ``i`` and ``j`` next in direction ``step``.
+
+    Words that are altered or dropped, up to ``most`` in all, are stepped over if a word that is kept follows.
+    """
+    got = {0: 0}
+    todo = [(i, j, 0, 0)]
+    while todo:
+        i, j, n, missing = todo.pop()
+        for skip in range(most - missing + 1):
+            for other in range(skip + 1):
+                x, y, k = i + step * skip, j + step * other, 0
+                while 0 <= x < len(a) and 0 <= y < len(b) and a[x] == b[y]:
+                    x, y, k = x + step, y + step, k + 1
+                if k and n + skip + k > got.get(missing + skip, 0):
+                    got[missing + skip] = n + skip + k
+                    todo.append((x, y, n + skip + k, missing + skip))
+    return [(n, missing) for missing, n in got.items()]
+
+
 def best_run(a: list[int], b: list[int], parts: list[tuple[int, int, int]], rule: Rule) -> tuple[int, int]:
     """Longest run of item words in order: its length and how many of its words are missing.
 
     Tiles follow each other in both texts; between two tiles words that are equal at the same distance count
-    as kept. Of the runs that obey the rule the longest counts; without one, the longest of all by kept words.
+    as kept. At both ends of a run words count too that are too few for a tile, beyond altered ones. Of the runs that obey the rule the longest counts; without one, the longest of all by kept words.
     """
     best, fallback = (0, 0), (0, 0)
+    most = rule.run // rule.per + rule.slack
     # each state: start in item, end in item, end in document, missing words
     states: list[list[tuple[int, int]]] = []  # per tile: (start, missing) choices, few as they are pruned
     for x, (i, j, k) in enumerate(parts):
-        own = [(i, 0)]
+        own = [(i - n, missing) for n, missing in _beyond(a, b, i - 1, j - 1, -1, most)]
         for y in range(x):
             pi, pj, pk = parts[y]
             ga, gb = i - (pi + pk), j - (pj + pk)
@@ -153,11 +174,13 @@ def best_run(a: list[int], b: list[int], parts: list[tuple[int, int, int]], rule
         for start, missing in own:
             kept[start] = min(missing, kept.get(start, missing))
         states.append(sorted(kept.items()))
-        for start, missing in states[-1]:
-            n = i + k - start
-            if missing <= n / rule.per + rule.slack:
-                best = max(best, (n, -missing))
-            fallback = max(fallback, (n - missing, -missing))
+        ends = _beyond(a, b, i + k, j + k, 1, most)
+        for start, before in states[-1]:
+            for more, after in ends:
+                n, missing = i + k + more - start, before + after
+                if missing <= n / rule.per + rule.slack:
+                    best = max(best, (n, -missing))
+                fallback = max(fallback, (n - missing, -missing))
     n, m = best if best[0] else (fallback[0] - fallback[1], fallback[1])
     return n, -m
 
@@ -194,6 +217,7 @@ def find_in(text: str, index: Index, rule: Rule) -> list[tuple[int, int, int, fl
     own, seeds = np.unique(np.unique(item * (1 << 32) + ipos) >> 32, return_counts=True)
     length = np.diff(index.starts)[own]
     cand |= set(own[seeds + SEED - 1 >= rule.coverage * length].tolist())
+    around = SEED * (gaps + 1)  # the end of a run that holds no seed is shorter
     out = []
     for x in sorted(cand):
         a = index.tokens[index.starts[x] : index.starts[x + 1]]
@@ -204,8 +228,8 @@ def find_in(text: str, index: Index, rule: Rule) -> list[tuple[int, int, int, fl
         d, i = d[order], i[order]
         # stretches of the document whose seeds of this item lie close together
         for part in np.split(np.arange(len(d)), np.flatnonzero(np.diff(d) > len(a)) + 1):
-            lo = max(0, int(d[part].min()) - 2 * SEED)
-            hi = min(len(t), int(d[part].max()) + 3 * SEED)
+            lo = max(0, int(d[part].min()) - around)
+            hi = min(len(t), int(d[part].max()) + SEED + around)
             b = t[lo:hi].tolist()
             got = tiles(a.tolist(), b)
             run, missing = best_run(a.tolist(), b, got, rule)

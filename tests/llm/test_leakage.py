@@ -98,3 +98,17 @@ def test_defined_cases(spark):
     docs = spark.createDataFrame([(1, None), (None, whole), (2, ""), (3, whole), (3, whole), (3, "other"), (4, "x " * 300_000 + whole)], "doc_id long, text string")
     assert {(r.doc_id, r.item_id, r.run) for r in leaked_items(docs, items).collect()} == {(3, 4, 40), (4, 4, 40)}
     assert leaked_items(docs.limit(0), items).count() == 0 and leaked_items(docs, items.limit(0)).count() == 0
+
+
+def test_altered_words_near_the_ends():
+    r = random.Random(8)
+    w, body = text(r, 30), text(r, 60)
+    index = build_index([(7, " ".join(w))])
+    for at in [(1,), (2,), (1, 28), (2, 27), (1, 2), (1, 4, 27), (2, 14, 27), (4, 9, 14), (15, 20, 25)]:
+        for new in (lambda x: ["zz" + x], lambda x: [], lambda x: ["█████"]):
+            part = [y for k, x in enumerate(w) for y in (new(x) if k in at else [x])]
+            for b in (part, part[::-1]):
+                i = index if b is part else build_index([(7, " ".join(w[::-1]))])
+                assert find_in(" ".join(body + b + body), i, Rule()) and find_in(" ".join(body + b + body), i, Rule())[0][:3] == (7, 30, len(at)), (at, b)
+    short = w[:26]
+    assert all(g[1] == 0 for g in find_in(" ".join(body + short + body), index, Rule()))
