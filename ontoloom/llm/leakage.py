@@ -95,8 +95,11 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     return Index(np.array(ids, np.int64), np.array(starts), cat(parts, np.int64), vocab, u, first, count, it[order], po[order])
 
 
-def tiles(a: list[int], b: list[int], shortest: int = 3, longest: int = 24) -> list[tuple[int, int, int]]:
-    """Greedy string tiling by running Karp-Rabin: ``(start in a, start in b, length)``, none overlapping."""
+def tiles(a: list[int], b: list[int], shortest: int = 3, longest: int = 24, shift: tuple[int, int] | None = None) -> list[tuple[int, int, int]]:
+    """Greedy string tiling by running Karp-Rabin: ``(start in a, start in b, length)``, none overlapping.
+
+    With ``shift`` only matches whose start in ``b`` less that in ``a`` lies within it.
+    """
     free_a, free_b = [True] * len(a), [True] * len(b)
     out: list[tuple[int, int, int]] = []
     s = longest
@@ -111,6 +114,8 @@ def tiles(a: list[int], b: list[int], shortest: int = 3, longest: int = 24) -> l
                 if not all(free_b[j : j + s]):
                     continue
                 for i in table.get(tuple(b[j : j + s]), ()):
+                    if shift is not None and not shift[0] <= j - i <= shift[1]:
+                        continue
                     if i and j and free_a[i - 1] and free_b[j - 1] and a[i - 1] == b[j - 1]:
                         continue  # not the start of a maximal match
                     k = s
@@ -223,7 +228,7 @@ def find_in(text: str, index: Index, rule: Rule) -> list[tuple[int, int, int, fl
         a = index.tokens[index.starts[x] : index.starts[x + 1]]
         mine = item == x
         d, i = dpos[mine], ipos[mine]
-        seen: tuple[int, int, float] = (0, 0, 0.0)
+        seen, seen_cover = (False, 0, 0), 0.0
         order = np.argsort(d, kind="stable")
         d, i = d[order], i[order]
         # stretches of the document whose seeds of this item lie close together
@@ -232,15 +237,25 @@ def find_in(text: str, index: Index, rule: Rule) -> list[tuple[int, int, int, fl
             hi = min(len(t), int(d[part].max()) + SEED + around)
             b = t[lo:hi].tolist()
             got = tiles(a.tolist(), b)
-            run, missing = best_run(a.tolist(), b, got, rule)
-            cover = sum(k for _, _, k in got) / len(a)
-            if (run, -missing) > (seen[0], -seen[1]):
-                seen = (run, missing, max(seen[2], cover))
-            else:
-                seen = (seen[0], seen[1], max(seen[2], cover))
-        ok = seen[0] >= rule.run and seen[1] <= seen[0] / rule.per + rule.slack
-        if ok or seen[2] >= rule.coverage:
-            out.append((int(index.ids[x]), seen[0] if ok else 0, seen[1] if ok else 0, seen[2]))
+            seen_cover = max(seen_cover, sum(k for _, _, k in got) / len(a))
+            tilings = [(b, got)]
+            # each copy of a passage by itself too: together they share the words of the item
+            apart = part[np.argsort(d[part] - i[part], kind="stable")]
+            copies = np.split(apart, np.flatnonzero(np.diff(d[apart] - i[apart]) > BAND) + 1)
+            for copy in copies if len(copies) > 1 else []:
+                if len(copy) >= least:
+                    lo = max(0, int(d[copy].min()) - around)
+                    hi = min(len(t), int(d[copy].max()) + SEED + around)
+                    shifts = d[copy] - i[copy] - lo
+                    b = t[lo:hi].tolist()
+                    tilings.append((b, tiles(a.tolist(), b, shift=(int(shifts.min()) - BAND // 2, int(shifts.max()) + BAND // 2))))
+            for b, got in tilings:
+                run, missing = best_run(a.tolist(), b, got, rule)
+                ok = run >= rule.run and missing <= run / rule.per + rule.slack
+                seen = max(seen, (ok, run, -missing))
+        ok, run, missing = seen
+        if ok or seen_cover >= rule.coverage:
+            out.append((int(index.ids[x]), run if ok else 0, -missing if ok else 0, seen_cover))
     return out
 
 

@@ -112,3 +112,28 @@ def test_altered_words_near_the_ends():
                 assert find_in(" ".join(body + b + body), i, Rule()) and find_in(" ".join(body + b + body), i, Rule())[0][:3] == (7, 30, len(at)), (at, b)
     short = w[:26]
     assert all(g[1] == 0 for g in find_in(" ".join(body + short + body), index, Rule()))
+
+
+def test_neighbouring_copies():
+    for seed in range(60):
+        r = random.Random(seed)
+        w, body = text(r, 90), text(r, 60)
+        index = build_index([(7, " ".join(w))])
+        copies = []
+        for _ in range(2):
+            at = r.sample(range(40), 3)
+            copies.append([("zz" + x) if k in at else x for k, x in enumerate(w[20:60])])
+        for b in (copies[0] + copies[1], copies[0] + body[:10] + copies[1]):
+            got = find_in(" ".join(body + b + body), index, Rule())
+            assert got and got[0][1] >= 30, seed
+
+
+def test_a_copy_among_pieces():
+    """A valid copy counts though longer pieces, or a longer stretch that is altered too much, stand in the same text."""
+    r = random.Random(3)
+    w, body = text(r, 90), text(r, 300)
+    index = build_index([(7, " ".join(w))])
+    copy = [("zz" + x) if k in (9, 20, 31) else x for k, x in enumerate(w[20:60])]
+    for b in (w[20:40] + body[:3] + copy + body[3:6] + w[40:60], copy + body + [("zz" + x) if k % 4 == 0 else x for k, x in enumerate(w)]):
+        got = find_in(" ".join(body[6:] + b + body[6:]), index, Rule())
+        assert got and got[0][1:3] == (40, 3), b
