@@ -7,7 +7,7 @@ memory at a time; larger ones are solved by pointer doubling over DataFrames, wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,6 +57,30 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
+def _back_links(parents: dict[str, list[str]], group: Iterable[str]) -> dict[str, list[str]]:
+    """Parents that are grey when the nodes of one strong component are walked from the least, parents by name."""
+    inside, seen, grey = set(group), set(), set()
+    back: dict[str, list[str]] = {}
+    start = min(inside)
+    stack = [(start, iter(parents[start]))]
+    seen.add(start)
+    grey.add(start)
+    while stack:
+        node, rest = stack[-1]
+        for p in rest:
+            if p in grey:
+                back.setdefault(node, []).append(p)
+            elif p in inside and p not in seen:
+                seen.add(p)
+                grey.add(p)
+                stack.append((p, iter(parents[p])))
+                break
+        else:
+            stack.pop()
+            grey.discard(node)
+    return back
+
+
 def walk(links: list[tuple[str, str | None]], detail: bool = True) -> Iterator[tuple]:
     """All nodes of one component: path, depth, root, ancestors, on_cycle, back edges.
 
@@ -64,7 +88,7 @@ def walk(links: list[tuple[str, str | None]], detail: bool = True) -> Iterator[t
     Nodes lie on a cycle if their strongly connected set has two nodes or a link to itself. The path follows
     the least parent by name and stops where it would repeat a node: its first node is then where the cycle is
     entered, and there is no root. Memory is in proportion to the links; paths and ancestors, which may be longer,
-    are built as each node is given out, and left null without ``detail``.
+    are built as each node is given out, and left null without ``detail``, as back edges are left empty.
     """
     parents: dict[str, list[str]] = {}
     for node, parent in links:
@@ -76,7 +100,6 @@ def walk(links: list[tuple[str, str | None]], detail: bool = True) -> Iterator[t
         own.sort()
     index: dict[str, int] = {}
     low: dict[str, int] = {}
-    grey: set[str] = set()
     open_nodes: list[str] = []
     is_open: set[str] = set()
     cyclic: set[str] = set()
@@ -84,7 +107,6 @@ def walk(links: list[tuple[str, str | None]], detail: bool = True) -> Iterator[t
 
     def enter(n: str) -> tuple:
         index[n] = low[n] = len(index)
-        grey.add(n)
         open_nodes.append(n)
         is_open.add(n)
         return n, iter(parents[n])
@@ -99,13 +121,10 @@ def walk(links: list[tuple[str, str | None]], detail: bool = True) -> Iterator[t
                 if p not in index:
                     stack.append(enter(p))
                     break
-                if p in grey:
-                    back.setdefault(node, []).append(p)
                 if p in is_open:
                     low[node] = min(low[node], index[p])
             else:
                 stack.pop()
-                grey.discard(node)
                 if stack:
                     low[stack[-1][0]] = min(low[stack[-1][0]], low[node])
                 if low[node] == index[node]:
@@ -117,6 +136,8 @@ def walk(links: list[tuple[str, str | None]], detail: bool = True) -> Iterator[t
                     is_open.difference_update(group)
                     if len(group) > 1 or node in parents[node]:
                         cyclic.update(group)
+                        if detail:
+                            back.update(_back_links(parents, group))
     # depth and root along the first parents: 0 at a root; a cycle of c nodes counts c - 1, what leads to it one more each
     depth: dict[str, int] = {}
     root: dict[str, str | None] = {}
@@ -206,8 +227,27 @@ def _cyclic_alone(links: DataFrame) -> DataFrame | None:
     return jump.select("tree", F.col("y").alias("node_id")).distinct()
 
 
+def _back_batches(batches):
+    """Back edges of strong components one after another, from links sorted by ``tree, strong``."""
+    part, at = {}, None
+
+    def done():
+        back = _back_links(part, part)
+        return pd.DataFrame([(at[0], x, sorted(y)) for x, y in back.items()], columns=["tree", "x", "back_edges"])
+
+    for pdf in batches:
+        for tree, strong, x, y in zip(pdf.tree, pdf.strong, pdf.x, pdf.ys):
+            if (tree, strong) != at:
+                if part:
+                    yield done()
+                part, at = {}, (tree, strong)
+            part[x] = list(y)
+    if part:
+        yield done()
+
+
 def _doubled(links: DataFrame) -> DataFrame:
-    """The rows of ``NODES`` for components too large for one task, by joins alone."""
+    """The rows of ``NODES`` for components too large for one task, by joins; a strong component is walked by one task."""
     up = materialize(links.filter("parent is not null").select("tree", F.col("node").alias("x"), F.col("parent").alias("y")).distinct(), "closure")
     n, closure = -1, up
     while (size := closure.count()) != n:
@@ -227,8 +267,14 @@ def _doubled(links: DataFrame) -> DataFrame:
         if not step.filter("up is not null").limit(1).count():
             break
     ancestors = closure.groupBy("tree", "x").agg(F.sort_array(F.collect_list("y")).alias("ancestors"), F.bool_or(F.col("x") == F.col("y")).alias("on_cycle"))
+    # nodes that are ancestors of each other make a strong component, named after its least
+    mutual = closure.join(closure.select("tree", F.col("y").alias("x"), F.col("x").alias("y")), ["tree", "x", "y"])
+    strong = materialize(mutual.groupBy("tree", "x").agg(F.min("y").alias("strong")), "strong")
+    within = up.join(strong, ["tree", "x"]).join(strong.select("tree", F.col("x").alias("y"), "strong"), ["tree", "y", "strong"])
+    within = within.groupBy("tree", "strong", "x").agg(F.sort_array(F.collect_list("y")).alias("ys"))
+    back = within.repartition("tree", "strong").sortWithinPartitions("tree", "strong").mapInPandas(_back_batches, "tree string, x string, back_edges array<string>")
     ends = step.withColumn("last", F.element_at("path", -1)).join(up.select("tree", F.col("x").alias("last")).distinct().withColumn("more", F.lit(True)), ["tree", "last"], "left")
-    return ends.join(ancestors, ["tree", "x"], "left").select(
+    return ends.join(ancestors, ["tree", "x"], "left").join(back, ["tree", "x"], "left").select(
         "tree",
         F.col("x").alias("node_id"),
         F.reverse("path").alias("path"),
@@ -236,7 +282,7 @@ def _doubled(links: DataFrame) -> DataFrame:
         F.when(F.col("more").isNull(), F.col("last")).alias("root"),
         F.coalesce("ancestors", F.array().cast("array<string>")).alias("ancestors"),
         F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"),
-        F.array().cast("array<string>").alias("back_edges"),
+        F.coalesce("back_edges", F.array().cast("array<string>")).alias("back_edges"),
     )
 
 
@@ -255,8 +301,8 @@ def hierarchy(links: DataFrame, component_links: int = 500_000) -> DataFrame:
 
     Returns ``tree, node_id, path`` (root first, down to the node), ``depth, root`` (null if the path leads into
     a cycle), ``ancestors`` (all, sorted; a node on a cycle is its own ancestor), ``on_cycle, back_edges`` (parents
-    that were grey when the node's links were walked; empty for nodes of components beyond ``component_links``,
-    whose cycles are found by closure). A parent that is no node of its own is a node without a parent.
+    that were grey when the strong component of the node was walked from its least node, whatever the size of the
+    component; without these links there is no cycle). A parent that is no node of its own is a node without a parent.
 
     Cases: null nodes give nothing, a null parent makes a root, repeated links count once, several parents are
     allowed (``path`` follows the least by name), an empty table gives no rows.

@@ -104,3 +104,12 @@ def test_current_version(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), ("b", None, "z"), (None, 3, "w")], "k string, v long, p string")
     got = sorted(tuple(r) for r in current_version(df, "k", "v").select("k", "p").collect())
     assert got == [("a", "y"), ("a", "y"), ("b", "z")]
+
+
+def test_back_edges_of_any_size(spark):
+    links = graph(3, 60, 2) + [("loop", "loop"), ("p", "q"), ("q", "r"), ("r", "p"), ("in", "q")]
+    df = spark.createDataFrame([("t", c, p) for c, p in links], "tree string, node string, parent string")
+    small, large = ({r.node_id: r.back_edges for r in hierarchy(df, component_links=k).collect()} for k in (500_000, 1))
+    assert small == large and large["loop"] == ["loop"] and sum(len(large[x]) for x in "pqr") == 1
+    left = closure([(c, p) for c, p in links if p not in large[c]])
+    assert any(n in up for n, up in closure(links).items()) and not any(n in up for n, up in left.items())
