@@ -81,7 +81,7 @@ for _n, _op in (("eq", "="), ("ne", "!="), ("lt", "<"), ("le", "<="), ("gt", ">"
     _sparql(f"filter_{_n}", f"SELECT ?x ?s WHERE {{ ?x a ex:Part ; ex:size ?s . FILTER(?s {_op} 15) }}", f"select {PART('p_partkey')} as x, p_size as s from part where p_size {_op} 15")
 _sparql("filter_two_vars", "SELECT ?o ?a ?b WHERE { ?x a ex:LineItem ; ex:discount ?a ; ex:tax ?b ; ex:order ?o . FILTER(?a < ?b) }", f"select {ORD('l_orderkey')} as o, l_discount as a, l_tax as b from lineitem where l_discount < l_tax")
 _sparql("filter_text", "SELECT ?x WHERE { ?x ex:mktsegment ?m . FILTER(?m > 'FURNITURE') }", f"select {CUST('c_custkey')} as x from customer where c_mktsegment > 'FURNITURE'")
-_sparql("order_1", "SELECT ?x ?p WHERE { ?x a ex:Part ; ex:price ?p } ORDER BY ?p LIMIT 100000", f"select {PART('p_partkey')} as x, p_retailprice as p from part order by p limit 100000")
+_sparql("order_1", "SELECT ?x ?p WHERE { ?x a ex:Part ; ex:price ?p } ORDER BY ?p", f"select {PART('p_partkey')} as x, p_retailprice as p from part order by p limit 100000")
 _sparql("order_2", "SELECT ?m ?x WHERE { ?x ex:mktsegment ?m ; ex:acctbal ?b } ORDER BY ?m ?b", f"select c_mktsegment as m, {CUST('c_custkey')} as x from customer")
 _sparql("order_limit", "SELECT ?o ?p WHERE { ?o a ex:Order ; ex:totalprice ?p } ORDER BY ?p ?o LIMIT 10", f"select {ORD('o_orderkey')} as o, o_totalprice as p from orders order by p, o limit 10")
 _sparql("order_desc_offset", "SELECT ?o ?p WHERE { ?o a ex:Order ; ex:totalprice ?p } ORDER BY DESC(?p) ?o LIMIT 10 OFFSET 5", f"select {ORD('o_orderkey')} as o, o_totalprice as p from orders order by p desc, o limit 10 offset 5")

@@ -57,3 +57,9 @@ def test_command_line(spark, sf, capsys, monkeypatch):
     monkeypatch.setattr(sys, "stdin", io.StringIO("SELECT ?n WHERE { ex:nation_3 ex:name ?n }"))
     assert main(["query", sf, "--csv"]) == 0
     assert capsys.readouterr().out.split() == ["n", "NATION_3"]
+
+
+def test_order_1_sorts_the_whole_table(spark, tmp_path):
+    n = 100_001
+    spark.range(n).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size", "double(id) AS p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    assert QUERIES["order_1"](spark, str(tmp_path)).count() == n
