@@ -227,8 +227,8 @@ def rest_rows(catalog: Catalog, c: ClassDef, rows: DataFrame | None = None) -> D
     return (c.table if rows is None else rows).select(F.to_json(F.struct(iri.alias("id"), *[j.alias(p.name) for _, p, j in _json_fields(catalog, c)])).alias("value"))
 
 
-def rest(catalog: Catalog, path: str, most: int = 1000) -> tuple[int, str]:
-    """``/rest``: class names; ``/rest/Class``: ids, at most ``most``; ``/rest/Class/id``: one resource."""
+def rest(catalog: Catalog, path: str) -> tuple[int, str]:
+    """``/rest``: class names; ``/rest/Class``: all its ids; ``/rest/Class/id``: one resource."""
     parts = [x for x in path.split("/") if x][1:]
     by_name = {split_iri(c)[1]: catalog.classes[c] for c in catalog.concrete()}
     if not parts:
@@ -238,7 +238,7 @@ def rest(catalog: Catalog, path: str, most: int = 1000) -> tuple[int, str]:
         return 404, json.dumps({"error": "not found"})
     iri = iri_of(F.col("id"), Binding("res", c.prefix))
     if len(parts) == 1:
-        return 200, json.dumps([r.i for r in c.table.select(iri.alias("i")).limit(most).collect()])
+        return 200, json.dumps([r.i for r in c.table.select(iri.alias("i")).toLocalIterator()])
     local = parts[1]
     for full in (local, split_iri(c.prefix)[0] + local if c.prefix else local, split_iri(c.iri)[0] + local):
         key = key_of(full, c)

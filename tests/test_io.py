@@ -124,3 +124,11 @@ def test_rest_and_server(spark):
             get("/sparql?query=nonsense")
     finally:
         server.shutdown()
+
+
+def test_rest_lists_every_id(spark, sf):
+    from ontoloom.shop import shop
+
+    catalog = Engine(shop(spark, sf)).catalog
+    ids = json.loads(writers.rest(catalog, "/rest/Order")[1])
+    assert len(ids) == len(set(ids)) == spark.read.parquet(f"{sf}/orders.parquet").count() > 1000
