@@ -7,14 +7,21 @@ memory at a time; larger ones are solved by pointer doubling over DataFrames, wi
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import chain
+from typing import TypeVar
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.session import materialize
 
+T = TypeVar("T", int, str)
+
 NODES = "tree string, node_id string, path array<string>, depth long, root string, ancestors array<string>, on_cycle boolean, back_edges array<string>"
 
 
@@ -30,37 +37,68 @@ def current_version(df: DataFrame, key: str, version: str) -> DataFrame:
     return df.join(last, (F.col(key) == F.col("__k")) & (v == F.col("__v")), "left_semi")
 
 
+def _contract(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Links ``a, b`` of a task as stars around the least node of each part that the task can see.
+
+    It is to components what a partial sum is to a sum: connections stay, and a task keeps a link per node. At most
+    ``most`` links are held at once.
+    """
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)]
+        node, at = np.unique(np.concatenate(ends), return_inverse=True)
+        x, y = at[: len(ends[0])], at[len(ends[0]) :]
+        label = np.arange(len(node))
+        while len(x):
+            hi, lo = np.maximum(label[x], label[y]), np.minimum(label[x], label[y])
+            apart = hi != lo
+            x, y = x[apart], y[apart]
+            np.minimum.at(label, hi[apart], lo[apart])
+            while (label[label] != label).any():
+                label = label[label]
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["a", "b"])
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= most:
+            yield stars(held)
+            held, size = [], 0
+    if held:
+        yield stars(held)
+
+
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """The least node id of each node's component (``node, component``) for undirected ``a, b`` edges.
+    """The least node id of its component for each node but that one (``node, component``), from ``a, b`` edges.
 
-    Alternating star contraction: a large star links each node's larger neighbours to its least neighbour, a
-    small star links its smaller ones; the number of rounds grows with the logarithm of the nodes. Minima are
-    summed before rows move, and a hot node's rows are split by the skew join, so no star is collected.
+    Every task first contracts the edges that it holds (``_contract``), so that few rows move. What is left goes
+    through alternating star contraction: a large star links each node's larger neighbours to its least neighbour, a
+    small star links its smaller ones; the number of rounds grows with the logarithm of the nodes. It ends once
+    each node has one link and leads to a node without one. Minima are summed before rows move, and a hot node's rows
+    are split by the skew join, so no star is collected.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    before = None
+    now = materialize(edges.select("a", "b").filter("a != b").mapInArrow(_contract, "a long, b long"), "stars")
     for _ in range(most_rounds):
+        ends = now.select(F.col("a").alias("x"), F.col("b").alias("up"), F.lit(False).alias("down")).unionByName(now.select(F.col("b").alias("x"), F.lit(None).cast("long").alias("up"), F.lit(True).alias("down")))
+        ends = ends.groupBy("x").agg(F.min("up").alias("lo"), F.max("up").alias("hi"), F.bool_or("down").alias("down"))
+        if not ends.filter("lo != hi OR (lo IS NOT NULL AND down)").limit(1).count():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         big = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         least = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(least, "a").select("b", "m", "a")
-        now = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
-        now = materialize(now, "stars")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if before == state:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("b").alias("node")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+        now = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b")
+        now = materialize(now.mapInArrow(_contract, "a long, b long"), "stars")
+    raise RuntimeError("components did not settle")
 
 
-def _back_links(parents: dict[str, list[str]], group: Iterable[str]) -> dict[str, list[str]]:
+def _back_links(parents: Mapping[T, list[T]], group: Iterable[T]) -> dict[T, list[T]]:
     """Parents that are grey when the nodes of one strong component are walked from the least, parents by name."""
     inside, seen, grey = set(group), set(), set()
-    back: dict[str, list[str]] = {}
+    back: dict[T, list[T]] = {}
     start = min(inside)
     stack = [(start, iter(parents[start]))]
     seen.add(start)
@@ -81,92 +119,103 @@ def _back_links(parents: dict[str, list[str]], group: Iterable[str]) -> dict[str
     return back
 
 
-def walk(links: list[tuple[str, str | None]], detail: bool = True) -> Iterator[tuple]:
-    """All nodes of one component: path, depth, root, ancestors, on_cycle, back edges.
+def _strong(parents: list[list[int]]) -> list[list[int]]:
+    """Strongly connected sets with a cycle, by depth-first traversal with colours.
 
-    Depth-first from each node to its parents with colours white, grey and black; a grey parent is a back edge.
-    Nodes lie on a cycle if their strongly connected set has two nodes or a link to itself. The path follows
-    the least parent by name and stops where it would repeat a node: its first node is then where the cycle is
-    entered, and there is no root. Memory is in proportion to the links; paths and ancestors, which may be longer,
-    are built as each node is given out, and left null without ``detail``, as back edges are left empty.
+    White nodes are not met yet, grey ones (``open_nodes``) belong to a set that is not closed, black ones are done.
     """
-    parents: dict[str, list[str]] = {}
-    for node, parent in links:
-        own = parents.setdefault(node, [])
-        if parent is not None:
-            own.append(parent)
-            parents.setdefault(parent, [])
-    for own in parents.values():
-        own.sort()
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    open_nodes: list[str] = []
-    is_open: set[str] = set()
-    cyclic: set[str] = set()
-    back: dict[str, list[str]] = {}
-
-    def enter(n: str) -> tuple:
-        index[n] = low[n] = len(index)
-        open_nodes.append(n)
-        is_open.add(n)
-        return n, iter(parents[n])
-
-    for start in sorted(parents):
-        if start in index:
+    white, black = -1, 1 << 62
+    low = [white] * len(parents)
+    open_nodes: list[int] = []
+    out: list[list[int]] = []
+    met = 0
+    for start in range(len(parents)):
+        if low[start] != white:
             continue
-        stack = [enter(start)]
-        while stack:
-            node, rest = stack[-1]
+        stack: list[tuple[int, int, Iterator[int]]] = []
+        node: int | None = start
+        while True:
+            if node is not None:
+                low[node] = met
+                open_nodes.append(node)
+                stack.append((node, met, iter(parents[node])))
+                met += 1
+            node, order, rest = stack[-1]
             for p in rest:
-                if p not in index:
-                    stack.append(enter(p))
+                if low[p] == white:
+                    node = p
                     break
-                if p in is_open:
-                    low[node] = min(low[node], index[p])
+                if low[p] < low[node]:
+                    low[node] = low[p]
             else:
                 stack.pop()
-                if stack:
-                    low[stack[-1][0]] = min(low[stack[-1][0]], low[node])
-                if low[node] == index[node]:
-                    at = len(open_nodes) - 1
-                    while open_nodes[at] != node:
-                        at -= 1
-                    group = open_nodes[at:]
-                    del open_nodes[at:]
-                    is_open.difference_update(group)
+                if stack and low[node] < low[stack[-1][0]]:
+                    low[stack[-1][0]] = low[node]
+                if low[node] == order:
+                    group = [open_nodes.pop()]
+                    while group[-1] != node:
+                        group.append(open_nodes.pop())
+                    for x in group:
+                        low[x] = black
                     if len(group) > 1 or node in parents[node]:
-                        cyclic.update(group)
-                        if detail:
-                            back.update(_back_links(parents, group))
-    # depth and root along the first parents: 0 at a root; a cycle of c nodes counts c - 1, what leads to it one more each
-    depth: dict[str, int] = {}
-    root: dict[str, str | None] = {}
-    for start in parents:
-        chain: list[str] = []
-        place: dict[str, int] = {}
-        node = start
-        while node is not None and node not in depth and node not in place:
-            place[node] = len(chain)
+                        out.append(group)
+                if not stack:
+                    break
+                node = None
+    return out
+
+
+def walk(parents: list[list[int]]) -> Iterator[tuple[list[int], list[int], bool, list[int]]]:
+    """For each node of whole components: path from the top, ancestors, on_cycle and back edges.
+
+    ``parents`` holds the parents of node 0, 1, ... in order of name, and nodes are numbered by name. Depth-first from
+    each node to its parents with colours white, grey and black; a grey parent is a back edge. Nodes lie on a cycle
+    if their strongly connected set has two nodes or a link to itself. The path follows the least parent and stops
+    where it would repeat a node: its first node is then where the cycle is entered. Memory is in proportion to the
+    links; paths and ancestors, which may be longer, are built as each node is given out.
+    """
+    n = len(parents)
+    cyclic = [False] * n
+    back: dict[int, list[int]] = {}
+    for group in _strong(parents):
+        for x in group:
+            cyclic[x] = True
+        back.update(_back_links(parents, group))
+    first = [p[0] if p else -1 for p in parents]
+    # nodes on a cycle of first parents, and nodes whose ancestors are just their path
+    loop, alone, done = [False] * n, [False] * n, [False] * n
+    for start in range(n):
+        chain, node, here = [], start, set()
+        while node >= 0 and not done[node] and node not in here:
             chain.append(node)
-            node = parents[node][0] if parents[node] else None
-        if node is not None and node in place:
-            loop = chain[place[node] :]
-            for x in loop:
-                depth[x], root[x] = len(loop) - 1, None
-            chain = chain[: place[node]]
+            here.add(node)
+            node = first[node]
+        if node in here:
+            for x in chain[chain.index(node) :]:
+                loop[x] = True
         for x in reversed(chain):
-            up = parents[x][0] if parents[x] else None
-            depth[x], root[x] = (0, x) if up is None else (depth[up] + 1, root[up])
-    for node in sorted(parents):
-        path = above = None
-        if detail:
-            path, seen, at = [node], {node}, node
-            while parents[at] and parents[at][0] not in seen:
-                at = parents[at][0]
+            done[x] = True
+            alone[x] = not loop[x] and (first[x] < 0 or (len(parents[x]) == 1 and alone[first[x]]))
+    for node in range(n):
+        path, at = [node], first[node]
+        if not loop[node]:
+            while at >= 0 and not loop[at]:
+                path.append(at)
+                at = first[at]
+            if at >= 0:
                 path.append(at)
-                seen.add(at)
-            path.reverse()
-            found: set[str] = set()
+                entry, at = at, first[at]
+            else:
+                entry = -1
+        else:
+            entry = node
+        while at != entry:
+            path.append(at)
+            at = first[at]
+        if alone[node]:
+            above = sorted(path[1:])
+        else:
+            found: set[int] = set()
             todo = list(parents[node])
             while todo:
                 x = todo.pop()
@@ -174,39 +223,83 @@ def walk(links: list[tuple[str, str | None]], detail: bool = True) -> Iterator[t
                     found.add(x)
                     todo.extend(parents[x])
             above = sorted(found)
-        yield node, path, depth[node], root[node], above, node in cyclic, sorted(back.get(node, []))
+        path.reverse()
+        yield path, above, cyclic[node], sorted(back.get(node, []))
 
 
-def _walk_partition(detail: bool, most: int = 200_000):
-    """Components one after another from rows sorted by component; memory holds one component.
+def _walk_partition(most: int = 200_000, chunk: int = 50_000):
+    """Components one after another from rows sorted by tree and component: those of ``chunk`` links at once, or one.
 
-    A block of output holds at most ``most`` names of paths and ancestors, or one node.
+    A block of output holds about ``most`` names of paths and ancestors, or one node.
     """
-    cols = [x.split(" ")[0] for x in NODES.split(", ")]
-
-    def run(batches):
-        part, at = [], None
-
-        def done():
-            rows, size = [], 0
-            for r in walk(part, detail):
-                rows.append((at[0], *r))
-                size += 20 + (len(r[1]) + len(r[4]) if detail else 0)
-                if size > most:
-                    yield pd.DataFrame(rows, columns=cols)
-                    rows, size = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=cols)
-
-        for pdf in batches:
-            for tree, comp, node, parent in zip(pdf.tree, pdf.component, pdf.node, pdf.parent):
-                if (tree, comp) != at:
-                    if part:
-                        yield from done()
-                    part, at = [], (tree, comp)
-                part.append((node, None if parent is None or parent != parent else parent))
-        if part:
-            yield from done()
+    schema = pa.schema([("tree", pa.string()), ("node_id", pa.string()), ("path", pa.list_(pa.string())), ("depth", pa.int64()), ("root", pa.string()), ("ancestors", pa.list_(pa.string())), ("on_cycle", pa.bool_()), ("back_edges", pa.list_(pa.string()))])
+
+    def solved(tree: str, links: pa.Table) -> Iterator[pa.RecordBatch]:
+        child, parent = links.column("node").combine_chunks(), links.column("parent").combine_chunks()
+        names = pc.unique(pa.concat_arrays([child, parent.drop_null()]))
+        names = names.take(pc.sort_indices(names))
+        x = pc.index_in(child, names).to_numpy()
+        has = parent.is_valid().to_numpy(zero_copy_only=False)
+        y = pc.index_in(parent.drop_null(), names).to_numpy()
+        x = x[has]
+        order = np.lexsort((y, x))
+        parents = [p.tolist() for p in np.split(y[order], np.searchsorted(x[order], np.arange(1, len(names))))]
+        rows: list[tuple] = []
+        size = at = 0
+
+        def lists(i: int) -> pa.ListArray:
+            ends = np.cumsum([0, *[len(r[i]) for r in rows]])
+            flat = np.fromiter(chain.from_iterable(r[i] for r in rows), np.int64, ends[-1])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(flat)))
+
+        def block() -> pa.RecordBatch:
+            top = [r[0][0] if not parents[r[0][0]] else None for r in rows]
+            columns = [
+                pa.array([tree] * len(rows), pa.string()), names.slice(at, len(rows)), lists(0), pa.array([len(r[0]) - 1 for r in rows], pa.int64()),
+                names.take(pa.array(top, pa.int64())), lists(1), pa.array([r[2] for r in rows]), lists(3),
+            ]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for r in walk(parents):
+            rows.append(r)
+            size += 20 + len(r[0]) + len(r[1])
+            if size > most:
+                yield block()
+                at += len(rows)
+                rows, size = [], 0
+        if rows:
+            yield block()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, key, start = 0, None, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            return solved(start, pa.Table.from_batches(held).select(["node", "parent"]))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            comp = b.column("component").to_numpy()
+            tree = b.column("tree").dictionary_encode()
+            code = tree.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((comp[1:] != comp[:-1]) | (code[1:] != code[:-1])) + 1).tolist(), b.num_rows]
+            begin = 0  # rows from here on are not held yet
+            for lo in cuts[:-1]:
+                here = (tree.dictionary[int(code[lo])].as_py(), int(comp[lo]))
+                if here == key:
+                    continue
+                if key is not None and (size + lo - begin >= chunk or here[0] != start):
+                    if lo > begin:
+                        held.append(b.slice(begin, lo - begin))
+                    if held:
+                        yield from out()
+                    held, size, begin = [], 0, lo
+                key, start = here, here[0]
+            held.append(b.slice(begin))
+            size += b.num_rows - begin
+        if held:
+            yield from out()
 
     return run
 
@@ -286,16 +379,6 @@ def _doubled(links: DataFrame) -> DataFrame:
     )
 
 
-def cycles(links: DataFrame, component_links: int = 500_000) -> DataFrame:
-    """``tree, node_id`` of the nodes that lie on a cycle: ``hierarchy`` without paths and ancestors."""
-    whole, rest = _placed(links, component_links)
-    found = whole.mapInPandas(_walk_partition(False), NODES).filter("on_cycle").select("tree", "node_id")
-    if rest is None:
-        return found
-    large = _cyclic_alone(rest)
-    return found.unionByName(large if large is not None else _doubled(rest).filter("on_cycle").select("tree", "node_id"))
-
-
 def hierarchy(links: DataFrame, component_links: int = 500_000) -> DataFrame:
     """One row per node of ``tree, node, parent`` links (see ``links_of``).
 
@@ -308,7 +391,7 @@ def hierarchy(links: DataFrame, component_links: int = 500_000) -> DataFrame:
     allowed (``path`` follows the least by name), an empty table gives no rows.
     """
     whole, rest = _placed(links, component_links)
-    out = whole.mapInPandas(_walk_partition(True), NODES)
+    out = whole.mapInArrow(_walk_partition(), NODES)
     return out if rest is None else out.unionByName(_doubled(rest))
 
 
@@ -316,13 +399,10 @@ def _placed(links: DataFrame, component_links: int) -> tuple[DataFrame, DataFram
     """Links with their component: those of small components co-located and sorted, those of large ones apart."""
     spark = links.sparkSession
     links = materialize(links.select("tree", "node", "parent").distinct(), "links")
-    names = links.select("tree", "node").unionByName(links.filter("parent is not null").select("tree", F.col("parent").alias("node"))).distinct()
-    ids = materialize(names.withColumn("id", F.monotonically_increasing_id()), "ids")
-    edges = links.filter("parent is not null").join(ids.withColumnRenamed("id", "a"), ["tree", "node"]).join(
-        ids.select("tree", F.col("node").alias("parent"), F.col("id").alias("b")), ["tree", "parent"]
-    ).select("a", "b")
-    comp = components(edges.filter("a != b"))
-    placed = links.join(ids, ["tree", "node"]).join(comp.withColumnRenamed("node", "id"), "id", "left").select(
+    # ids are hashes: two names with one hash would only bring their components to one place
+    a, b = F.xxhash64("tree", "node"), F.xxhash64("tree", "parent")
+    comp = components(links.filter("parent is not null").select(a.alias("a"), b.alias("b")))
+    placed = links.withColumn("id", a).join(comp.withColumnRenamed("node", "id"), "id", "left").select(
         "tree", F.coalesce("component", "id").alias("component"), "node", "parent"
     )
     placed = materialize(placed, "placed")
@@ -333,7 +413,7 @@ def _placed(links: DataFrame, component_links: int) -> tuple[DataFrame, DataFram
         whole = placed.join(large, "component", "left_anti")
         rest = placed.join(large, "component", "left_semi")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return whole.repartition(parts, "component").sortWithinPartitions("component", "tree").select("tree", "component", "node", "parent"), rest
+    return whole.repartition(parts, "component").sortWithinPartitions("tree", "component").select("tree", "component", "node", "parent"), rest
 
 
 def descendants(nodes: DataFrame) -> DataFrame:
@@ -347,4 +427,4 @@ def with_counts(nodes: DataFrame) -> DataFrame:
     return nodes.join(n, ["tree", "node_id"], "left").withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)).cast("long"))
 
 
-__all__ = ["components", "current_version", "cycles", "descendants", "hierarchy", "links_of", "walk", "with_counts"]
+__all__ = ["components", "current_version", "descendants", "hierarchy", "links_of", "walk", "with_counts"]

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ontoloom.operators.hierarchy import current_version, cycles, descendants, hierarchy, links_of, walk, with_counts
+from ontoloom.operators import hierarchy as hierarchy_module
+from ontoloom.operators.hierarchy import NODES, _walk_partition, components, current_version, descendants, hierarchy, links_of, walk, with_counts
 
 
 def closure(links):
@@ -49,14 +50,15 @@ def test_walk(parents):
     for seed in range(40):
         links = graph(seed, 25, parents)
         want = closure(links)
-        got = {r[0]: r for r in walk(links)}
-        assert got.keys() == want.keys()
-        for n, (_, path, depth, root, above, on_cycle, back) in got.items():
-            assert set(above) == want[n]
+        names = sorted(want)
+        above_of = [sorted({names.index(p) for c, p in links if c == n and p is not None}) for n in names]
+        got = list(walk(above_of))
+        assert len(got) == len(names)
+        for n, (path, above, on_cycle, back) in zip(names, got):
+            assert {names[x] for x in above} == want[n] and above == sorted(above)
             assert on_cycle == (n in want[n])
-            assert (path, root) == follow(links, n)
-            assert depth == len(path) - 1
-            assert all(n in want[b] or b == n for b in back)
+            assert [names[x] for x in path] == follow(links, n)[0]
+            assert all(n in want[names[b]] for b in back)
 
 
 @pytest.mark.parametrize("limit", [500_000, 3])
@@ -66,7 +68,7 @@ def test_distributed_equals_closure(spark, limit):
     got = {r.node_id: r for r in hierarchy(df, component_links=limit).collect()}
     want = closure(links)
     assert got.keys() == want.keys()
-    assert {r.node_id for r in cycles(df, component_links=limit).collect()} == {n for n in want if n in want[n]}
+    assert {r.node_id for r in hierarchy(df, component_links=limit).filter("on_cycle").collect()} == {n for n in want if n in want[n]}
     for n, r in got.items():
         assert set(r.ancestors) == want[n]
         assert r.on_cycle == (n in want[n])
@@ -88,8 +90,8 @@ def test_cycles_of_single_parents(spark, limit):
     links = [(c, p) for c, p in dict(graph(9, 80, 1)).items()] + [("x", "y"), ("y", "z"), ("z", "x"), ("in", "x")]
     df = spark.createDataFrame([("t", c, p) for c, p in links], "tree string, node string, parent string")
     want = closure(links)
-    assert {r.node_id for r in cycles(df, component_links=limit).collect()} == {n for n in want if n in want[n]}
-    assert cycles(df.limit(0), component_links=limit).count() == 0
+    assert {r.node_id for r in hierarchy(df, component_links=limit).filter("on_cycle").collect()} == {n for n in want if n in want[n]}
+    assert hierarchy(df.limit(0), component_links=limit).count() == 0
 
 
 def test_defined_cases(spark):
@@ -113,3 +115,25 @@ def test_back_edges_of_any_size(spark):
     assert small == large and large["loop"] == ["loop"] and sum(len(large[x]) for x in "pqr") == 1
     left = closure([(c, p) for c, p in links if p not in large[c]])
     assert any(n in up for n, up in closure(links).items()) and not any(n in up for n, up in left.items())
+
+
+def test_many_components_in_one_task(spark):
+    links = [(f"{t}", f"c{k}-{i}", f"c{k}-{(i - 1) % 4}" if k % 7 == 0 or i else None) for t in "ab" for k in range(300) for i in range(4)]
+    df = spark.createDataFrame(links, "tree string, node string, parent string").repartition(1)
+    rows = df.select("tree", F.col("node"), "parent", F.xxhash64("tree", F.split("node", "-")[0]).alias("component")).sortWithinPartitions("tree", "component").select("tree", "component", "node", "parent")
+    want = sorted(hierarchy(df).drop("back_edges").collect())
+    for chunk in (1, 10, 50_000):
+        got = rows.mapInArrow(_walk_partition(most=50, chunk=chunk), NODES).drop("back_edges").collect()
+        assert sorted(got) == want and len(got) == 2400
+    assert sum(r.on_cycle for r in want) == 2 * 43 * 4
+
+
+def test_components_by_stars_when_tasks_see_little(spark, monkeypatch):
+    edges = [(i, i - 1) for i in range(1, 400)] + [(1000 + i, 1000 + (i * 7) % 50) for i in range(50)] + [(5000, 6000)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(16)
+    alone = hierarchy_module._contract
+    monkeypatch.setattr(hierarchy_module, "_contract", lambda batches: alone(batches, most=1))
+    got = {r.node: r.component for r in components(df).collect()}
+    assert {got.get(i, i) for i in range(400)} == {0} and got[6000] == 5000 and 5000 not in got
+    monkeypatch.undo()
+    assert got == {r.node: r.component for r in components(df).collect()}
