@@ -37,7 +37,7 @@ def current_version(df: DataFrame, key: str, version: str) -> DataFrame:
     return df.join(last, (F.col(key) == F.col("__k")) & (v == F.col("__v")), "left_semi")
 
 
-def _contract(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _contract(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Links ``a, b`` of a task as stars around the least node of each part that the task can see.
 
     It is to components what a partial sum is to a sum: connections stay, and a task keeps a link per node. At most
@@ -70,17 +70,20 @@ def _contract(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Itera
         yield stars(held)
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 64, in_one: int = 2_000_000) -> DataFrame:
     """The least node id of its component for each node but that one (``node, component``), from ``a, b`` edges.
 
     Every task first contracts the edges that it holds (``_contract``), so that few rows move. What is left goes
-    through alternating star contraction: a large star links each node's larger neighbours to its least neighbour, a
-    small star links its smaller ones; the number of rounds grows with the logarithm of the nodes. It ends once
-    each node has one link and leads to a node without one. Minima are summed before rows move, and a hot node's rows
-    are split by the skew join, so no star is collected.
+    to one task if a count proves that it holds them (``in_one`` links of two numbers), and otherwise through
+    alternating star contraction: a large star links each node's larger neighbours to its least neighbour, a small star
+    links its smaller ones; the number of rounds grows with the logarithm of the nodes. It ends once each node has one
+    link and leads to a node without one. Minima are summed before rows move, and a hot node's rows are split by the
+    skew join, so no star is collected.
     """
     now = materialize(edges.select("a", "b").filter("a != b").mapInArrow(_contract, "a long, b long"), "stars")
     for _ in range(most_rounds):
+        if now.limit(in_one + 1).count() <= in_one:
+            return now.coalesce(1).mapInArrow(_contract, "a long, b long").toDF("node", "component")
         ends = now.select(F.col("a").alias("x"), F.col("b").alias("up"), F.lit(False).alias("down")).unionByName(now.select(F.col("b").alias("x"), F.lit(None).cast("long").alias("up"), F.lit(True).alias("down")))
         ends = ends.groupBy("x").agg(F.min("up").alias("lo"), F.max("up").alias("hi"), F.bool_or("down").alias("down"))
         if not ends.filter("lo != hi OR (lo IS NOT NULL AND down)").limit(1).count():

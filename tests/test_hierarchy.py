@@ -133,7 +133,7 @@ def test_components_by_stars_when_tasks_see_little(spark, monkeypatch):
     df = spark.createDataFrame(edges, "a long, b long").repartition(16)
     alone = hierarchy_module._contract
     monkeypatch.setattr(hierarchy_module, "_contract", lambda batches: alone(batches, most=1))
-    got = {r.node: r.component for r in components(df).collect()}
+    got = {r.node: r.component for r in components(df, in_one=5).collect()}
     assert {got.get(i, i) for i in range(400)} == {0} and got[6000] == 5000 and 5000 not in got
     monkeypatch.undo()
     assert got == {r.node: r.component for r in components(df).collect()}
