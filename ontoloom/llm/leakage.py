@@ -30,13 +30,23 @@ _SPLIT = re.compile(r"(?<=\w)[-‐‑][^\S\n]*+\n\s*+(?=\w)")
 _NOT_WORD = re.compile(r"[^\w\s]+|_+")
 
 
-def words(text: str) -> list[str]:
-    """Words in folded case without punctuation, page headers and splits at line ends; hyphens join."""
+def _parts(text: str) -> list[str]:
+    """What stands between white space, in folded case, without page headers and splits at line ends."""
     t = text.casefold()
     if "\n" in t:
-        t = _SPLIT.sub("", _HEADER.sub("\n", t))
         # a split word whose halves a page header parted is joined once the header is gone
-    return _NOT_WORD.sub("", t).split()
+        t = _SPLIT.sub("", _HEADER.sub("\n", t))
+    return t.split()
+
+
+def _word(part: str) -> str:
+    """A part without punctuation; hyphens join, so ``a-b`` is one word."""
+    return part if part.isalnum() else _NOT_WORD.sub("", part)
+
+
+def words(text: str) -> list[str]:
+    """Words in folded case without punctuation, page headers and splits at line ends."""
+    return [w for w in map(_word, _parts(text)) if w]
 
 
 class Rule(NamedTuple):
@@ -54,6 +64,7 @@ class Index(NamedTuple):
     starts: np.ndarray
     tokens: np.ndarray
     vocab: dict[str, int]
+    known: dict[str, int]  #: parts met so far with their token, -1 for other words, -2 for no word
     keys: np.ndarray
     first: np.ndarray
     count: np.ndarray
@@ -92,46 +103,95 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     k, it, po = cat(keys, np.uint64), cat(item, np.int64), cat(pos, np.int64)
     order = np.argsort(k, kind="stable")
     u, first, count = np.unique(k[order], return_index=True, return_counts=True)
-    return Index(np.array(ids, np.int64), np.array(starts), cat(parts, np.int64), vocab, u, first, count, it[order], po[order])
-
-
-def tiles(a: list[int], b: list[int], shortest: int = 3, longest: int = 24, shift: tuple[int, int] | None = None) -> list[tuple[int, int, int]]:
+    return Index(np.array(ids, np.int64), np.array(starts), cat(parts, np.int64), vocab, {}, u, first, count, it[order], po[order])
+
+
+class _Running:
+    """Karp-Rabin hashes of all windows of one text: any window by one subtraction from the running sums."""
+
+    _BASE, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+    def __init__(self, tokens: np.ndarray) -> None:
+        n = len(tokens)
+        powers = np.ones(n + 1, np.uint64)
+        powers[1:] = self._BASE
+        self.back = np.ones(n + 1, np.uint64)
+        self.back[1:] = self._BACK
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((tokens.astype(np.uint64) + np.uint64(2)) * _MIX * np.multiply.accumulate(powers)[:n], out=self.sums[1:])
+        self.back = np.multiply.accumulate(self.back)
+        self.marked = np.zeros(n, bool)
+
+    def windows(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of ``s`` tokens that hold no marked one."""
+        n = len(self.marked) - s + 1
+        if n <= 0:
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        seen = np.cumsum(np.r_[0, self.marked])
+        at = np.flatnonzero(seen[s:] == seen[:n])
+        return at, (self.sums[at + s] - self.sums[at]) * self.back[at]
+
+
+def _matches(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places ``i, j`` with ``x[i] == y[j]``."""
+    order = np.argsort(x, kind="stable")
+    lo, hi = np.searchsorted(x[order], y, "left"), np.searchsorted(x[order], y, "right")
+    n = hi - lo
+    at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    return order[at], np.repeat(np.arange(len(y)), n)
+
+
+def _tokens(text: str, index: Index, most: int = 500_000) -> np.ndarray:
+    """Tokens of a text's words, -1 for words that no item has; ``most`` parts are remembered."""
+    parts, known = _parts(text), index.known
+    for p in set(parts).difference(known):
+        w = _word(p)
+        known[p] = index.vocab.get(w, -1) if w else -2
+    t = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+    if len(known) > most:
+        known.clear()
+    return t[t != -2]
+
+
+def tiles(a: np.ndarray | list[int], b: np.ndarray | list[int], shortest: int = 3, longest: int = 24, shift: tuple[int, int] | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling by running Karp-Rabin: ``(start in a, start in b, length)``, none overlapping.
 
     With ``shift`` only matches whose start in ``b`` less that in ``a`` lies within it.
     """
-    free_a, free_b = [True] * len(a), [True] * len(b)
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    x, y = _Running(a), _Running(b)
+    la, lb = a.tolist(), b.tolist()
     out: list[tuple[int, int, int]] = []
     s = longest
     while s >= shortest:
-        table: dict[tuple, list[int]] = {}
-        for i in range(len(a) - s + 1):
-            if all(free_a[i : i + s]):
-                table.setdefault(tuple(a[i : i + s]), []).append(i)
+        (at, h), (bt, g) = x.windows(s), y.windows(s)
+        ii, jj = _matches(h, g)
+        ii, jj = at[ii], bt[jj]
+        if shift is not None:
+            near = (jj - ii >= shift[0]) & (jj - ii <= shift[1])
+            ii, jj = ii[near], jj[near]
+        inner = (ii > 0) & (jj > 0)
+        p, q = np.maximum(ii - 1, 0), np.maximum(jj - 1, 0)
+        # a match that goes on to the left is a part of another
+        first = ~(inner & ~x.marked[p] & ~y.marked[q] & (a[p] == b[q]))
+        free_a, free_b = (~x.marked).tolist(), (~y.marked).tolist()
         found: list[tuple[int, int, int]] = []
-        if table:
-            for j in range(len(b) - s + 1):
-                if not all(free_b[j : j + s]):
-                    continue
-                for i in table.get(tuple(b[j : j + s]), ()):
-                    if shift is not None and not shift[0] <= j - i <= shift[1]:
-                        continue
-                    if i and j and free_a[i - 1] and free_b[j - 1] and a[i - 1] == b[j - 1]:
-                        continue  # not the start of a maximal match
-                    k = s
-                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and free_a[i + k] and free_b[j + k]:
-                        k += 1
-                    found.append((k, i, j))
+        for i, j in zip(ii[first].tolist(), jj[first].tolist()):
+            k = 0  # equal hashes are compared token by token
+            while i + k < len(la) and j + k < len(lb) and la[i + k] == lb[j + k] and free_a[i + k] and free_b[j + k]:
+                k += 1
+            if k >= s:
+                found.append((k, i, j))
         found.sort(reverse=True)
         again = False
         for k, i, j in found:
-            if all(free_a[i : i + k]) and all(free_b[j : j + k]):
-                free_a[i : i + k] = [False] * k
-                free_b[j : j + k] = [False] * k
-                out.append((i, j, k))
-            else:
+            if x.marked[i : i + k].any() or y.marked[j : j + k].any():
                 again = True  # what is left of an occluded match may still be a tile
-        if not again or not found:
+            else:
+                x.marked[i : i + k] = True
+                y.marked[j : j + k] = True
+                out.append((i, j, k))
+        if not again:
             s = shortest if s > shortest and s // 2 < shortest else s // 2
     return sorted(out)
 
@@ -190,10 +250,22 @@ def best_run(a: list[int], b: list[int], parts: list[tuple[int, int, int]], rule
     return n, -m
 
 
-def find_in(text: str, index: Index, rule: Rule) -> list[tuple[int, int, int, float]]:
-    """``item_id, run, missing, coverage`` of the candidate items of one document."""
-    get = index.vocab.get
-    t = np.array([get(w, -1) for w in words(text)], np.int64)
+def _spread(count: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each place its number from 0 to ``count`` less one, in parts of about ``most``: a place of many is split too."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    for lo in range(0, total, most):
+        n = np.arange(lo, min(total, lo + most))
+        places = np.searchsorted(ends, n, "right")
+        yield places, n - (ends[places] - count[places])
+
+
+def find_in(text: str, index: Index, rule: Rule, most: int = 1_000_000) -> list[tuple[int, int, int, float]]:
+    """``item_id, run, missing, coverage`` of the candidate items of one document.
+
+    Seeds that many items share are counted per item, ``most`` at a time; only candidates are looked at more closely.
+    """
+    t = _tokens(text, index)
     if len(t) < SEED or not len(index.keys):
         return []
     h = _seeds(t)
@@ -203,31 +275,31 @@ def find_in(text: str, index: Index, rule: Rule) -> list[tuple[int, int, int, fl
     if not len(hit):
         return []
     key = at[hit]
-    n = index.count[key]
-    dpos = np.repeat(hit, n)
-    ref = np.repeat(index.first[key] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-    item, ipos = index.item[ref], index.pos[ref]
     # hits per item along two neighbouring diagonal bands, and distinct seeds per item in any order
-    span = (len(t) + int(np.diff(index.starts).max()) + 2 * BAND) // BAND + 2
-    band = (dpos - ipos + len(index.tokens)) // BAND
-    band -= band.min()
-    code = item * (span + len(index.tokens) // BAND + 2) + band
-    u, c = np.unique(code, return_counts=True)
+    longest = int(np.diff(index.starts).max())
+    width = (len(t) + longest) // BAND + 2
+    codes, seeds = [], np.zeros(len(index.ids), np.int64)
+    for places, which in _spread(index.count[np.unique(key)], most):
+        ref = index.first[np.unique(key)[places]] + which
+        np.add.at(seeds, index.item[ref], 1)
+    for places, which in _spread(index.count[key], most):
+        ref = index.first[key[places]] + which
+        codes.append(np.unique(index.item[ref] * width + (hit[places] - index.pos[ref] + longest) // BAND, return_counts=True))
+    u, back = np.unique(np.concatenate([x for x, _ in codes]), return_inverse=True)
+    c = np.bincount(back, np.concatenate([x for _, x in codes])).astype(np.int64)
     both = c + np.where(np.r_[u[1:] == u[:-1] + 1, False], np.r_[c[1:], 0], 0)
-    width = span + len(index.tokens) // BAND + 2
     # a run of `run` words with the words missing that the rule allows keeps at least this many seeds
     gaps = rule.run // rule.per + rule.slack
     least = max(1, rule.run - gaps - (SEED - 1) * (gaps + 1))
     cand = set((u[both >= least] // width).tolist())
-    own, seeds = np.unique(np.unique(item * (1 << 32) + ipos) >> 32, return_counts=True)
-    length = np.diff(index.starts)[own]
-    cand |= set(own[seeds + SEED - 1 >= rule.coverage * length].tolist())
+    length = np.diff(index.starts)
+    cand |= set(np.flatnonzero((seeds > 0) & (seeds + SEED - 1 >= rule.coverage * length)).tolist())
     around = SEED * (gaps + 1)  # the end of a run that holds no seed is shorter
     out = []
     for x in sorted(cand):
         a = index.tokens[index.starts[x] : index.starts[x + 1]]
-        mine = item == x
-        d, i = dpos[mine], ipos[mine]
+        i, place = _matches(_seeds(a), h[hit])
+        d = hit[place]
         seen, seen_cover = (False, 0, 0), 0.0
         order = np.argsort(d, kind="stable")
         d, i = d[order], i[order]
@@ -235,8 +307,8 @@ def find_in(text: str, index: Index, rule: Rule) -> list[tuple[int, int, int, fl
         for part in np.split(np.arange(len(d)), np.flatnonzero(np.diff(d) > len(a)) + 1):
             lo = max(0, int(d[part].min()) - around)
             hi = min(len(t), int(d[part].max()) + SEED + around)
-            b = t[lo:hi].tolist()
-            got = tiles(a.tolist(), b)
+            b = t[lo:hi]
+            got = tiles(a, b)
             seen_cover = max(seen_cover, sum(k for _, _, k in got) / len(a))
             tilings = [(b, got)]
             # each copy of a passage by itself too: together they share the words of the item
@@ -247,10 +319,10 @@ def find_in(text: str, index: Index, rule: Rule) -> list[tuple[int, int, int, fl
                     lo = max(0, int(d[copy].min()) - around)
                     hi = min(len(t), int(d[copy].max()) + SEED + around)
                     shifts = d[copy] - i[copy] - lo
-                    b = t[lo:hi].tolist()
-                    tilings.append((b, tiles(a.tolist(), b, shift=(int(shifts.min()) - BAND // 2, int(shifts.max()) + BAND // 2))))
+                    b = t[lo:hi]
+                    tilings.append((b, tiles(a, b, shift=(int(shifts.min()) - BAND // 2, int(shifts.max()) + BAND // 2))))
             for b, got in tilings:
-                run, missing = best_run(a.tolist(), b, got, rule)
+                run, missing = best_run(a.tolist(), b.tolist(), got, rule)
                 ok = run >= rule.run and missing <= run / rule.per + rule.slack
                 seen = max(seen, (ok, run, -missing))
         ok, run, missing = seen

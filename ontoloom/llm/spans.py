@@ -3,20 +3,22 @@
 1. Every distinct text is cut into anchors: the substrings of ``min_len // 2`` characters whose hash is least in a
    window. Two texts that share ``min_len`` characters always choose a common anchor inside the shared span.
 2. Anchors of two or more distinct texts are recurring passages. Anchors with the same set of texts form one group.
-3. Around its recurring anchors each text is cut out and streamed, per group, through an Aho-Corasick automaton of
-   the group's passages, sharded so that a task compiles only the passages of its groups and reads only texts that
-   hold them. Every occurrence is extended to both sides; a pair is confirmed when the common span is long enough.
-4. A group of more than ``hot`` texts is never compared pair by pair: its texts are cut into all substrings of
-   ``min_len`` around the anchor, and texts with an equal substring are pairs (exact on 128 bits of hash).
+3. Around its recurring passages each text is cut out and streamed, per group, through an Aho-Corasick automaton of
+   the whole passages of every text of the group, sharded so that a task compiles only the passages of its groups and
+   reads only texts that hold them. Every occurrence is extended to both sides; a pair is confirmed when the common
+   span is long enough.
+4. A group of more than ``hot`` texts is never brought to one task: its texts are cut into all substrings of
+   ``min_len`` around the passages, and texts with an equal substring are pairs (exact on 128 bits of hash).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,7 +29,8 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 BLOCK = 1 << 18  #: characters that are hashed at once; longer texts go in overlapping blocks
 ROWS = 256  #: rows of a batch that are turned into Python strings at once
-_KEY = 40  #: characters of a passage that the automaton holds; the rest is compared where they occur
+FEW = 32  #: contexts of a passage that are compared pair by pair; more are compared by their windows
+COPIES = 1024  #: rows of one key that a task pairs with others; more are split
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
@@ -137,21 +140,15 @@ class _Shard:
     def __init__(self, min_len: int, k: int, extents: bool) -> None:
         self.min_len, self.k, self.extents = min_len, k, extents
         self.pieces: list[tuple[int, int, int, str]] = []  # group, cls, start, text
-        self.passages: dict[str, list[tuple[int, str]]] = {}
+        self.passages: set[tuple[int, str]] = set()
         self.chars = 0
 
     def add_group(self, group: int, rows: list[tuple[int, int, str, list[int]]]) -> None:
-        """``rows``: cls, start, text around its anchors, anchor positions."""
-        lead = min(r[0] for r in rows)
+        """``rows``: cls, start, text around its passages, where they begin."""
         for cls, start, text, at in rows:
             self.pieces.append((group, cls, start, text))
             self.chars += len(text)
-            if cls == lead:
-                for p in at:
-                    passage = text[p - start : p - start + self.k]
-                    own = self.passages.setdefault(passage[:_KEY], [])
-                    if (group, passage) not in own:
-                        own.append((group, passage))
+            self.passages.update((group, text[p - start : p - start + self.k]) for p in at)
 
     def confirm(self) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
         """Confirmed pairs, and the spans of each text where asked for."""
@@ -159,39 +156,60 @@ class _Shard:
         spans: list[tuple[int, int, int]] = []
         if not self.passages:
             return [], []
+        of_word: dict[str, list[int]] = {}
+        for group, passage in self.passages:
+            of_word.setdefault(passage, []).append(group)
         machine = ahocorasick.Automaton()
-        for key, found in self.passages.items():
-            machine.add_word(key, found)
+        for n, (passage, groups) in enumerate(of_word.items()):
+            machine.add_word(passage, (n, groups))
         machine.make_automaton()
-        side = self.min_len - self.k
-        seen: dict[tuple[int, str], dict[tuple[str, str], dict[int, list[int]]]] = {}
+        k, side = self.k, self.min_len - self.k
+        seen: dict[tuple[int, int], dict[tuple[str, str], dict[int, list[int]]]] = {}
         for group, cls, start, text in self.pieces:
-            for end, found in machine.iter(text):
-                p = end - len(found[0][1][:_KEY]) + 1
-                for g, passage in found:
-                    if g == group and text.startswith(passage, p):
-                        context = (text[max(0, p - side) : p], text[p + self.k : p + self.k + side])
-                        seen.setdefault((g, passage), {}).setdefault(context, {}).setdefault(cls, []).append(start + p)
+            for end, (n, groups) in machine.iter(text):
+                if group in groups:
+                    p = end - k + 1
+                    context = (text[max(0, p - side) : p], text[end + 1 : end + 1 + side])
+                    seen.setdefault((group, n), {}).setdefault(context, {}).setdefault(cls, []).append(start + p)
         for contexts in seen.values():
-            known = list(contexts.items())
-            for i, (a, of_a) in enumerate(known):
-                if len(a[0]) + len(a[1]) >= side and len(of_a) > 1:
-                    self._join(pairs, of_a, of_a)
-                    self._extent(spans, of_a, len(a[0]), len(a[1]))
-                for b, of_b in known[i + 1 :]:
-                    if not self.extents and all(c == d or (min(c, d), max(c, d)) in pairs for c in of_a for d in of_b):
-                        continue
-                    if len(of_a) == 1 and len(of_b) == 1 and of_a.keys() == of_b.keys():
-                        continue
-                    x, y = _common(a, b)
-                    if x + y >= side:
-                        self._join(pairs, of_a, of_b)
-                        self._extent(spans, of_a, x, y)
-                        self._extent(spans, of_b, x, y)
+            (self._compare if len(contexts) <= FEW else self._by_windows)(list(contexts.items()), side, pairs, spans)
         return list(pairs), spans
 
+    def _compare(self, known: list, side: int, pairs: set, spans: list) -> None:
+        for i, (a, of_a) in enumerate(known):
+            if len(a[0]) + len(a[1]) >= side and len(of_a) > 1:
+                self._join(pairs, of_a, of_a)
+                self._extent(spans, of_a, len(a[0]), len(a[1]))
+            for b, of_b in known[i + 1 :]:
+                if not self.extents and all(c == d or (min(c, d), max(c, d)) in pairs for c in of_a for d in of_b):
+                    continue
+                if len(of_a) == 1 and len(of_b) == 1 and of_a.keys() == of_b.keys():
+                    continue
+                x, y = _common(a, b)
+                if x + y >= side:
+                    self._join(pairs, of_a, of_b)
+                    self._extent(spans, of_a, x, y)
+                    self._extent(spans, of_b, x, y)
+
+    def _by_windows(self, known: list, side: int, pairs: set, spans: list) -> None:
+        """The same in time in proportion to the contexts: those with an equal window around the passage share it."""
+        told: set[frozenset[int]] = set()
+        for x in range(side + 1):
+            windows: dict[tuple[str, str], list[int]] = {}
+            for i, ((left, right), _) in enumerate(known):
+                if len(left) >= x and len(right) >= side - x:
+                    windows.setdefault((left[len(left) - x :], right[: side - x]), []).append(i)
+            for same in windows.values():
+                classes = frozenset(c for i in same for c in known[i][1])
+                if len(classes) > 1:
+                    if classes not in told:
+                        told.add(classes)
+                        self._join(pairs, classes, classes)
+                    for i in same:
+                        self._extent(spans, known[i][1], x, side - x)
+
     @staticmethod
-    def _join(pairs: set, a: dict, b: dict) -> None:
+    def _join(pairs: set, a: Iterable[int], b: Iterable[int]) -> None:
         pairs.update((min(c, d), max(c, d)) for c in a for d in b if c != d)
 
     def _extent(self, spans: list, at: dict[int, list[int]], x: int, y: int) -> None:
@@ -227,8 +245,36 @@ def _confirm_batches(min_len: int, k: int, extents: bool, chunk: int):
     return run
 
 
-def _window_batches(min_len: int):
-    """All substrings of ``min_len`` of each piece, as two hashes, with where they start."""
+def _cut_batches(min_len: int, k: int):
+    """Texts with their recurring anchors, cut to pieces: one per group and stretch of anchors that stand close together."""
+    side = min_len - k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            anchor = b.column("anchor")
+            grp, hot, lo, hi = (anchor.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            ends = np.cumsum([0, *pc.list_value_length(anchor).to_pylist()])
+            rows: list[tuple] = []
+            for i, (cls, text) in enumerate(zip(b.column("cls").to_pylist(), b.column("text").to_pylist())):
+                part = slice(ends[i], ends[i + 1])
+                order = np.lexsort((lo[part], grp[part]))
+                g, f, a, z = grp[part][order], hot[part][order], lo[part][order].astype(np.int64), hi[part][order].astype(np.int64)
+                new = np.r_[True, g[1:] != g[:-1]]
+                nth = np.cumsum(new) << 40
+                reach = np.maximum.accumulate(z + nth) - nth  # within its group
+                begin = np.flatnonzero(new | np.r_[True, a[1:] - reach[:-1] > min_len])
+                for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(g)]):
+                    start = max(0, int(a[x]) - side)
+                    rows.append((int(g[x]), cls, start, text[start : int(reach[y - 1]) + min_len], np.unique(a[x:y]).tolist(), bool(f[x])))
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), types)], names=["grp", "cls", "start", "text", "at", "hot"])
+
+    return run
+
+
+def _window_batches(min_len: int, places: bool):
+    """All substrings of ``min_len`` of each piece, as two hashes, with where they start if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = _Roller(1), _Roller(2)
@@ -237,14 +283,23 @@ def _window_batches(min_len: int):
                 for at in range(0, max(1, len(text) - min_len + 1), BLOCK):
                     part = text[at : at + BLOCK + min_len - 1]
                     g = one(part, min_len)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(g.view(np.int64)), pa.array(two(part, min_len).view(np.int64)), pa.array(np.full(len(g), cls, np.int64)), pa.array((start + at + np.arange(len(g))).astype(np.int64))],
-                        names=["g", "g2", "cls", "at"],
-                    )
+                    out = [pa.array(g.view(np.int64)), pa.array(two(part, min_len).view(np.int64)), pa.array(np.full(len(g), cls, np.int64))]
+                    if places:
+                        out.append(pa.array((start + at + np.arange(len(g))).astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays(out, names=["g", "g2", "cls", "at"][: len(out)])
 
     return run
 
 
+def _paired(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Pairs ``a < b`` of the items of each key; a key of many items is split, so no task pairs more than ``COPIES`` with all."""
+    n = rows.groupBy(*keys).agg(F.ceil(F.count("*") / COPIES).alias("parts"), F.count("*").alias("items")).filter("items > 1").drop("items")
+    rows = rows.select(*keys, item).join(n, keys)
+    left = rows.select(*keys, F.col(item).alias("a"), F.pmod(F.xxhash64(item), F.col("parts")).alias("part"))
+    right = rows.select(*keys, F.col(item).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return left.join(right, [*keys, "part"]).filter("a < b").select("a", "b")
+
+
 class SharedSpans:
     """The stages of the search over one table; see the module's text.
 
@@ -253,7 +308,7 @@ class SharedSpans:
     tables give no rows; other columns are not read. Equal texts are handled once and paired at the end.
     """
 
-    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_len: int = 200, hot: int = 64, chunk: int = 1_000_000) -> None:
+    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_len: int = 200, hot: int = 64, chunk: int = 400_000) -> None:
         if min_len < 2:
             raise ValueError("min_len must be at least 2")
         self.min_len, self.k, self.hot, self.chunk = min_len, max(1, min_len // 2), hot, chunk
@@ -263,14 +318,14 @@ class SharedSpans:
         )
         x, y = F.xxhash64("text").alias("x"), F.xxhash64("text", F.lit(1)).alias("y")
         texts = docs.select("id", x, y, F.char_length("text").alias("n")).distinct()
-        lead = texts.groupBy("x", "y").agg(F.min("id").alias("lead"))
+        lead = texts.groupBy("x", "y").agg(F.min("id").alias("lead"), F.count("*").alias("copies"))
         # a text goes by its least id; an id that leads several texts goes by its hash for all but the first
         twice = lead.groupBy(F.col("lead").alias("id")).agg(F.count("*").alias("k"), F.min(F.struct("x", "y")).alias("first")).filter("k > 1")
         other = (F.col("first").isNotNull()) & (F.struct("x", "y") != F.col("first"))
         lead = lead.join(broadcast_if_small(twice.select(F.col("id").alias("lead"), "first"), 40), "lead", "left").select(
-            "x", "y", "lead", F.when(other, F.xxhash64("lead", "x", "y").bitwiseOR(F.lit(-(2**63)))).otherwise(F.col("lead")).alias("cls")
+            "x", "y", "lead", "copies", F.when(other, F.xxhash64("lead", "x", "y").bitwiseOR(F.lit(-(2**63)))).otherwise(F.col("lead")).alias("cls")
         )
-        self.members = materialize(texts.join(lead, ["x", "y"]).select("id", "x", "cls", "n", (F.col("id") == F.col("lead")).alias("leads")), "members")
+        self.members = materialize(texts.join(lead, ["x", "y"]).select("id", "x", "cls", "n", "copies", (F.col("id") == F.col("lead")).alias("leads")), "members")
         special = self.members.filter(~F.col("leads") | (F.col("id") != F.col("cls"))).select("id", "x", "leads", "cls")
         self.docs = (
             docs.withColumn("x", F.xxhash64("text"))
@@ -282,46 +337,34 @@ class SharedSpans:
 
     def _find(self) -> None:
         found = materialize(self.docs.mapInArrow(_anchor_batches(self.min_len, self.k), "h long, cls long, lo int, hi int"), "anchors")
-        recurring = found.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a != b").select("h")
-        one = found.join(recurring, "h").groupBy("h", "cls").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        one = materialize(one, "recurring")
-        groups = one.groupBy("h").agg(F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("total"), F.count("*").alias("n"))
-        groups = groups.select("h", "n", F.xxhash64("total", "n").alias("grp"))
-        side = self.min_len - self.k
-        by_text = W.partitionBy("cls", "grp").orderBy("lo")
-        placed = one.join(groups, "h").withColumn(
-            "run", F.sum(F.when(F.col("lo") - F.lag("hi").over(by_text) <= self.min_len, 0).otherwise(1)).over(by_text)
-        )
-        pieces = placed.groupBy("cls", "grp", "run").agg(
-            F.greatest(F.min("lo") - side, F.lit(0)).alias("start"),
-            (F.max("hi") + self.min_len).alias("stop"),
-            F.sort_array(F.collect_list("lo")).alias("at"),
-            F.max("n").alias("n"),
-        )
-        pieces = pieces.groupBy("cls").agg(F.collect_list(F.struct("grp", "start", "stop", "at", "n")).alias("piece"))
-        having = broadcast_if_small(one.select("cls").distinct(), 24)
-        texts = self.docs.join(having, "cls", "left_semi").dropDuplicates(["cls"])
-        cut = texts.join(pieces, "cls").select("cls", "text", F.explode("piece").alias("p")).select(
-            F.col("p.grp").alias("grp"), "cls", F.col("p.start").alias("start"), F.expr("substring(text, p.start + 1, p.stop - p.start)").alias("text"), F.col("p.at").alias("at"), F.col("p.n").alias("n")
-        )
-        self.cut = materialize(cut, "pieces")
-        self.any_hot = self.cut.filter(F.col("n") > self.hot).limit(1).count() > 0
+        # a set of texts goes by its least, greatest, number and exclusive or: equal sets are equal in all, and sets
+        # that are taken for equal by chance would only be looked at together
+        recurring = found.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("n"), F.bit_xor("cls").alias("x")).filter("a != b")
+        recurring = materialize(recurring.select("h", F.xxhash64("a", "b", "n", "x").alias("grp"), (F.col("n") > self.hot).alias("hot")), "recurring")
+        self.any_hot = recurring.filter("hot").limit(1).count() > 0
+        # the anchors of one text: as many as it has characters at most
+        by_text = found.join(broadcast_if_small(recurring, 32), "h").groupBy("cls").agg(F.collect_list(F.struct("grp", "hot", "lo", "hi")).alias("anchor"))
+        by_text = materialize(by_text, "recurring-by-text")
+        texts = self.docs.join(broadcast_if_small(by_text.select("cls"), 24), "cls", "left_semi")
+        cut = texts.join(by_text, "cls").select("cls", "text", "anchor").mapInArrow(_cut_batches(self.min_len, self.k), "grp long, cls long, start long, text string, at array<long>, hot boolean")
+        self.cut = materialize(cut, "pieces") if self.any_hot else cut
 
     def _confirm(self, extents: bool) -> DataFrame:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         schema = "cls long, lo long, hi long" if extents else "a long, b long"
         return (
-            self.cut.filter(F.col("n") <= self.hot)
+            self.cut.filter("NOT hot")
             .select("grp", "cls", "start", "text", "at")
             .repartition(parts, "grp")
             .sortWithinPartitions("grp")
             .mapInArrow(_confirm_batches(self.min_len, self.k, extents, self.chunk), schema)
         )
 
-    def _windows(self) -> DataFrame:
-        """Windows of hot groups that two or more texts share, with a group number by the set of texts."""
-        win = self.cut.filter(F.col("n") > self.hot).select("cls", "start", "text").mapInArrow(_window_batches(self.min_len), "g long, g2 long, cls long, at long")
-        win = materialize(win, "windows")
+    def _windows(self, places: bool) -> DataFrame:
+        """Windows of hot groups that two or more texts share."""
+        schema = "g long, g2 long, cls long" + (", at long" if places else "")
+        win = self.cut.filter("hot").select("cls", "start", "text").mapInArrow(_window_batches(self.min_len, places), schema)
+        win = materialize(win if places else win.distinct(), "windows")
         shared = win.groupBy("g", "g2").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a != b").select("g", "g2")
         return win.join(shared, ["g", "g2"])
 
@@ -329,27 +372,38 @@ class SharedSpans:
         """Distinct pairs ``a < b`` of text classes that share a span."""
         pairs = self._confirm(False)
         if self.any_hot:
-            win = materialize(self._windows().select("g", "g2", "cls").distinct(), "shared-windows")
-            sets = win.groupBy("g", "g2").agg(F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("total"), F.count("*").alias("n"))
-            lead = sets.groupBy("total", "n").agg(F.min(F.struct("g", "g2")).alias("m")).select("m.g", "m.g2")
-            one = win.join(lead, ["g", "g2"])
-            hot = one.alias("x").join(one.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.g2") == F.col("y.g2")) & (F.col("x.cls") < F.col("y.cls")))
-            pairs = pairs.unionByName(hot.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")))
+            win = materialize(self._windows(False), "shared-windows")
+            # one window stands for all that have the same set of texts, as it does for anchors
+            sets = win.groupBy("g", "g2").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("total"))
+            lead = sets.groupBy("a", "b", "n", "total").agg(F.min(F.struct("g", "g2")).alias("m")).select("m.g", "m.g2")
+            pairs = pairs.unionByName(_paired(win.join(lead, ["g", "g2"]), ["g", "g2"], "cls"))
         return pairs.distinct()
 
+    def classes(self) -> DataFrame:
+        """``doc_id, class``: ids of equal texts have one class. With ``text_pairs`` all links, without pairs of copies."""
+        return self.members.select(F.col("id").alias("doc_id"), F.col("cls").alias("class"))
+
+    def _ids(self, pairs: DataFrame, side: str, name: str) -> DataFrame:
+        """``pairs`` with the ids of the class in ``side``; a class of many copies is split over tasks."""
+        parts = F.ceil(F.col("copies") / COPIES)
+        m = self.members.select(F.col("cls").alias(side), F.col("id").alias(name), F.pmod(F.xxhash64("id"), parts).alias("part"))
+        large = self.members.filter(F.col("copies") > COPIES).select(F.col("cls").alias(side), parts.alias("parts")).distinct()
+        pairs = pairs.join(broadcast_if_small(large, 32), side, "left")
+        pairs = pairs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return pairs.join(m, [side, "part"]).drop(side, "part")
+
     def pairs(self) -> DataFrame:
         """Distinct pairs of ids, ``doc_a < doc_b``, whose texts share at least ``min_len`` characters."""
-        m = self.members
-        pairs = self.text_pairs().join(m.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-        same = m.alias("l").join(m.alias("r"), (F.col("l.cls") == F.col("r.cls")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
-        both = pairs.unionByName(same).filter("x != y")
+        pairs = self._ids(self._ids(self.text_pairs(), "a", "x"), "b", "y")
+        same = _paired(self.members.filter("copies > 1").select("cls", "id"), ["cls"], "id")
+        both = pairs.select("x", "y").unionByName(same.select(F.col("a").alias("x"), F.col("b").alias("y"))).filter("x != y")
         return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
     def report(self) -> DataFrame:
         """One row per id: characters, characters inside spans shared with another text or copy, their share, copies."""
         spans = self._confirm(True)
         if self.any_hot:
-            spans = spans.unionByName(self._windows().select("cls", F.col("at").alias("lo"), (F.col("at") + self.min_len).alias("hi")))
+            spans = spans.unionByName(self._windows(True).select("cls", F.col("at").alias("lo"), (F.col("at") + self.min_len).alias("hi")))
         by_text = W.partitionBy("cls").orderBy("lo", "hi")
         before = by_text.rowsBetween(W.unboundedPreceding, -1)
         covered = (
@@ -358,8 +412,7 @@ class SharedSpans:
             .groupBy("cls")
             .agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "seen"))).alias("shared_chars"))
         )
-        copies = self.members.groupBy("cls").agg(F.countDistinct("id").alias("copies"))
-        rows = self.members.join(copies, "cls").join(covered, "cls", "left")
+        rows = self.members.join(covered, "cls", "left")
         shared = F.when(F.col("copies") > 1, F.col("n")).otherwise(F.coalesce("shared_chars", F.lit(0)))
         return rows.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_chars"), shared.cast("long").alias("shared_chars"), (shared / F.col("n")).alias("share"), (F.col("copies") - 1).alias("copies"))
 
