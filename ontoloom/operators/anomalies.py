@@ -155,7 +155,7 @@ def summarize(s: Shard, lim: Limits) -> dict:
         n = np.diff(np.r_[start, len(v)])
         by_value = v[np.lexsort((v, slot))]
         med = (by_value[start + (n - 1) // 2] + by_value[start + n // 2]) / 2
-    change, times = np.unique(np.round(np.abs(np.diff(v)), 4), return_counts=True)
+    change, times = np.unique(np.abs(np.diff(v)), return_counts=True)
     head = int(np.searchsorted(t, t[min(lim.run - 1, len(t) - 1)] + lim.level, "right")) if len(t) else 0
     tail = int(np.searchsorted(t, t[-min(lim.run, len(t))] - lim.level, "left")) if len(t) else 0
     z, frozen_at = (u_all - s.t[has_u]).astype(float), np.zeros(len(u_all), bool)
@@ -171,9 +171,9 @@ def summarize(s: Shard, lim: Limits) -> dict:
     zm = z[mid][keep[mid]]
     return {
         "v": _edges(v_all), "u": _edges(u_all), "nv": len(v_all), "nu": len(u_all),
-        "slot": slot[start].astype(np.int32), "med": med.astype(np.float32),
-        "change": change.astype(np.float32), "times": times.astype(np.int32),
-        "head": (t[:head], v[:head].astype(np.float32)), "tail": (t[tail:], v[tail:].astype(np.float32)), "n": len(t),
+        "slot": slot[start].astype(np.int32), "med": med.astype(np.float32),  # the components need no more digits
+        "change": change, "times": times.astype(np.int32),
+        "head": (t[:head], v[:head]), "tail": (t[tail:], v[tail:]), "n": len(t),
         "lead": z[:lead][~bad[:lead]], "trail": z[len(z) - trail :][~bad[len(z) - trail :]],
         "low": float(zm.min()) if len(zm) else None, "last": _settle(zm, np.inf, lim.ahead)[1] if len(zm) else None,
     }
@@ -205,8 +205,8 @@ def contexts(parts: list[dict], lim: Limits) -> list[dict]:
                         run = (e[last], e[last + 1])
     changes = [np.concatenate([p[x] for p in parts]) for x in ("change", "times")]
     ends = [(p["head"][1][0], p["tail"][1][-1]) for p in parts if p["n"]]
-    gaps = np.round(np.abs(np.array([b[0] - a[1] for a, b in zip(ends, ends[1:])], float)), 4)
-    limit = max(lim.least, lim.times * _weighted_median(np.r_[changes[0].astype(float), gaps], np.r_[changes[1], np.ones(len(gaps), int)]))
+    gaps = np.abs(np.array([b[0] - a[1] for a, b in zip(ends, ends[1:])], float))
+    limit = max(lim.least, lim.times * _weighted_median(np.r_[changes[0], gaps], np.r_[changes[1], np.ones(len(gaps), int)]))
     slots = np.concatenate([p["slot"] for p in parts]).astype(np.int64)
     med = np.concatenate([p["med"] for p in parts]).astype(float)
     levels = []
@@ -248,7 +248,7 @@ def _border(parts: list[dict], i: int, step: int, lim: Limits) -> tuple[np.ndarr
     while 0 <= j < len(parts):
         t, v = parts[j]["head" if step > 0 else "tail"]
         ts.append(t)
-        vs.append(v.astype(float))
+        vs.append(v)
         got += len(t)
         if got >= lim.run:
             flat = np.concatenate(ts if step > 0 else ts[::-1])

@@ -14,12 +14,6 @@ from ontoloom.session import materialize
 #: Spark type of each range.
 SPARK_TYPE = {"int": "int", "long": "bigint", "double": "double", "boolean": "boolean", "dateTime": "timestamp", "string": "string"}
 
-#: Fixed value: parts the names in a signature.
-_SEP = "\x1f"
-
-#: Folders over which the characteristic sets are spread.
-_BUCKETS = 32
-
 _DATE_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?$"
 _DECIMAL = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
@@ -68,75 +62,63 @@ def _unary(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
 def cells(statements: DataFrame, properties: dict[str, tuple[str, bool]], *, subject: Column, attribute: Column, value: Column) -> DataFrame:
     """One row per subject and property: the readable values in canonical text and how many differ.
 
-    ``properties`` maps a property to its range and whether it is multi-valued. Returns ``s, p, value, values,
-    conflict``: ``value`` of a single-valued cell with exactly one readable value, ``values`` (sorted, distinct)
-    of a multi-valued cell, ``conflict`` for a single-valued cell without exactly one. Smallest and largest
-    readable value are summed before rows move, so a hot subject or cell costs one row per task.
+    ``properties`` maps a property to its range and whether it is multi-valued. Returns ``s, p, value, values``:
+    ``value`` of a single-valued cell with exactly one readable value, ``values`` (sorted, distinct) of a
+    multi-valued cell. Equal values of a cell are one before rows move, and smallest and largest are summed before
+    they move again, so a hot subject or cell costs a row per task.
     """
-    kinds = F.create_map(*[x for p, (kind, _) in properties.items() for x in (F.lit(p), F.lit(kind))]) if properties else None
-    if kinds is None:
-        return statements.select(F.lit("").alias("s"), F.lit("").alias("p"), F.lit("").alias("value"), F.array(F.lit("")).alias("values"), F.lit(False).alias("conflict")).limit(0)
-    rows = statements.select(subject.alias("s"), attribute.alias("p"), stripped(value).alias("v"))
-    rows = rows.filter(F.col("s").isNotNull() & F.col("p").isin(*properties) & (F.col("v") != "")).withColumn("kind", kinds[F.col("p")])
+    spark = statements.sparkSession
+    known = spark.createDataFrame([(p, kind, multi) for p, (kind, multi) in properties.items()], "p string, kind string, many boolean")
+    rows = statements.select(subject.alias("s"), attribute.alias("p"), stripped(value).alias("v")).filter(F.col("s").isNotNull() & (F.col("v") != ""))
+    rows = rows.join(F.broadcast(known), "p")  # as many rows as the result has columns
     canonical = reduce(lambda out, k: out.when(F.col("kind") == k[0], k[1]), readers(F.col("v")).items(), F.when(F.lit(False), F.lit(None).cast("string")))
-    many = [p for p, (_, multi) in properties.items() if multi]
-    is_many = F.col("p").isin(*many) if many else F.lit(False)
-    rows = rows.withColumn("c", canonical)
-    # distinct values of multi-valued cells first, so that repeats of one statement never pile up in a cell
     return (
-        rows.groupBy("s", "p", F.when(is_many, F.col("c")).alias("one"))
-        .agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-        .groupBy("s", "p")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_set("one")).alias("values"))
-        .select(
-            "s",
-            "p",
-            F.when(~is_many & (F.col("lo") == F.col("hi")), F.col("lo")).alias("value"),
-            F.when(is_many, F.col("values")).alias("values"),
-            (~is_many & (F.col("lo").isNull() | (F.col("lo") != F.col("hi")))).alias("conflict"),
-        )
+        rows.select("s", "p", "many", canonical.alias("c"))
+        .distinct()
+        .groupBy("s", "p", "many")
+        .agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sort_array(F.collect_set(F.when(F.col("many"), F.col("c")))).alias("values"))
+        .select("s", "p", F.when(~F.col("many") & (F.col("lo") == F.col("hi")), F.col("lo")).alias("value"), F.when(F.col("many"), F.col("values")).alias("values"))
+    )
+
+
+def dense_tables(statements: DataFrame, properties: dict[str, tuple[str, bool]], *, subject: Column, attribute: Column, value: Column) -> DataFrame:
+    """The dense tables of all characteristic sets: ``subject, signature`` and a typed column per property.
+
+    Every set has its rows in stretches of their own, sorted by ``signature``, the sorted properties of the set; the
+    columns that a set lacks are null throughout its stretch, which is what a union by name with missing columns
+    gives. So any number of sets is one table and one scan, and none is left out.
+    """
+    entity = (
+        cells(statements, properties, subject=subject, attribute=attribute, value=value)
+        .groupBy("s")
+        .agg(F.map_from_entries(F.collect_list(F.struct("p", F.struct("value", "values")))).alias("cell"))
+        .withColumn("signature", F.sort_array(F.map_keys("cell")))
     )
+    out = [F.col("s").alias("subject"), F.col("signature").alias("_signature")]
+    for p, (kind, multi) in properties.items():
+        got = F.col("cell")[F.lit(p)]
+        one = partial(_typed, kind=kind)
+        out.append((F.transform(got["values"], _unary(one)) if multi else one(got["value"])).alias(p))
+    return materialize(entity.select(*out).sortWithinPartitions("_signature"), "characteristic-sets")
 
 
-def wide(statements: DataFrame, properties: dict[str, tuple[str, bool]], *, subject: Column, attribute: Column, value: Column, dense_sets: int = 48) -> DataFrame:
+def wide(statements: DataFrame, properties: dict[str, tuple[str, bool]], *, subject: Column, attribute: Column, value: Column) -> DataFrame:
     """One row per subject with one typed column per property, and ``_conflicts``, its cells without a single value.
 
     Method: characteristic sets. Subjects are grouped by the exact set of their properties; each set has a dense
-    table with just its columns, and the dense tables are united by name with missing columns null. The dense
-    tables are branches of one plan, so at most ``dense_sets`` sets (the largest) get a branch of their own and
-    all smaller sets go through one more branch that has every column: no subject is left out.
+    table with just its columns, and the dense tables are united by name with missing columns null (``dense_tables``).
+    In a dense table every single-valued column must have a value: a null there is a conflict.
 
     Cases: a null subject, a property that ``properties`` lacks, a null or blank value give nothing; a subject
     with nothing else gives no row. A single-valued cell whose values do not give exactly one readable value is
-    null and named in ``_conflicts`` (sorted). Multi-valued columns are arrays, sorted by canonical text,
-    distinct, empty if nothing is readable. Equal statements count once. An empty table gives no rows, with
-    all columns. Extra columns of ``statements`` are not read.
+    null and named in ``_conflicts`` (in order of ``properties``). Multi-valued columns are arrays, sorted by
+    canonical text, distinct, empty if nothing is readable. Equal statements count once. An empty table gives no
+    rows, with all columns. Extra columns of ``statements`` are not read; a property may not be called ``subject``,
+    ``_signature`` or ``_conflicts``, and columns that differ in case only need ``spark.sql.caseSensitive``.
     """
-    entity = (
-        cells(statements, properties, subject=subject, attribute=attribute, value=value)
-        .groupBy("s")
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("p", F.struct("value", "values")))).alias("cell"),
-            F.sort_array(F.collect_list(F.when(F.col("conflict"), F.col("p")))).alias("_conflicts"),
-            F.concat_ws(_SEP, F.sort_array(F.collect_list("p"))).alias("signature"),
-        )
-    )
-    entity = materialize(entity.withColumn("bucket", F.pmod(F.xxhash64("signature"), F.lit(_BUCKETS)).cast("int")), "characteristic-sets", by="bucket")
-    found = entity.groupBy("bucket", "signature").count().orderBy(F.desc("count"), "signature").limit(dense_sets).collect()
-    largest = [r.signature for r in found]
-
-    def dense(part: DataFrame, names: list[str]) -> DataFrame:
-        out = [F.col("s").alias("subject")]
-        for p in names:
-            kind, multi = properties[p]
-            got = F.col("cell")[F.lit(p)]
-            one = partial(_typed, kind=kind)
-            out.append((F.transform(got["values"], _unary(one)) if multi else one(got["value"])).alias(p))
-        return part.select(*out, "_conflicts")
-
-    rest = dense(entity.filter(~F.col("signature").isin(*largest)) if largest else entity, list(properties))
-    out = rest
-    for r in found:  # each branch reads the folder of its bucket only
-        own = entity.filter((F.col("bucket") == r.bucket) & (F.col("signature") == r.signature))
-        out = out.unionByName(dense(own, r.signature.split(_SEP)), allowMissingColumns=True)
-    return out.select("subject", *properties, "_conflicts")
+    if taken := {"subject", "_signature", "_conflicts"} & set(properties):
+        raise ValueError(f"properties that are columns already: {sorted(taken)}")
+    rows = dense_tables(statements, properties, subject=subject, attribute=attribute, value=value)
+    empty = [F.when(F.array_contains("_signature", p) & F.col(f"`{p}`").isNull(), F.lit(p)) for p, (_, multi) in properties.items() if not multi]
+    conflicts = F.array_compact(F.array(*empty)) if empty else F.array().cast("array<string>")
+    return rows.select("subject", *[F.col(f"`{p}`") for p in properties], conflicts.alias("_conflicts"))

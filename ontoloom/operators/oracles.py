@@ -25,8 +25,8 @@ _ORPHANS = f"""missing as (select l.*, 'resources' as parent_table from (select
 
 _STRIPPED = r"regexp_replace(v, '^\s+|\s+$', '', 'g')"
 _CELLS = rf"""st as (select {_name('subject')} as subject, {_name('p')} as p, {_STRIPPED} as v from statements),
- ps as (select distinct p, range_type from prop_schema where not multi_valued),
- rd as (select st.subject, st.p, case range_type
+ ps as (select distinct p, range_type, multi_valued from prop_schema),
+ rd as (select st.subject, st.p, multi_valued, case range_type
    when 'int' then case when regexp_full_match(v, '[+-]?[0-9]+') then cast(try_cast(v as integer) as varchar) end
    when 'long' then case when regexp_full_match(v, '[+-]?[0-9]+') then cast(try_cast(v as bigint) as varchar) end
    when 'double' then case when regexp_full_match(v, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') then cast(try_cast(v as double) + 0.0 as varchar) end
@@ -42,7 +42,7 @@ _READINGS = """r as (select distinct meter, time_stamp as t, case when volt is n
  fu as (select meter, t, v, u, count(*) over (partition by meter, g) as n from (select *, sum(c) over (partition by meter order by t, v, u) as g from
    (select *, case when u is distinct from lag(u) over (partition by meter order by t, v, u) then 1 else 0 end as c from r where u is not null))),
  ok as (select *, row_number() over (partition by meter order by t, v, u) as i from r where v >= 0 and v <= 60),
- lim as (select meter, greatest(0.5, 8 * median(d)) as l from (select meter, round(abs(v - lag(v) over (partition by meter order by i)), 4) as d from ok) group by meter),
+ lim as (select meter, greatest(0.5, 8 * median(d)) as l from (select meter, abs(v - lag(v) over (partition by meter order by i)) as d from ok) group by meter),
  lv as (select *, median(v) over (partition by meter order by t range between 3600 preceding and 1 preceding) as lo,
    median(v) over (partition by meter order by t range between 1 following and 3600 following) as hi from ok),
  runs as (select a.meter, a.i, b.i as j from lv a join lv b on b.meter = a.meter and b.i between a.i and a.i + 2 join ok m on m.meter = a.meter and m.i between a.i and b.i join lim on lim.meter = a.meter
@@ -50,10 +50,32 @@ _READINGS = """r as (select distinct meter, time_stamp as t, case when volt is n
  z as (select meter, t, v, u, u - t as z, row_number() over (partition by meter order by t, v, u) as i from fu where n < 12 and u >= 0 and u <= 315360000),
  st as (select meter, i, z as sound, false as flag from z where i = 1
    union all select z.meter, z.i, case when z.z > st.sound + 3600 then st.sound else z.z end, z.z > st.sound + 3600 from st join z on z.meter = st.meter and z.i = st.i + 1),
- bad as (select meter, t, v, u from fv where n >= 12 union select meter, t, v, u from fu where n >= 12
-   union select meter, t, v, u from r where v < 0 or v > 60 or u < 0 or u > 315360000
-   union select ok.meter, ok.t, ok.v, ok.u from ok join runs on runs.meter = ok.meter and ok.i between runs.i and runs.j
-   union select z.meter, z.t, z.v, z.u from z join st on st.meter = z.meter and st.i = z.i where st.flag)"""
+ bad as (select meter, t, v, u, 'frozen' as why from fv where n >= 12 union select meter, t, v, u, 'frozen' from fu where n >= 12
+   union select meter, t, v, u, 'impossible' from r where v < 0 or v > 60 or u < 0 or u > 315360000
+   union select ok.meter, ok.t, ok.v, ok.u, 'spike' from ok join runs on runs.meter = ok.meter and ok.i between runs.i and runs.j
+   union select z.meter, z.t, z.v, z.u, 'uptime' from z join st on st.meter = z.meter and st.i = z.i where st.flag)"""
+
+_SAME = """b.meter = g.meter and b.t = g.time_stamp and b.v is not distinct from case when volt is null or isnan(volt) or volt = -1 then null else volt::double end
+  and b.u is not distinct from g.uptime"""
+
+#: The properties of the schema by range; those with many values are named in ``_MANY``.
+_RANGES = {
+    "double": ("alt", "gain", "lat", "long", "temperature"),
+    "string": ("email", "first_name", "ip_add", "last_name", "mac", "report", "site_name"),
+    "timestamp": ("installed", "time_stamp_v"),
+    "bigint": ("number", "phone", "reserved_data", "uptime", "used_data"),
+    "boolean": ("on", "retired", "unlocked"),
+    "integer": ("power", "status", "voltage"),
+}
+_MANY = ("phone", "report")
+
+
+def _column(p: str, kind: str) -> str:
+    if p in _MANY:
+        return f"array_to_string(any_value(vs) filter (p = '{p}'), '|') as \"{p}\""
+    one = f"max(v) filter (p = '{p}')"
+    return (f"make_timestamp({one}::bigint)" if kind == "timestamp" else f"{one}::{kind}") + f' as "{p}"'
+
 
 _EDGE = """case when {d1} is null then {d0} when sign(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1})) <> sign({d0}) then 0.0
   when sign({d0}) <> sign({d1}) and abs(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1})) > 3 * abs({d0}) then 3 * {d0} else ((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1}) end"""
@@ -82,8 +104,10 @@ _GRID = f"""with u as (select meter, time_stamp as t, avg(volt::double) as v, co
 
 ORACLES = {
     "p1_grid": _GRID,
-    "p4_found": f"""with recursive {_READINGS} select logger_id from logger g where exists (select 1 from bad b where b.meter = g.meter and b.t = g.time_stamp
-  and b.v is not distinct from case when volt is null or isnan(volt) or volt = -1 then null else volt::double end and b.u is not distinct from g.uptime)""",
+    "p4_found": f"with recursive {_READINGS} select logger_id from logger g where exists (select 1 from bad b where {_SAME})",
+    "p4_reasons": f"""with recursive {_READINGS} select logger_id, g.meter, time_stamp, volt, uptime,
+  concat_ws(' ', max(why) filter (why = 'impossible'), max(why) filter (why = 'frozen'), max(why) filter (why = 'spike'), max(why) filter (why = 'uptime')) as reasons
+  from logger g join bad b on {_SAME} group by all""",
     "p2_nodes": f"""with recursive {_LINKS}, nodes as (select tree, node from up union select tree, parent from up union select 'part_of', node from eq where node is not null
    union select 'sub_class_of', {_name('class_id')} from rdf_class where {_name('class_id')} is not null),
  first as (select tree, node, min(parent) as parent from up group by all),
@@ -102,5 +126,9 @@ ORACLES = {
     "p3_found": f"with {_ORPHANS} select link_id from missing",
     "p3_report": f"""with {_ORPHANS} select parent_table, subject_type, strftime(load_closed_at, '%Y-%m') as month, count(*) as missing, count(distinct k) as missing_keys
  from missing group by all""",
-    "p5_found": f"with {_CELLS} select subject, p from rd group by subject, p having count(distinct c) <> 1",
+    "p5_found": f"with {_CELLS} select subject, p from rd where not multi_valued group by subject, p having count(distinct c) <> 1",
+    "p5_wide": f"""with {_CELLS},
+ one as (select subject, p, multi_valued, case when count(distinct c) = 1 then min(c) end as v, list_sort(coalesce(list(distinct c) filter (c is not null), [])) as vs from rd group by all)
+ select subject, {", ".join(_column(p, kind) for kind, ps in _RANGES.items() for p in ps)}, coalesce(string_agg(p, ' ' order by p) filter (not multi_valued and v is null), '') as conflicts
+ from one group by subject""",
 }

@@ -19,8 +19,9 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Periods without a usable reading."""
-    return _grid(spark, d).filter("status != 'observed'").select(F.col("source").alias("meter"), "period_start")
+    """Periods without a usable reading: those that are marked as a gap, and those with a value of the curve."""
+    filled = F.col("value").isNotNull() & ~F.isnan("value")
+    return _grid(spark, d).filter((F.col("n_readings") == 0) & ((F.col("status") == "gap") | filled)).select(F.col("source").alias("meter"), "period_start")
 
 
 def p1_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -109,8 +110,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_wide(spark: SparkSession, d: str) -> DataFrame:
-    """One row per subject, one typed column per property."""
-    return _wide(spark, d).withColumn("_conflicts", F.concat_ws(" ", "_conflicts")).withColumnRenamed("_conflicts", "conflicts")
+    """One row per subject, one typed column per property; times in UTC, lists joined by ``|``, conflicts by blanks."""
+    wide = _wide(spark, d)
+    utc = "TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(unix_micros({}) / 1000000BD as decimal(18, 6)))"
+    shown = {"timestamp": lambda c: F.expr(utc.format(f"`{c}`")), "array": lambda c: F.array_join(F.col(f"`{c}`").cast("array<string>"), "|")}
+    cols = [shown[f.dataType.typeName()](f.name).alias(f.name) if f.dataType.typeName() in shown else F.col(f"`{f.name}`") for f in wide.drop("_conflicts").schema]
+    return wide.select(*cols, F.concat_ws(" ", "_conflicts").alias("conflicts"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_nodes, p2_descendants, p3_found, p3_report, p4_found, p4_reasons, p5_found, p5_wide)}

@@ -45,7 +45,7 @@ def implausible_rows(rows: list[tuple], t_from: int | None = None, t_to: int | N
                 sound = k
         ok = [k for k in keys if k[1] is not None and 0 <= k[1] <= 60]
         t, v = np.array([k[0] for k in ok], float), np.array([k[1] for k in ok], float)
-        limit = max(0.5, 8 * float(np.median(np.round(np.abs(np.diff(v)), 4)))) if len(v) > 1 else 0.5
+        limit = max(0.5, 8 * float(np.median(np.abs(np.diff(v))))) if len(v) > 1 else 0.5
         for a in range(len(v)):
             for n in (1, 2, 3):
                 b = a + n

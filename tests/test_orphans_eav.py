@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ontoloom.functions.iri import expand, is_blank, local_name
@@ -39,9 +40,9 @@ def test_lives(spark):
 PROPS = {"n": ("int", False), "l": ("long", False), "d": ("double", False), "b": ("boolean", False), "t": ("dateTime", False), "s": ("string", False), "m": ("long", True)}
 
 
-def wide(spark, rows, **kw):
+def wide(spark, rows):
     df = spark.createDataFrame([(*r, "x") for r in rows], "s string, p string, v string, value string")
-    return eav.wide(df, PROPS, subject=F.col("s"), attribute=F.col("p"), value=F.col("v"), **kw)
+    return eav.wide(df, PROPS, subject=F.col("s"), attribute=F.col("p"), value=F.col("v"))
 
 
 def test_readable(spark):
@@ -75,13 +76,26 @@ def test_session_zone_does_not_matter(spark):
 
 def test_sets_and_cases(spark):
     rows = [("a", "n", "1"), ("a", "m", "2"), ("a", "m", "02"), ("a", "m", "3"), ("b", "n", "1"), ("c", "s", "x"), ("c", "zz", "y"), (None, "n", "1"), ("d", "n", None), ("d", "n", "  "), ("e", "m", "bad")]
-    for dense in (0, 1, 48):
-        got = {r.subject: r for r in wide(spark, rows, dense_sets=dense).collect()} if dense else None
-        if got is None:
-            continue
-        assert set(got) == {"a", "b", "c", "e"}
-        assert got["a"].m == [2, 3] and got["a"].n == 1 and got["b"].m is None and got["c"].s == "x"
-        assert got["e"].m == [] and got["e"]._conflicts == []
+    got = {r.subject: r for r in wide(spark, rows).collect()}
+    assert set(got) == {"a", "b", "c", "e"}
+    assert got["a"].m == [2, 3] and got["a"].n == 1 and got["b"].m is None and got["c"].s == "x"
+    assert got["e"].m == [] and got["e"]._conflicts == []
     empty = wide(spark, [])
     assert empty.count() == 0 and set(PROPS) < set(empty.columns)
     assert wide(spark, [("a", "s", "y" * 200_000), ("a", "s", "y" * 200_000)]).first()._conflicts == []
+
+
+def test_every_set_lies_together(spark):
+    rows = [(f"{i}", p, "1") for i in range(200) for p in list(PROPS)[: 1 + i % 3]] + [("x", "n", "1"), ("x", "n", "2")]
+    df = spark.createDataFrame(rows, "s string, p string, v string")
+    got = eav.dense_tables(df, PROPS, subject=F.col("s"), attribute=F.col("p"), value=F.col("v"))
+    sets = {tuple(sorted(list(PROPS)[:k])) for k in (1, 2, 3)} | {("n",)}
+    assert {tuple(r._signature) for r in got.select("_signature").distinct().collect()} == sets
+    first = got.filter(F.size("_signature") == 1).agg(*[F.count(p).alias(p) for p in PROPS]).first().asDict()
+    assert [p for p, n in first.items() if n] == sorted({list(PROPS)[0]} | {"n"}, key=list(PROPS).index)
+    parts = got.select(F.spark_partition_id().alias("k"), F.concat_ws(",", "_signature").alias("g")).collect()
+    for k in {r.k for r in parts}:
+        names = [r.g for r in parts if r.k == k]
+        assert sum(a != b for a, b in zip(names, names[1:])) == len(set(names)) - 1
+    with pytest.raises(ValueError):
+        eav.wide(df, {"subject": ("int", False)}, subject=F.col("s"), attribute=F.col("p"), value=F.col("v"))
