@@ -8,7 +8,7 @@ from ontoloom.catalog import Catalog
 from ontoloom.plans.parser import parse
 from ontoloom.plans.planner import Planner, key_of
 from ontoloom.plans.terms import Describe, Select
-from ontoloom.plans.update import apply_changes, clone, rename
+from ontoloom.plans.update import Updater, apply_changes, clone, rename, settled
 
 
 class Engine:
@@ -47,11 +47,18 @@ class Engine:
         """Change a resource's IRI, and every link to it."""
         self.catalog = rename(self.catalog, iri, new)
 
+    def load(self, triples: DataFrame) -> DataFrame:
+        """Merge triples (``src, n, s, p, o, r``) as one version; returns those that were not used, with the reason."""
+        from ontoloom.sources.rdf import load_triples
+
+        loaded = load_triples(self.catalog, triples)
+        self.catalog = settled(self.catalog, loaded.catalog)
+        return loaded.rejected
+
     def lookup(self, iri: str, cls: str | None = None) -> DataFrame:
-        """The row of a resource, as its class stores it; of the given class or the first whose keys fit."""
-        for c in self.catalog.concrete([cls] if cls else None):
-            d = self.catalog.classes[c]
-            key = key_of(iri, d)
-            if key is not None and (cls or d.prefix):
-                return d.table.filter(d.table["id"] == key)
-        raise KeyError(iri)
+        """The row of a resource, as its class stores it; of the given class or the one that has it."""
+        found = Updater(self.catalog).existing([iri], self.catalog.concrete([cls] if cls else None)).get(iri)
+        if found is None:
+            raise KeyError(iri)
+        d = self.catalog.classes[found]
+        return d.table.filter(d.table["id"] == key_of(iri, d))

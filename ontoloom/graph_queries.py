@@ -81,7 +81,7 @@ for _n, _op in (("eq", "="), ("ne", "!="), ("lt", "<"), ("le", "<="), ("gt", ">"
     _sparql(f"filter_{_n}", f"SELECT ?x ?s WHERE {{ ?x a ex:Part ; ex:size ?s . FILTER(?s {_op} 15) }}", f"select {PART('p_partkey')} as x, p_size as s from part where p_size {_op} 15")
 _sparql("filter_two_vars", "SELECT ?o ?a ?b WHERE { ?x a ex:LineItem ; ex:discount ?a ; ex:tax ?b ; ex:order ?o . FILTER(?a < ?b) }", f"select {ORD('l_orderkey')} as o, l_discount as a, l_tax as b from lineitem where l_discount < l_tax")
 _sparql("filter_text", "SELECT ?x WHERE { ?x ex:mktsegment ?m . FILTER(?m > 'FURNITURE') }", f"select {CUST('c_custkey')} as x from customer where c_mktsegment > 'FURNITURE'")
-_sparql("order_1", "SELECT ?x ?p WHERE { ?x a ex:Part ; ex:price ?p } ORDER BY ?p", f"select {PART('p_partkey')} as x, p_retailprice as p from part order by p limit 100000")
+_sparql("order_1", "SELECT ?x ?p WHERE { ?x a ex:Part ; ex:price ?p } ORDER BY ?p", f"select {PART('p_partkey')} as x, p_retailprice as p from part order by p, x")
 _sparql("order_2", "SELECT ?m ?x WHERE { ?x ex:mktsegment ?m ; ex:acctbal ?b } ORDER BY ?m ?b", f"select c_mktsegment as m, {CUST('c_custkey')} as x from customer")
 _sparql("order_limit", "SELECT ?o ?p WHERE { ?o a ex:Order ; ex:totalprice ?p } ORDER BY ?p ?o LIMIT 10", f"select {ORD('o_orderkey')} as o, o_totalprice as p from orders order by p, o limit 10")
 _sparql("order_desc_offset", "SELECT ?o ?p WHERE { ?o a ex:Order ; ex:totalprice ?p } ORDER BY DESC(?p) ?o LIMIT 10 OFFSET 5", f"select {ORD('o_orderkey')} as o, o_totalprice as p from orders order by p desc, o limit 10 offset 5")
@@ -181,10 +181,10 @@ def version_chain(spark: SparkSession, d: str) -> DataFrame:
     return history.chain(table(spark, d, "events"), "user_id", "event_id", "ts", "event_id").select("event_id", F.col("version").cast("long").alias("version"), "prev", "next")
 
 
-@_query("select subject as s, p, resource_ref as o, load_id from links where resource_ref is not null and p = 'located'")
+@_query("select subject as s, p, resource_ref as o, load_id from links where resource_ref is not null and subject is not null and p is not null")
 def reified_meta(spark: SparkSession, d: str) -> DataFrame:
-    """Statements of one property with the load that made them."""
-    t = table(spark, d, "links").filter("resource_ref is not null and p = 'located'")
+    """Statements with the load that made them."""
+    t = table(spark, d, "links").filter("resource_ref is not null and subject is not null and p is not null")
     triples = t.select(F.col("subject").alias("s"), "p", F.col("resource_ref").alias("o")).distinct()
     statements = t.select("subject", F.col("p").alias("predicate"), F.col("resource_ref").alias("object"), "load_id")
     return history.reified(triples, statements).select("s", "p", "o", "load_id")
@@ -192,11 +192,11 @@ def reified_meta(spark: SparkSession, d: str) -> DataFrame:
 
 # time series
 
-_LOG = "(select * from logger where time_stamp >= 1546300800 and time_stamp < 1577836800)"
+_LOG = "logger"
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "logger").filter("time_stamp >= 1546300800 and time_stamp < 1577836800")
+    return table(spark, d, "logger")
 
 
 @_query(f"""select logger_id, case when pt is null then null when pt < time_stamp - uptime then coalesce(data_bytes, 0) else coalesce(data_bytes, 0) - coalesce(pd, 0) end as delta
@@ -265,7 +265,7 @@ def ts_compress(spark: SparkSession, d: str) -> DataFrame:
 def stream_daily(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts of the event table, read as a stream."""
     s = events.event_stream(spark, f"{d}/[e]vents.parquet", table(spark, d, "events").schema, "ts")
-    rows = events.run_to_end(events.windowed(s, "ts", "1 day", ["event_type"], "value"), "daily")
+    rows = events.run_to_end(events.windowed(s, "ts", "1 day", ["event_type"], "value"), "daily", ["start", "stop", "event_type"])
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

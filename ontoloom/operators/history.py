@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ontoloom.operators.shards import NEXT, PREV, bare, neighbours, running
+
 
 def versions(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """``df`` with ``version`` (from 1) per key in the given order."""
-    return df.withColumn("version", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    """``df`` with ``version`` (from 1) per key in the given order; a long history is spread over its weeks."""
+    return bare(running(df.withColumn("__one", F.lit(1).cast("long")), key, list(order), "__one", "version")).drop("__one")
 
 
 def chain(df: DataFrame, key: str, ident: str, *order: str) -> DataFrame:
     """``versions`` with ``prev`` and ``next``, the identifiers of the neighbouring versions."""
-    w = W.partitionBy(key).orderBy(*order)
-    return versions(df, key, *order).withColumn("prev", F.lag(ident).over(w)).withColumn("next", F.lead(ident).over(w))
+    near = neighbours(df, key, list(order), [ident], ahead=True)
+    return versions(near.withColumn("prev", F.col(PREV)[ident]).withColumn("next", F.col(NEXT)[ident]), key, *order)
 
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -32,8 +33,7 @@ def snapshot(df: DataFrame, key: str, time: str, at) -> DataFrame:
 
 def movement(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     """Versions in which ``value`` differs from the version before: ``key, version, before, after``."""
-    w = W.partitionBy(key).orderBy(*order)
-    v = versions(df, key, *order).withColumn("before", F.lag(value).over(w))
+    v = versions(neighbours(df.select(*dict.fromkeys([key, value, *order])), key, list(order), [value]).withColumn("before", F.col(PREV)[value]), key, *order)
     return v.filter((F.col("version") > 1) & ~F.col("before").eqNullSafe(F.col(value))).select(key, "version", "before", F.col(value).alias("after"))
 
 

@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ontoloom.operators.shards import PREV, bare, neighbours, running
+
 
 def counter_delta(df: DataFrame, *, source: str, time: str, counter: str, uptime: str, tie: str) -> DataFrame:
     """``df`` with ``delta``: the counter's growth since the reading before, or the whole counter after a restart.
 
     A restart lies between two readings if the one before is older than this one's uptime. The first reading of a
-    source has no delta. ``tie`` orders readings of one time. Null counters count as 0.
+    source has no delta. ``tie`` orders readings of one time. Null counters count as 0. A source is spread over
+    its weeks, as in all functions of this module.
     """
-    w = W.partitionBy(source).orderBy(time, tie)
-    now, before = F.coalesce(F.col(counter), F.lit(0)), F.coalesce(F.lag(counter).over(w), F.lit(0))
-    prev = F.lag(time).over(w)
-    return df.withColumn("delta", F.when(prev.isNull(), None).when(prev < F.col(time) - F.col(uptime), now).otherwise(now - before))
+    rows = neighbours(df, source, [time, tie], [counter])
+    now, before = F.coalesce(F.col(counter), F.lit(0)), F.coalesce(F.col(PREV)[counter], F.lit(0))
+    prev = F.col(PREV)[time]
+    return bare(rows.withColumn("delta", F.when(prev.isNull(), None).when(prev < F.col(time) - F.col(uptime), now).otherwise(now - before)))
+
+
+def _changes(same: list[str]) -> Column:
+    out = F.lit(False)
+    for c in same:
+        out |= ~F.col(c).eqNullSafe(F.col(PREV)[c])
+    return out
 
 
 def islands(df: DataFrame, *, source: str, time: str, gap: int, same: list[str] | None = None, tie: str | None = None) -> DataFrame:
@@ -24,15 +33,12 @@ def islands(df: DataFrame, *, source: str, time: str, gap: int, same: list[str]
 
     One row per stretch: source, the columns of ``same``, ``start``, ``stop``, ``n``. Nulls in ``same`` are equal.
     """
-    same = same or []
-    w = W.partitionBy(source).orderBy(time, *([tie] if tie else []))
-    broken = F.col(time) - F.lag(time).over(w) > gap
-    for c in same:
-        broken |= ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    flag = F.when(F.lag(time).over(w).isNull() | broken, 1).otherwise(0)
+    same, order = same or [], [time, *([tie] if tie else [])]
+    rows = neighbours(df, source, order, same)
+    prev = F.col(PREV)[time]
+    flag = F.when(prev.isNull() | (F.col(time) - prev > gap) | _changes(same), 1).otherwise(0)
     return (
-        df.withColumn("__flag", flag)
-        .withColumn("__island", F.sum("__flag").over(w.rowsBetween(W.unboundedPreceding, 0)))
+        running(rows.withColumn("__flag", flag.cast("long")), source, order, "__flag", "__island")
         .groupBy(source, "__island", *same)
         .agg(F.min(time).alias("start"), F.max(time).alias("stop"), F.count("*").alias("n"))
         .drop("__island")
@@ -41,8 +47,8 @@ def islands(df: DataFrame, *, source: str, time: str, gap: int, same: list[str]
 
 def breaks(df: DataFrame, *, source: str, time: str, gap: int, tie: str) -> DataFrame:
     """Down-times: ``source, from_time, to_time`` where two readings are more than ``gap`` apart."""
-    w = W.partitionBy(source).orderBy(time, tie)
-    return df.select(source, F.lag(time).over(w).alias("from_time"), F.col(time).alias("to_time")).filter(F.col("to_time") - F.col("from_time") > gap)
+    rows = neighbours(df.select(source, time, tie), source, [time, tie], [])
+    return rows.select(source, F.col(PREV)[time].alias("from_time"), F.col(time).alias("to_time")).filter(F.col("to_time") - F.col("from_time") > gap)
 
 
 def recent(df: DataFrame, time: str, length: Column | int) -> DataFrame:
@@ -71,8 +77,5 @@ def day_marks(df: DataFrame, time: str) -> DataFrame:
 
 def compress(df: DataFrame, *, source: str, time: str, same: list[str], tie: str) -> DataFrame:
     """First rows of stretches in which the columns of ``same`` do not change."""
-    w = W.partitionBy(source).orderBy(time, tie)
-    change = F.lag(time).over(w).isNull()
-    for c in same:
-        change |= ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    return df.withColumn("__new", change).filter("__new").drop("__new")
+    rows = neighbours(df, source, [time, tie], same)
+    return bare(rows.filter(F.col(PREV).isNull() | _changes(same)))

@@ -57,15 +57,20 @@ def text_of(c: Column, b: Binding) -> Column:
     return iri_of(c, b)
 
 
-def key_of(iri: str, c: ClassDef) -> Column | None:
+def key_value(iri: str, c: ClassDef) -> int | str | None:
     """The key of an IRI in the table of ``c``; None if it cannot be one of its instances."""
     if not iri.startswith(c.prefix):
         return None
-    kind = c.table.schema["id"].dataType
     rest = iri[len(c.prefix) :]
-    if isinstance(kind, T.IntegralType):
-        return F.lit(int(rest)).cast(kind) if rest.lstrip("-").isdigit() and str(int(rest)) == rest and abs(int(rest)) < 2**63 else None
-    return F.lit(rest)
+    if isinstance(c.table.schema["id"].dataType, T.IntegralType):
+        return int(rest) if rest.lstrip("-").isdigit() and str(int(rest)) == rest and abs(int(rest)) < 2**63 else None
+    return rest
+
+
+def key_of(iri: str, c: ClassDef) -> Column | None:
+    """``key_value`` as a column of the key's type."""
+    key = key_value(iri, c)
+    return None if key is None else F.lit(key).cast(c.table.schema["id"].dataType)
 
 
 def _entry(name: str, b: Binding):

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ontoloom.catalog import ID, SELF, TYPE, Catalog, CatalogError, ClassDef, PropertyDef
 from ontoloom.functions.lexical import parse_prefix
-from ontoloom.plans.planner import Binding, Planner, Solution, col_of, iri_of, key_of, text_of
+from ontoloom.plans.planner import Binding, Planner, Solution, col_of, iri_of, key_of, key_value, text_of
 from ontoloom.plans.terms import Blank, Change, Iri, Lit, Term, Triple, Var
 from ontoloom.session import materialize
 
@@ -50,14 +50,23 @@ class Updater:
 
     # which class a subject belongs to
 
-    def _exists(self, iri: str) -> str | None:
-        """The class that has an instance of this IRI."""
-        for c in self.catalog.concrete():
+    def existing(self, iris: list[str], classes: list[str] | None = None) -> dict[str, str]:
+        """The class that has an instance of each IRI, for those that exist: one job for all of them and all classes."""
+        parts = []
+        for place, c in enumerate(self.catalog.concrete() if classes is None else classes):
             d = self.catalog.classes[c]
-            key = key_of(iri, d)
-            if key is not None and d.table.filter(F.col("id") == key).limit(1).count():
-                return c
-        return None
+            kind = d.table.schema["id"].dataType
+            wanted = [(x, k) for x in iris if (k := key_value(x, d)) is not None]
+            if wanted:  # no more than the text of a statement names
+                keys = self.catalog.spark.createDataFrame(wanted, T.StructType([T.StructField("iri", T.StringType()), T.StructField("k", T.LongType() if isinstance(kind, T.IntegralType) else T.StringType())]))
+                parts.append(d.table.select("id").join(F.broadcast(keys.select("iri", F.col("k").cast(kind).alias("id"))), "id").select(F.lit(place).alias("place"), F.lit(c).alias("cls"), "iri").distinct())
+        if not parts:
+            return {}
+        found = reduce(DataFrame.unionByName, parts).groupBy("iri").agg(F.min(F.struct("place", "cls"))["cls"].alias("cls")).collect()
+        return {r.iri: r.cls for r in found}
+
+    def _exists(self, iri: str) -> str | None:
+        return self.existing([iri]).get(iri)
 
     def _named(self, triples: list[Triple]) -> dict[str, str]:
         """IRIs of the new blank nodes of a statement: a digest of the version and the place."""
@@ -73,11 +82,13 @@ class Updater:
         """New rows for unknown subjects that name their class, and for bracketed nodes."""
         types: dict[str, str] = {}
         subjects: list[str] = []
+        met: set[str] = set()
         for t in triples:
             if isinstance(t.s, Var):
                 continue
             s = _ground(t.s, names)[0]
-            if s not in subjects:
+            if s not in met:
+                met.add(s)
                 subjects.append(s)
             if isinstance(t.p, Iri) and t.p.value == TYPE and isinstance(t.o, Iri):
                 types[s] = t.o.value
@@ -93,8 +104,10 @@ class Updater:
                 names[n] = c.prefix + str(int(name[2:], 16) >> 2)
                 subjects = [names[n] if x == name else x for x in subjects]
         rows: dict[str, list[str]] = {}
-        for s in [*subjects, *[names[n] for n in names if names[n] not in subjects]]:
-            if self._exists(s):
+        subjects += [names[n] for n in names if names[n] not in subjects]
+        there = self.existing(subjects)
+        for s in subjects:
+            if s in there:
                 continue
             if s not in types:
                 raise CatalogError(f"{s} does not exist and names no class")
@@ -341,10 +354,14 @@ def apply_changes(catalog: Catalog, changes: list[Change]) -> tuple[Catalog, lis
     """
     u = Updater(catalog)
     u.run(changes)
-    out = u.catalog
-    if out.version // CUT_AFTER > catalog.version // CUT_AFTER:
-        changed = {c: (materialize(d.table, "class"), d.prefix) for c, d in out.classes.items() if d.rows is not None and d.rows is not catalog.classes[c].rows}
+    return settled(catalog, u.catalog), [m.iri for m in u.made]
+
+
+def settled(before: Catalog, out: Catalog) -> Catalog:
+    """``out`` with the tables that changed since ``before`` written to the shared folder, every ``CUT_AFTER`` versions."""
+    if out.version // CUT_AFTER > before.version // CUT_AFTER:
+        changed = {c: (materialize(d.table, "class"), d.prefix) for c, d in out.classes.items() if d.rows is not None and (c not in before.classes or d.rows is not before.classes[c].rows)}
         version = out.version
         out = out.with_tables(changed)
         out.version = version
-    return out, [m.iri for m in u.made]
+    return out

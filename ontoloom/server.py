@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import threading
+from collections.abc import Iterator
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import chain
 from urllib.parse import parse_qs, unquote, urlparse
 
 from ontoloom.catalog import CatalogError
@@ -12,19 +14,31 @@ from ontoloom.plans.parser import QuerySyntaxError, parse
 from ontoloom.sinks import writers
 
 
-def answer(engine: Engine, text: str, accept: str = "xml") -> tuple[str, str]:
-    """Media type and body of a query, or of an update's reply (the description of what it created)."""
-    is_update = isinstance(parse(text, engine.catalog.namespaces, engine.catalog.base), list)
-    if is_update:
+def is_update(engine: Engine, text: str) -> bool:
+    return isinstance(parse(text, engine.catalog.namespaces, engine.catalog.base), list)
+
+
+def lines(engine: Engine, text: str, accept: str = "xml") -> tuple[str, Iterator[str]]:
+    """Media type and lines of a query, or of an update's reply (the description of what it created).
+
+    The lines of a query come one partition at a time, so a long answer is never whole on the driver. A query
+    reads the catalog as it is when it starts; an update replaces it and changes nothing that is being read.
+    """
+    if is_update(engine, text):
         made = engine.update(text)
-        lines = [r.value for iri in made for r in writers.describe_rdf_xml(engine.catalog, engine.describe(iri)).collect()]
-        return "application/rdf+xml", "\n".join(lines)
+        return "application/rdf+xml", (r.value for iri in made for r in writers.describe_rdf_xml(engine.catalog, engine.describe(iri)).collect())
     df = engine.query(text)
     if df.columns == ["s", "p", "o", "is_resource"]:
-        return "application/rdf+xml", "\n".join(r.value for r in writers.describe_rdf_xml(engine.catalog, df).toLocalIterator())
+        return "application/rdf+xml", (r.value for r in writers.describe_rdf_xml(engine.catalog, df).toLocalIterator())
     if accept == "csv":
-        return "text/csv", "\n".join(writers.csv(df))
-    return "application/sparql-results+xml", "\n".join(writers.sparql_xml(df))
+        return "text/csv", writers.csv(df)
+    return "application/sparql-results+xml", writers.sparql_xml(df)
+
+
+def answer(engine: Engine, text: str, accept: str = "xml") -> tuple[str, str]:
+    """``lines`` as one text."""
+    kind, body = lines(engine, text, accept)
+    return kind, "\n".join(body)
 
 
 def serve(engine: Engine, port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
@@ -35,19 +49,27 @@ def serve(engine: Engine, port: int = 0, host: str = "127.0.0.1") -> ThreadingHT
         def log_message(self, *args) -> None:
             pass
 
-        def _send(self, status: int, kind: str, body: str) -> None:
-            data = body.encode()
+        def _send(self, status: int, kind: str, *body: str) -> None:
+            self._stream(status, kind, iter(body))
+
+        def _stream(self, status: int, kind: str, parts: Iterator[str], between: str = "") -> None:
+            """The body ends with the connection; its first part is there before the status is sent."""
+            first = next(parts, None)
             self.send_response(status)
             self.send_header("Content-Type", kind)
-            self.send_header("Content-Length", str(len(data)))
             self.end_headers()
-            self.wfile.write(data)
+            for n, part in enumerate(chain([] if first is None else [first], parts)):
+                self.wfile.write(((between if n else "") + part).encode())
 
         def _query(self, text: str, accept: str) -> None:
             try:
-                with lock:
-                    kind, body = answer(engine, text, accept)
-                self._send(200, kind, body)
+                if is_update(engine, text):
+                    with lock:
+                        kind, body = lines(engine, text, accept)
+                        body = iter(list(body))  # the description of what one update created
+                else:
+                    kind, body = lines(engine, text, accept)
+                self._stream(200, kind, body, "\n")
             except (QuerySyntaxError, CatalogError, ValueError) as e:
                 self._send(400, "text/plain", str(e))
 
@@ -57,8 +79,7 @@ def serve(engine: Engine, port: int = 0, host: str = "127.0.0.1") -> ThreadingHT
             if url.path == "/sparql" and "query" in args:
                 self._query(args["query"][0], args.get("format", ["xml"])[0])
             elif url.path.startswith("/rest"):
-                status, body = writers.rest(engine.catalog, unquote(url.path))
-                self._send(status, "application/json", body)
+                self._stream(*writers.rest_parts(engine.catalog, unquote(url.path)))
             elif url.path.startswith("/r/"):
                 body = writers.rendered(engine.catalog, unquote(url.path[3:]))
                 self._send(200 if body is not None else 404, "text/plain", body if body is not None else "not found")

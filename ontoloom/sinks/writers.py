@@ -227,26 +227,39 @@ def rest_rows(catalog: Catalog, c: ClassDef, rows: DataFrame | None = None) -> D
     return (c.table if rows is None else rows).select(F.to_json(F.struct(iri.alias("id"), *[j.alias(p.name) for _, p, j in _json_fields(catalog, c)])).alias("value"))
 
 
-def rest(catalog: Catalog, path: str) -> tuple[int, str]:
-    """``/rest``: class names; ``/rest/Class``: all its ids; ``/rest/Class/id``: one resource."""
+def rest_parts(catalog: Catalog, path: str) -> tuple[int, str, Iterator[str]]:
+    """Status, media type and parts of the body. ``/rest``: class names; ``/rest/Class``: all its ids, which come
+    one partition at a time; ``/rest/Class/id``: one resource."""
+
+    def ids(c: ClassDef) -> Iterator[str]:
+        yield "["
+        for n, r in enumerate(c.table.select(iri_of(F.col("id"), Binding("res", c.prefix)).alias("i")).toLocalIterator()):
+            yield (", " if n else "") + json.dumps(r.i)
+        yield "]"
+
+    kind = "application/json"
     parts = [x for x in path.split("/") if x][1:]
     by_name = {split_iri(c)[1]: catalog.classes[c] for c in catalog.concrete()}
     if not parts:
-        return 200, json.dumps(sorted(by_name))
+        return 200, kind, iter([json.dumps(sorted(by_name))])
     c = by_name.get(parts[0])
-    if c is None or len(parts) > 2:
-        return 404, json.dumps({"error": "not found"})
-    iri = iri_of(F.col("id"), Binding("res", c.prefix))
-    if len(parts) == 1:
-        return 200, json.dumps([r.i for r in c.table.select(iri.alias("i")).toLocalIterator()])
-    local = parts[1]
-    for full in (local, split_iri(c.prefix)[0] + local if c.prefix else local, split_iri(c.iri)[0] + local):
-        key = key_of(full, c)
-        if key is not None:
-            got = rest_rows(catalog, c, c.table.filter(F.col("id") == key)).limit(1).collect()
-            if got:
-                return 200, got[0].value
-    return 404, json.dumps({"error": "not found"})
+    if c is not None and len(parts) == 1:
+        return 200, kind, ids(c)
+    if c is not None and len(parts) == 2:
+        local = parts[1]
+        for full in (local, split_iri(c.prefix)[0] + local if c.prefix else local, split_iri(c.iri)[0] + local):
+            key = key_of(full, c)
+            if key is not None:
+                got = rest_rows(catalog, c, c.table.filter(F.col("id") == key)).limit(1).collect()
+                if got:
+                    return 200, kind, iter([got[0].value])
+    return 404, kind, iter([json.dumps({"error": "not found"})])
+
+
+def rest(catalog: Catalog, path: str) -> tuple[int, str]:
+    """``rest_parts`` as one text."""
+    status, _, parts = rest_parts(catalog, path)
+    return status, "".join(parts)
 
 
 def rendered(catalog: Catalog, iri: str) -> str | None:

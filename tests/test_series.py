@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontoloom.functions import lexical as L
-from ontoloom.operators import history, timeseries
+from ontoloom.operators import history, shards, timeseries
 from ontoloom.shop import shop
 from ontoloom.streaming import events
 
@@ -60,13 +60,44 @@ def test_streams(spark, sf, tmp_path):
     assert sess.agg(F.sum("n")).first()[0] == src.count()
 
 
-def test_stream_updates(spark, sf, tmp_path):
+def test_update_mode_gives_every_window_once(spark, sf, tmp_path):
+    src = spark.read.parquet(f"{sf}/events.parquet")
+    src.withColumn("day", F.to_date("ts")).repartitionByRange(4, "ts").drop("day").write.parquet(str(tmp_path / "in"))
+    s = events.event_stream(spark, str(tmp_path / "in"), src.schema, "ts", late="60 days", files=1)
+    rows = events.run_to_end(events.windowed(s, "ts", "1 day", ["event_type"], "value"), "days", ["start", "stop", "event_type"])
+    want = src.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count("*").alias("n"))
+    assert {(str(r.d), r.event_type, r.n) for r in rows.select(F.to_date("start").alias("d"), "event_type", "n").collect()} == {(str(r.d), r.event_type, r.n) for r in want.collect()}
+
+
+def test_stream_of_triples(spark, sf, tmp_path):
     from ontoloom.engine import Engine
 
+    ex = "http://example.org/shop#"
     (tmp_path / "in").mkdir()
-    spark.createDataFrame([(3, "Renamed")], "k int, n string").write.mode("append").parquet(str(tmp_path / "in"))
+    rows = [(0, ex + "nation_3", ex + "name", "First", False), (1, ex + "nation_3", ex + "name", "Renamed", False), (2, ex + "nation_900", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", ex + "Nation", True), (3, ex + "nation_900", ex + "name", "New", False), (4, ex + "nation_901", ex + "name", "nobody", False)]
+    schema = "n long, s string, p string, o string, r boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     e = Engine(shop(spark, sf))
-    stream = spark.readStream.schema("k int, n string").parquet(str(tmp_path / "in"))
-    text = lambda df: [f"INSERT DATA {{ ex:nation_{r.k} ex:name '{r.n}' . }}" for r in df.limit(1000).collect()]
-    events.apply_updates(stream, e, text, str(tmp_path / "cp")).awaitTermination()
+    events.apply_triples(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), e, str(tmp_path / "cp")).awaitTermination()
     assert e.query("SELECT ?n WHERE { ex:nation_3 ex:name ?n }").first().n == "Renamed"
+    assert [r.n for r in e.query("SELECT ?n WHERE { ex:nation_900 ex:name ?n }").collect()] == ["New"]
+    assert e.query("SELECT ?n WHERE { ex:nation_901 ex:name ?n }").count() == 0
+
+
+@pytest.mark.parametrize("shard", [50, 100_000])
+def test_shards_equal_one_window(spark, shard):
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "b", None]), r.choice([None, *range(0, 900, 7)]), i, r.choice([1, 1, 2, None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "s string, t long, i long, v long")
+    got = {x.i: x for x in shards.running(shards.neighbours(df, "s", ["t", "i"], ["v"], shard=shard, ahead=True).withColumn("one", F.lit(1)), "s", ["t", "i"], "one", "k", shard=shard).collect()}
+    assert len(got) == 400
+    for source in ("a", "b", None):
+        own = sorted((x for x in rows if x[0] == source), key=lambda x: (-1 if x[1] is None else x[1], x[2]))
+        for k, x in enumerate(own):
+            g = got[x[2]]
+            before, after = (own[k - 1] if k else None), (own[k + 1] if k + 1 < len(own) else None)
+            assert g.k == k + 1
+            assert (g[shards.PREV] and (g[shards.PREV].i, g[shards.PREV].v)) == (before and (before[2], before[3]))
+            assert (g[shards.NEXT] and (g[shards.NEXT].i, g[shards.NEXT].v)) == (after and (after[2], after[3]))

@@ -11,6 +11,8 @@ from ontoloom.shop import shop
 from ontoloom.sinks import writers
 from tests.graphs import EX, catalog
 
+EX_SHOP = "http://example.org/shop#"
+
 
 def rows(df):
     return sorted(tuple(map(str, r)) for r in df.collect())
@@ -26,6 +28,42 @@ def test_save_and_load(spark, tmp_path):
         Engine(back).update("INSERT DATA { ex:z a ex:A }")
 
 
+def test_save_where_it_was_loaded_from(spark, sf, tmp_path):
+    path = str(tmp_path / "s")
+    first = shop(spark, sf)
+    assert store.save(first, path) == 1
+    names = lambda c: rows(Engine(c).query("SELECT ?x ?n WHERE { ?x a ex:Region ; ex:name ?n }"))
+    for k in (2, 3, 4):
+        e = Engine(store.load(first, path))
+        e.update(f"INSERT DATA {{ ex:region_1 ex:name 'name {k}' }}")
+        assert store.save(e.catalog, path) == k
+        assert (EX_SHOP + "region_1", f"name {k}") in names(store.load(first, path))
+    assert len(names(store.load(first, path))) == 5
+    assert (EX_SHOP + "region_1", "name 3") in names(store.load(first, path, version=3))
+    with pytest.raises(CatalogError):  # only the last two are kept
+        store.load(first, path, version=1)
+
+
+def test_a_failed_save_leaves_the_version_before(spark, tmp_path):
+    cat = catalog(spark)
+    store.save(cat, str(tmp_path))
+    c = cat.classes[EX + "C"]
+    bad = c.table.withColumn("n", F.raise_error(F.lit("lost")).cast(c.table.schema["n"].dataType))
+    with pytest.raises(Exception, match="lost"):
+        store.save(cat.with_tables({EX + "C": (bad, c.prefix)}), str(tmp_path))
+    assert rows(store.load(cat, str(tmp_path)).classes[EX + "C"].table) == rows(c.table)
+    with pytest.raises(CatalogError):
+        store.load(cat, str(tmp_path / "nothing"))
+
+
+def test_lookup_finds_the_class_that_has_the_row(spark, sf):
+    e = Engine(catalog(spark))
+    assert e.lookup(EX + "c1").first()["n"] == 7
+    with pytest.raises(KeyError):
+        e.lookup(EX + "nobody")
+    assert Engine(shop(spark, sf)).lookup("http://example.org/shop#nation_3").count() == 1
+
+
 def test_clone_and_rename(spark, sf):
     e = Engine(catalog(spark))
     e.clone(EX + "a1", EX + "copy")
