@@ -43,3 +43,15 @@ def expand(ref: Column, ns: str = MON, prefix: str = MON_PREFIX, bare: bool = Fa
 def local_name(iri: Column, ns: str = MON) -> Column:
     """What follows the namespace; an IRI of another namespace stays whole."""
     return F.when(iri.startswith(ns), F.substring(iri, len(ns) + 1, 1_000_000)).otherwise(iri)
+
+
+def local(ref: Column, ns: str = MON, prefix: str = MON_PREFIX) -> Column:
+    """The local name of a reference in any spelling: ``local_name(expand(ref, bare=True))`` without the way round.
+
+    An IRI of another namespace stays whole; null and blank give null.
+    """
+    s = stripped(ref)
+    out = F.when(s == "", F.lit(None).cast("string"))
+    for start in ("#", prefix + ":", ns):
+        out = out.when(s.startswith(start), F.substring(s, len(start) + 1, 1_000_000))
+    return out.otherwise(s)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.functions.iri import expand, local_name
+from ontoloom.functions.iri import expand, local
 from ontoloom.operators import anomalies, eav, hierarchy, orphans
 from ontoloom.operators.grid import regular_grid
 from ontoloom.session import table
@@ -31,9 +31,9 @@ def p1_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
     now = hierarchy.current_version(table(spark, d, "equipment"), "equipment_id", "time_stamp")
-    part = hierarchy.links_of(now, "part_of", local_name(expand(F.col("equipment_id"), bare=True)), local_name(expand(F.col("part_of"), bare=True)))
+    part = hierarchy.links_of(now, "part_of", local(F.col("equipment_id")), local(F.col("part_of")))
     cls = table(spark, d, "rdf_class")
-    sub = hierarchy.links_of(cls, "sub_class_of", local_name(expand(F.col("class_id"), bare=True)), local_name(expand(F.col("sub_class_of"), bare=True)))
+    sub = hierarchy.links_of(cls, "sub_class_of", local(F.col("class_id")), local(F.col("sub_class_of")))
     return part.unionByName(sub)
 
 
@@ -100,8 +100,7 @@ def _properties(spark: SparkSession, d: str, most: int = 10_000) -> dict[str, tu
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
-    p = expand(F.col("p"))
-    return eav.wide(table(spark, d, "statements"), _properties(spark, d), subject=local_name(expand(F.col("subject"), bare=True)), attribute=local_name(p), value=F.col("v"))
+    return eav.wide(table(spark, d, "statements"), _properties(spark, d), subject=local(F.col("subject")), attribute=local(F.col("p")), value=F.col("v"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ontoloom.functions.iri import expand, is_blank, local_name
+from ontoloom.functions.iri import expand, is_blank, local, local_name
 from ontoloom.operators import eav, orphans
 
 D = lambda day, month=1: dt.datetime(2019, month, day)
@@ -99,3 +99,10 @@ def test_every_set_lies_together(spark):
         assert sum(a != b for a, b in zip(names, names[1:])) == len(set(names)) - 1
     with pytest.raises(ValueError):
         eav.wide(df, {"subject": ("int", False)}, subject=F.col("s"), attribute=F.col("p"), value=F.col("v"))
+
+
+def test_local_names(spark):
+    refs = ["#x", " mon:x\n", "x", "http://monitor.example.org/#x", "http://other/#x", "#", " ", "", None, "mon:", "MON:x", "#mon:x"]
+    df = spark.createDataFrame([(r,) for r in refs], "r string")
+    got = df.select(local(F.col("r")).alias("a"), local_name(expand(F.col("r"), bare=True)).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and [r.a for r in got][:4] == ["x"] * 4
