@@ -1,6 +1,6 @@
 """Long exact spans shared between records.
 
-1. Every distinct text is cut into anchors: the substrings of two fifths of ``min_len`` whose hash is least in a
+1. Every distinct text is cut into anchors: the substrings of ``min_len // 2`` characters whose hash is least in a
    window. Two texts that share ``min_len`` characters always choose a common anchor inside the shared span.
 2. Anchors of two or more distinct texts are recurring passages. Anchors with the same set of texts form one group.
 3. Around its recurring passages each text is cut out and streamed, per group, through an Aho-Corasick automaton of
@@ -308,10 +308,10 @@ class SharedSpans:
     tables give no rows; other columns are not read. Equal texts are handled once and paired at the end.
     """
 
-    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_len: int = 200, hot: int = 64, chunk: int = 400_000) -> None:
+    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_len: int = 200, hot: int = 1000, chunk: int = 400_000) -> None:
         if min_len < 2:
             raise ValueError("min_len must be at least 2")
-        self.min_len, self.k, self.hot, self.chunk = min_len, max(1, 2 * min_len // 5), hot, chunk
+        self.min_len, self.k, self.hot, self.chunk = min_len, max(1, min_len // 2), hot, chunk
         self.spark = docs.sparkSession
         docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(
             F.col("id").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") >= min_len)
@@ -344,7 +344,9 @@ class SharedSpans:
         self.any_hot = recurring.filter("hot").limit(1).count() > 0
         # the anchors of one text: as many as it has characters at most
         by_text = found.join(recurring, "h").groupBy("cls").agg(F.collect_list(F.struct("grp", "hot", "lo", "hi")).alias("anchor"))
-        cut = self.docs.join(by_text, "cls").select("cls", "text", "anchor").mapInArrow(_cut_batches(self.min_len, self.k), "grp long, cls long, start long, text string, at array<long>, hot boolean")
+        by_text = materialize(by_text, "recurring-by-text")
+        texts = self.docs.join(broadcast_if_small(by_text.select("cls"), 24), "cls", "left_semi")
+        cut = texts.join(by_text, "cls").select("cls", "text", "anchor").mapInArrow(_cut_batches(self.min_len, self.k), "grp long, cls long, start long, text string, at array<long>, hot boolean")
         self.cut = materialize(cut, "pieces") if self.any_hot else cut
 
     def _confirm(self, extents: bool) -> DataFrame:
