@@ -36,6 +36,10 @@ LITERALS: dict[str, tuple[T.DataType, Any]] = {
 }
 
 TYPE, SELF, ID = RDF + "type", OBJ + "self", OBJ + "id"
+
+#: A stored property of this name says where a row was last changed: 1 by a loaded document, 2 by an update.
+PROVENANCE = OBJ + "prov"
+BY_DOCUMENT, BY_UPDATE = 1, 2
 CLASS, PROPERTY, STATEMENT = RDFS + "Class", RDF + "Property", RDF + "Statement"
 
 
@@ -98,12 +102,26 @@ class ClassDef:
     hidden: frozenset[str] = frozenset()
     versioned: str | None = None  # a property whose changes keep the old state, linked by obj:prev and obj:next
     render: Callable[[DataFrame], DataFrame] | None = None  # rows to one column of text
+    storage: str = "parquet"  # format of its stored table; "volatile" is not stored
 
     @cached_property
     def table(self) -> DataFrame | None:
         return self.rows() if callable(self.rows) else self.rows
 
 
+@dataclass(frozen=True)
+class User:
+    """What one user may see and change: hidden properties by class, hidden and read-only classes.
+
+    What holds for a class holds for those below it.
+    """
+
+    name: str
+    hidden: dict[str, frozenset[str]] = field(default_factory=dict)
+    hidden_classes: frozenset[str] = frozenset()
+    read_only: frozenset[str] = frozenset()
+
+
 @dataclass
 class Catalog:
     """Immutable in use: changes give a new catalog, so an update is seen whole or not at all."""
@@ -132,6 +150,20 @@ class Catalog:
         new = {i: dataclasses.replace(self.classes[i], rows=t, prefix=p) for i, (t, p) in tables.items()}
         return dataclasses.replace(self, classes={**self.classes, **new}, version=self.version + 1)
 
+    def patch(self, iri: str, *properties: PropertyDef) -> Catalog:
+        """The class with further rows of properties, or others in place of its own and inherited ones of the same IRI."""
+        own = {p.iri: p for p in self.class_def(iri).properties} | {p.iri: p for p in properties}
+        return self.with_class(dataclasses.replace(self.classes[iri], properties=tuple(own.values())))
+
+    def as_user(self, user: User) -> Catalog:
+        """The catalog as a user has it: hidden properties are unknown, hidden classes have no rows, updates are refused."""
+        out = {}
+        for i, c in self.classes.items():
+            above = {i, *self.supers(i)}
+            hidden = frozenset().union(c.hidden, *(user.hidden.get(a, frozenset()) for a in above))
+            out[i] = dataclasses.replace(c, hidden=hidden, rows=None if above & user.hidden_classes else c.rows, read_only=c.read_only or bool(above & user.read_only))
+        return dataclasses.replace(self, classes=out)
+
     def with_trigger(self, prop: str, event: str, f: Callable[[DataFrame], DataFrame]) -> Catalog:
         """``f`` maps the batch of (s, p, o) changes before it is applied; event is ``insert`` or ``delete``."""
         if event not in ("insert", "delete"):

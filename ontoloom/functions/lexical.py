@@ -79,6 +79,17 @@ def hex_in(s: Column) -> Column:
     return F.coalesce(F.conv(F.regexp_extract(s, r"^\s*(?:0[xX])?([0-9a-fA-F]+)", 1), 16, 10).try_cast("long"), F.lit(0).cast("long"))
 
 
+def mac_out(x: Column) -> Column:
+    """A hardware address, six pairs of hexadecimal digits joined by colons, of an integer."""
+    digits = F.lpad(hex_out(x), 12, "0")
+    return F.concat_ws(":", *[F.substring(digits, k, 2) for k in range(1, 12, 2)])
+
+
+def mac_in(s: Column) -> Column:
+    """Integer of a hardware address, with colons, hyphens or nothing between its pairs; 0 if unreadable."""
+    return hex_in(F.regexp_replace(s, "[:-]", ""))
+
+
 def duration(seconds: Column) -> Column:
     """``Nd Hh Mm`` of a number of seconds."""
     s = seconds.cast("long")

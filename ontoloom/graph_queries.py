@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.engine import Engine
-from ontoloom.functions.lexical import distance_km, duration, erase, first_word, general_float, hex_in, percent_decode, percent_encode
+from ontoloom.functions.lexical import duration, erase, first_word, general_float, hex_in, percent_decode, percent_encode
 from ontoloom.functions.xml import xml_digest
 from ontoloom.operators import history, timeseries
 from ontoloom.session import shared_dir, table
@@ -75,7 +75,6 @@ _sparql(
     "diamond_same_nation", "SELECT ?o ?s ?n WHERE { ?l ex:order ?o ; ex:supplier ?s . ?o ex:customer ?c . ?c ex:nation ?n . ?s ex:nation ?n }",
     f"select {ORD('o_orderkey')} as o, {SUPP('s_suppkey')} as s, {NAT('c_nationkey')} as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey = s_nationkey",
 )
-_sparql("same_variable_twice", "SELECT ?o ?x WHERE { ?o a ex:Order ; ex:status ?x ; ex:priority ?x }", f"select {ORD('o_orderkey')} as o, o_orderstatus as x from orders where o_orderstatus = o_orderpriority")
 _sparql("cross_product", "SELECT ?a ?b WHERE { ?a a ex:Region . ?b a ex:Region }", f"select {REG('a.r_regionkey')} as a, {REG('b.r_regionkey')} as b from region a, region b")
 for _n, _op in (("eq", "="), ("ne", "!="), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
     _sparql(f"filter_{_n}", f"SELECT ?x ?s WHERE {{ ?x a ex:Part ; ex:size ?s . FILTER(?s {_op} 15) }}", f"select {PART('p_partkey')} as x, p_size as s from part where p_size {_op} 15")
@@ -309,15 +308,6 @@ def fn_lexical(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", hex_in(F.lower(F.hex(F.col("p_size").cast("long")))).alias("back"), general_float(F.col("p_retailprice")).alias("g"))
 
 
-@_query("select a.site_id as a, b.site_id as b, 2 * 6371.0 * asin(sqrt(pow(sin(radians(b.geo_lat::double - a.geo_lat::double) / 2), 2) + cos(radians(a.geo_lat::double)) * cos(radians(b.geo_lat::double)) * pow(sin(radians(b.geo_long::double - a.geo_long::double) / 2), 2))) > 100 as far from sites a join sites b on a.organization = b.organization and a.row_id < b.row_id where a.site_id is not null and b.site_id is not null")
-def fn_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Whether two sites of one organization lie over 100 km apart."""
-    t = table(spark, d, "sites").select("row_id", "site_id", "organization", F.col("geo_lat").cast("double").alias("lat"), F.col("geo_long").cast("double").alias("lon")).filter("site_id is not null")
-    a, b = t.alias("a"), t.alias("b")
-    j = a.join(b, (F.col("a.organization") == F.col("b.organization")) & (F.col("a.row_id") < F.col("b.row_id")))
-    return j.select(F.col("a.site_id").alias("a"), F.col("b.site_id").alias("b"), (distance_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) > 100).alias("far"))
-
-
 @_query("select p_partkey, md5('<p>' || p_name || '</p>') as digest from part")
 def fn_xml_digest(spark: SparkSession, d: str) -> DataFrame:
     """Digest of an XML document whose spelling differs from the canonical one."""
@@ -353,12 +343,6 @@ def rdfxml_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return Engine(rdf.load(bare, folder).catalog).query("SELECT ?x ?n ?r WHERE { ?x a ex:Nation ; ex:name ?n ; ex:region ?r }")
 
 
-@_query()
-def jsonld_sink(spark: SparkSession, d: str) -> DataFrame:
-    cat = shop(spark, d)
-    return writers.json_ld_rows(cat, cat.classes[EX + "Nation"])
-
-
 @_query(f"select '{{\"id\":\"{EX}region_' || r_regionkey || '\",\"name\":\"' || r_name || '\"}}' as value from region")
 def rest_sink(spark: SparkSession, d: str) -> DataFrame:
     cat = shop(spark, d)

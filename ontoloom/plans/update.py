@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ontoloom.catalog import ID, SELF, TYPE, Catalog, CatalogError, ClassDef, PropertyDef
+from ontoloom.catalog import BY_UPDATE, ID, PROVENANCE, SELF, TYPE, Catalog, CatalogError, ClassDef, PropertyDef
 from ontoloom.functions.lexical import parse_prefix
 from ontoloom.plans.planner import Binding, Planner, Solution, col_of, iri_of, key_of, key_value, text_of
 from ontoloom.plans.terms import Blank, Change, Iri, Lit, Term, Triple, Var
@@ -44,8 +44,9 @@ def _ground(t: Term, names: dict[str, str]) -> tuple[str, bool]:
 class Updater:
     """Applies changes to one catalog and gives the next."""
 
-    def __init__(self, catalog: Catalog) -> None:
+    def __init__(self, catalog: Catalog, provenance: int = BY_UPDATE) -> None:
         self.catalog = catalog
+        self.provenance = provenance
         self.made: list[_Created] = []
 
     # which class a subject belongs to
@@ -100,8 +101,8 @@ class Updater:
         for n, name in list(names.items()):  # in a class with keys a bracketed node gets a key
             c = self.catalog.classes.get(types.get(name, ""))
             if c is not None and c.prefix:
-                types[c.prefix + str(int(name[2:], 16) >> 2)] = types.pop(name)
-                names[n] = c.prefix + str(int(name[2:], 16) >> 2)
+                names[n] = self._free(c, name)
+                types[names[n]] = types.pop(name)
                 subjects = [names[n] if x == name else x for x in subjects]
         rows: dict[str, list[str]] = {}
         subjects += [names[n] for n in names if names[n] not in subjects]
@@ -119,6 +120,16 @@ class Updater:
         for cls, iris in rows.items():
             self._append(cls, iris)
 
+    def _free(self, c: ClassDef, name: str) -> str:
+        """An IRI of the class that no row has: keys are digests of the name, as wide as the class's keys."""
+        kind = c.table.schema["id"].dataType
+        bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31}.get(type(kind), 62)
+        for k in range(64):
+            iri = c.prefix + str(int(hashlib.md5(f"{name}/{k}".encode()).hexdigest(), 16) % (1 << bits))
+            if not self.existing([iri], [c.iri]):
+                return iri
+        raise CatalogError(f"no free key in {c.iri}")
+
     def _append(self, cls: str, iris: list[str]) -> None:
         c = self.catalog.class_def(cls)
         props = self.catalog.properties(cls)
@@ -229,6 +240,9 @@ class Updater:
                 out[p.name] = F.when(F.size(new) > 0, F.aggregate(new, old, _dropper(b))).otherwise(old)
             else:
                 out[p.name] = F.when(F.array_contains(new, text_of(old, b)), _default(p, kind)).otherwise(old)
+        mark = self.catalog.properties(d.iri).get(PROVENANCE)
+        if mark is not None and mark.name in out:
+            out[mark.name] = F.when(F.col("__id").isNotNull(), F.lit(self.provenance)).otherwise(out[mark.name]).cast(d.table.schema[mark.name].dataType)
         if d.versioned in props:
             return self._versions(d, props[d.versioned].name, joined, out)
         return joined.select(*[c.alias(n) for n, c in out.items()])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ontoloom.catalog import ID, RDF, SELF, STATEMENT, TYPE, Catalog, ClassDef
+from ontoloom.catalog import BY_DOCUMENT, ID, RDF, SELF, STATEMENT, TYPE, Catalog, ClassDef
 from ontoloom.plans.parser import Parser, QuerySyntaxError
 from ontoloom.plans.planner import Binding, iri_of
 from ontoloom.plans.terms import Blank, Iri, Lit, Triple
@@ -207,7 +207,7 @@ def load_triples(catalog: Catalog, triples: DataFrame) -> Loaded:
     types = t.filter(F.col("p") == TYPE).groupBy("s").agg(F.min(F.struct("n", "o"))["o"].alias("cls"))
     types = materialize(types, "types")
     known = [c for c in catalog.classes]
-    u = Updater(catalog)
+    u = Updater(catalog, BY_DOCUMENT)
     for r in types.filter(F.col("cls").isin(*known)).select("cls").distinct().collect() if known else []:
         _append_rows(u, r.cls, types.filter(F.col("cls") == r.cls).select("s"))
     props = {i: p for i, p in catalog.all_properties().items() if p.computed is None and p.inverse is None}

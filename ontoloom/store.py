@@ -1,4 +1,4 @@
-"""A catalog's tables in a folder: Parquet tables per class and version, opened for reading or for updates."""
+"""A catalog's tables in a folder: a table per class and version in the format of the class, opened for reading or for updates."""
 
 from __future__ import annotations
 
@@ -35,7 +35,7 @@ def _read(spark: SparkSession, path: str, version: int) -> dict[str, str]:
 
 
 def save(catalog: Catalog, path: str, keep: int = 2) -> int:
-    """Write every class table below ``path`` as the next version and return its number.
+    """Write every class table but the volatile ones below ``path`` as the next version and return its number.
 
     Tables go to new folders; the version counts once all are whole and its list of tables is renamed into place, so
     a save that fails leaves the version before as it was, and a catalog that was loaded from this folder can be
@@ -46,9 +46,9 @@ def save(catalog: Catalog, path: str, keep: int = 2) -> int:
     fs, at = _folder(spark, path)
     number = max(_versions(spark, path), default=0) + 1
     tag = f"{number:08d}-{uuid.uuid4().hex[:8]}"
-    tables = {c: f"{split_iri(c)[1]}/{tag}" for c in catalog.concrete()}
+    tables = {c: f"{split_iri(c)[1]}/{tag}" for c in catalog.concrete() if catalog.classes[c].storage != "volatile"}
     for c, folder in tables.items():
-        catalog.classes[c].table.write.parquet(f"{path}/{folder}")
+        catalog.classes[c].table.write.format(catalog.classes[c].storage).save(f"{path}/{folder}")
     draft = at("versions", f".{tag}")
     out = fs.create(draft)
     try:
@@ -74,6 +74,6 @@ def load(catalog: Catalog, path: str, read_only: bool = False, version: int | No
     for c in catalog.concrete():
         if c in tables:
             d = catalog.classes[c]
-            rows = spark.read.schema(d.table.schema).parquet(f"{path}/{tables[c]}")
+            rows = spark.read.schema(d.table.schema).format(d.storage).load(f"{path}/{tables[c]}")
             catalog = catalog.with_class(dataclasses.replace(d, rows=rows, read_only=read_only or d.read_only))
     return catalog
