@@ -11,15 +11,15 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ontoloom.functions.iri import stripped
 from ontoloom.llm.spans import slices
-from ontoloom.session import materialize
+from ontoloom.session import broadcast_if_small, materialize
 
 #: Default place of the public tokenizer's ranks.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -82,40 +82,29 @@ def source_name(c: Column) -> Column:
     return F.when(s != "", s)
 
 
-class Target(NamedTuple):
-    share: float
-    repeats: int
-
-
-class Plan(NamedTuple):
-    """For one source: tokens at hand, tokens wanted, whole copies of every record, threshold of one more copy."""
-
-    tokens: int
-    wanted: float
-    whole: int
-    threshold: int
-
-
-def budgets(tokens: dict[str, int], targets: dict[str, Target], total: float | None) -> dict[str, float]:
-    """Tokens wanted of each source.
+def budgets(sources: DataFrame, total: float | None) -> DataFrame:
+    """``sources`` (``source, share, repeats, tokens``) that can give anything, with the tokens ``wanted`` of each.
 
     Without ``total`` it is the greatest size at which every source that has tokens reaches its share within its
     repeats; the shares of targets without any tokens are spread over the others in proportion. With ``total``
     each source gives its share of it or, if that is more than its repeats allow, all that they allow.
     """
-    live = {s: t for s, t in targets.items() if tokens.get(s, 0) > 0 and t.share > 0 and t.repeats > 0}
-    whole = sum(t.share for t in live.values())
-    if not live:
-        return {}
-    most = {s: t.repeats * tokens[s] for s, t in live.items()}
-    if total is None:
-        total = min(most[s] / (t.share / whole) for s, t in live.items())
-    return {s: min(float(most[s]), t.share / whole * total) for s, t in live.items()}
+    live = sources.filter("tokens > 0 AND share > 0 AND repeats > 0")
+    # exact sums: a share must not depend on the order in which rows are added
+    whole = live.agg(F.sum(F.col("share").cast("decimal(38, 18)")).cast("double").alias("whole"))
+    part = F.col("share") / F.col("whole")
+    most = F.col("repeats") * F.col("tokens")
+    live = live.crossJoin(F.broadcast(whole))  # one row
+    size = F.broadcast(live.agg(F.min(most / part).alias("size"))) if total is None else None
+    live = live.crossJoin(size) if size is not None else live.withColumn("size", F.lit(float(total)))
+    return live.select("source", "share", "repeats", "tokens", F.least(most, F.floor(part * F.col("size") * (1 + 1e-12) + 1e-6)).alias("wanted"))  # whole tokens, whatever the last digit of the product
 
 
 class Mixture:
     """A mixture of ``docs``: ``rows()`` has one row per record with its copies, ``shares()`` the shares reached.
 
+    Every table of sources stays a table, so any number of targets is allowed; a plan has one row per source.
+
     Cases: sources are compared in the spelling of ``source_name``; a null or unlisted source is not in the
     mixture; a null text has no tokens; records with equal id and text have one hash and are taken together; a
     target that occurs twice is one target with the summed share and the lesser repeats; null shares and repeats
@@ -123,73 +112,66 @@ class Mixture:
     """
 
     def __init__(
-        self, docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, seed: int = 17, tokenizer: str = TOKENIZER, most_targets: int = 10_000
+        self, docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, seed: int = 17, tokenizer: str = TOKENIZER
     ) -> None:
         t = targets.groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.min("max_repeats").alias("repeats")).filter("source is not null")
-        found = t.orderBy("source").limit(most_targets + 1).collect()
-        if len(found) > most_targets:
-            raise ValueError("more targets than the driver should hold")
-        self.targets = {r.source: Target(r.share or 0.0, r.repeats or 0) for r in found}
-        self.spark = docs.sparkSession
+        self.targets = materialize(t.select("source", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("repeats", F.lit(0)).cast("long").alias("repeats")), "targets")
         h = F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)), 64 - HASH_BITS)
         part = docs.select(F.col(doc_id).cast("long").alias("doc_id"), source_name(F.col(source)).alias("source"), h.alias("h"), F.col(text).alias("text"))
-        self.sizes = materialize(token_counts(part.filter(F.col("source").isin(*self.targets)) if self.targets else part.limit(0), "text", "tokens", tokenizer), "sizes")
-        self.plans = self._plan(total)
-
-    def _histogram(self, level: int, where: Column | None) -> dict[str, dict[int, int]]:
-        """Tokens by source and bucket of one level: at most targets times ``2 ** LEVEL_BITS`` rows."""
-        rows = self.sizes if where is None else self.sizes.filter(where)
-        bucket = F.shiftright("h", HASH_BITS - LEVEL_BITS * (level + 1)).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
-        out: dict[str, dict[int, int]] = {}
-        for r in rows.groupBy("source", bucket.alias("b")).agg(F.sum("tokens").alias("n")).collect():
-            out.setdefault(r.source, {})[r.b] = r.n
-        return out
-
-    def _plan(self, total: float | None) -> dict[str, Plan]:
-        first = self._histogram(0, None)
-        tokens = {s: sum(b.values()) for s, b in first.items()}
-        wanted = budgets(tokens, self.targets, total)
-        whole = {s: min(int(w // tokens[s]), self.targets[s].repeats) for s, w in wanted.items()}
-        left = {s: w - whole[s] * tokens[s] for s, w in wanted.items() if whole[s] < self.targets[s].repeats}
-        prefix = dict.fromkeys(left, 0)
+        part = part.join(broadcast_if_small(self.targets.select("source"), 64), "source", "left_semi").select("doc_id", "source", "h", "text")
+        self.sizes = materialize(token_counts(part, "text", "tokens", tokenizer), "sizes")
+        self.plan = self._plan(total)
+
+    @staticmethod
+    def _bucket(level: int) -> Column:
+        return F.shiftright("h", HASH_BITS - LEVEL_BITS * (level + 1)).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
+
+    def _plan(self, total: float | None) -> DataFrame:
+        """For each source that gives anything: whole copies of every record, and the threshold of one more copy.
+
+        A level sums tokens by source and bucket, finds the bucket in which the source's budget ends by a running
+        sum over at most ``2 ** LEVEL_BITS`` rows, and only the records of that bucket go to the next level.
+        """
+        last = (1 << LEVEL_BITS) - 1
+        rows, plan = self.sizes, None
         for level in range(LEVELS):
-            got = first
-            if level:
-                here = [(F.col("source") == s) & (F.shiftright("h", HASH_BITS - LEVEL_BITS * level) == p) for s, p in prefix.items()]
-                if not here:
-                    break
-                where = here[0]
-                for x in here[1:]:
-                    where |= x
-                got = self._histogram(level, where)
-            for s in prefix:
-                b = 0
-                while b < (1 << LEVEL_BITS) - 1 and got.get(s, {}).get(b, 0) <= left[s]:
-                    left[s] -= got.get(s, {}).get(b, 0)
-                    b += 1
-                prefix[s] = (prefix[s] << LEVEL_BITS) | b
-        return {s: Plan(tokens[s], w, whole[s], prefix.get(s, 0)) for s, w in wanted.items()}
+            sums = materialize(rows.groupBy("source", self._bucket(level).alias("b")).agg(F.sum("tokens").alias("n")), "histogram")
+            if plan is None:
+                have = self.targets.join(sums.groupBy("source").agg(F.sum("n").alias("tokens")), "source")
+                whole = F.least(F.expr("wanted div tokens"), F.col("repeats"))
+                plan = budgets(have, total).withColumn("whole", whole)
+                plan = plan.select("source", "whole", F.lit(0).cast("long").alias("threshold"), (F.col("wanted") - F.col("whole") * F.col("tokens")).alias("left"), (F.col("whole") < F.col("repeats")).alias("open"))
+                plan = materialize(plan, "plan")
+            reached = sums.withColumn("up_to", F.sum("n").over(W.partitionBy("source").orderBy("b")))
+            ends = plan.filter("open").select("source", "left").join(reached, "source", "left")
+            ends = ends.groupBy("source", "left").agg(
+                F.coalesce(F.min(F.when(F.col("up_to") > F.col("left"), F.col("b"))), F.lit(last)).cast("long").alias("end"),
+                F.coalesce(F.max(F.when((F.col("up_to") <= F.col("left")) & (F.col("b") < last), F.col("up_to"))), F.lit(0)).alias("used"),
+            )
+            plan = materialize(
+                plan.join(ends.drop("left"), "source", "left").select(
+                    "source", "whole", F.when(F.col("open"), F.shiftleft("threshold", LEVEL_BITS).bitwiseOR(F.col("end"))).otherwise(F.lit(0)).cast("long").alias("threshold"),
+                    (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), "open",
+                ), "plan",
+            )
+            if level < LEVELS - 1:
+                at = broadcast_if_small(plan.filter("open").select("source", "threshold"), 64)
+                rows = rows.join(at, (rows["source"] == at["source"]) & (F.shiftright(rows["h"], HASH_BITS - LEVEL_BITS * (level + 1)) == at["threshold"])).select(rows["source"], "h", "tokens")
+                rows = materialize(rows, "boundary")
+        return plan.select("source", "whole", "threshold")
 
     def rows(self) -> DataFrame:
         """``doc_id, source, tokens, copies`` of the records that are in the mixture."""
-        copies: Column = F.lit(0)
-        for s, p in self.plans.items():
-            copies = F.when(F.col("source") == s, F.lit(p.whole) + F.when(F.col("h") < p.threshold, 1).otherwise(0)).otherwise(copies)
-        return self.sizes.withColumn("copies", copies.cast("int")).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
+        copies = F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+        return self.sizes.join(broadcast_if_small(self.plan, 80), "source").withColumn("copies", copies.cast("int")).filter("copies > 0").select("doc_id", "source", "tokens", "copies")
 
     def shares(self) -> DataFrame:
         """Per target: target share, tokens at hand, tokens taken, share reached, greatest copies."""
-        t = self.spark.createDataFrame([(s, x.share, x.repeats) for s, x in self.targets.items()], "source string, target_share double, max_repeats int")
         have = self.sizes.groupBy("source").agg(F.sum("tokens").alias("available"))
         took = self.rows().groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies"))
-        total = took.agg(F.sum("taken")).first()[0] or 0
-        return (
-            t.join(have, "source", "left")
-            .join(took, "source", "left")
-            .select(
-                "source", "target_share", "max_repeats",
-                F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("taken", F.lit(0)).alias("taken"),
-                (F.coalesce("taken", F.lit(0)) / F.lit(max(total, 1))).alias("share"),
-                F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-            )
-        )
+        out = self.targets.join(have, "source", "left").join(took, "source", "left").select(
+            "source", F.col("share").alias("target_share"), F.col("repeats").cast("int").alias("max_repeats"), F.coalesce("available", F.lit(0)).alias("available"),
+            F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+        )
+        total = out.agg(F.greatest(F.sum("taken"), F.lit(1)).alias("total"))
+        return out.crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", "available", "taken", (F.col("taken") / F.col("total")).alias("share"), "most_copies")  # one row

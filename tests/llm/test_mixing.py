@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontoloom.llm import mixing
-from ontoloom.llm.mixing import TOKENIZER, Mixture, Target, _encoding, budgets, count_tokens, source_name, token_counts
+from ontoloom.llm.mixing import TOKENIZER, Mixture, _encoding, budgets, count_tokens, source_name, token_counts
 
 DOCS = "doc_id long, text string, source string, tokens int, copies string, h string"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -49,12 +49,40 @@ def test_names(spark):
     assert [r[0] for r in df.select(source_name(F.col("s"))).collect()] == ["court_portal", "law_reports", None, None, None]
 
 
-def test_budgets():
-    t = {"a": Target(0.5, 1), "b": Target(0.3, 4), "c": Target(0.2, 2)}
-    got = budgets({"a": 1000, "b": 100}, t, None)
-    assert got["a"] / got["b"] == pytest.approx(5 / 3) and got["b"] == pytest.approx(400)
-    assert budgets({"a": 1000, "b": 100}, t, 10_000) == {"a": 1000.0, "b": 400.0}
-    assert budgets({}, t, None) == {}
+def test_budgets(spark):
+    schema = "source string, share double, repeats long, tokens long"
+    t = spark.createDataFrame([("a", 0.5, 1, 1000), ("b", 0.3, 4, 100), ("c", 0.2, 2, 0)], schema)
+    got = {r.source: r.wanted for r in budgets(t, None).collect()}
+    assert got == {"a": 666, "b": 400}  # 5 to 3 in whole tokens
+    assert {r.source: r.wanted for r in budgets(t, 10_000).collect()} == {"a": 1000, "b": 400}
+    assert budgets(t.limit(0), None).count() == 0
+
+
+def test_thresholds_equal_a_scan_in_order_of_hash(spark):
+    d = docs(spark, corpus())
+    t = spark.createDataFrame([("big", 0.6, 2), ("mid", 0.3, 3), ("small_one", 0.1, 1)], TARGETS)
+    for total in (None, 2500, 7777):
+        m = Mixture(d, t, total=total)
+        sizes = m.sizes.collect()
+        have = {s: sum(r.tokens for r in sizes if r.source == s) for s in ("big", "mid", "small_one")}
+        share, repeats = {"big": 0.6, "mid": 0.3, "small_one": 0.1}, {"big": 2, "mid": 3, "small_one": 1}
+        size = total or min(repeats[s] * have[s] / share[s] for s in have)
+        got = {(r.source, r.doc_id): r.copies for r in m.rows().collect()}
+        for s in have:
+            left = min(repeats[s] * have[s], int(share[s] * size + 1e-5))
+            whole = min(left // have[s], repeats[s])
+            left -= whole * have[s]
+            for r in sorted((x for x in sizes if x.source == s), key=lambda x: x.h):
+                more = whole < repeats[s] and r.tokens <= left
+                left = left - r.tokens if more else -1
+                assert got.get((s, r.doc_id), 0) == whole + more
+
+
+def test_many_targets(spark):
+    t = spark.createDataFrame([(f"s{i}", 1 / 12_000, 1) for i in range(12_000)], TARGETS)
+    d = docs(spark, [(i, "some words", f"s{i % 12_000}") for i in range(13_000)])
+    m = Mixture(d, t)
+    assert m.plan.count() == 12_000 and m.rows().count() >= 12_000
 
 
 def test_shares_and_nesting(spark):
