@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ontoloom.session import broadcast_if_small, materialize
+
 
 def tag_parents(df: DataFrame, table: str | Column, key: Column, since: Column, until: Column) -> DataFrame:
     """Long form of a parent table: each life of a record gives +1 when it starts and -1 when it ends.
@@ -37,7 +39,7 @@ def missing_keys(parents: list[DataFrame], children: list[DataFrame]) -> DataFra
     ``parents`` and ``children`` are in the long form of ``tag_parents`` and ``tag_children``. All rows are
     united and summed by table, key and time before they move, so a key named by a third of all rows moves as
     one row per distinct time. What lives at a time is the running sum over a key; it is taken per key and
-    month, and carried over months by the months' sums, so one key's history is spread over its months.
+    day, and carried over days by the days' sums, so one key's history is spread over its days.
 
     Cases: a null key or a null time is no reference and gives no row. A start and an end at the time of a
     reference count before it. Repeated parent rows are several lives; the key exists while at least one
@@ -46,22 +48,38 @@ def missing_keys(parents: list[DataFrame], children: list[DataFrame]) -> DataFra
     rows = reduce(DataFrame.unionByName, [*parents, *children]).filter(F.col("key").isNotNull() & F.col("at").isNotNull())
     keys = ["parent_table", "key"]
     rows = (
-        rows.withColumn("month", F.trunc("at", "month"))
-        .groupBy(*keys, "month", "at")
+        rows.withColumn("day", F.col("at").cast("date"))
+        .groupBy(*keys, "day", "at")
         .agg(F.sum("lives").alias("lives"), F.sum("refs").alias("refs"))
     )
-    months = rows.groupBy(*keys, "month").agg(F.sum("lives").alias("lives"))
-    before = W.partitionBy(*keys).orderBy("month").rowsBetween(W.unboundedPreceding, -1)
-    carried = months.select(*keys, "month", F.coalesce(F.sum("lives").over(before), F.lit(0)).alias("carried"))
-    so_far = W.partitionBy(*keys, "month").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    days = rows.groupBy(*keys, "day").agg(F.sum("lives").alias("lives"))
+    before = W.partitionBy(*keys).orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    carried = days.select(*keys, "day", F.coalesce(F.sum("lives").over(before), F.lit(0)).alias("carried"))
+    so_far = W.partitionBy(*keys, "day").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         rows.withColumn("lives", F.sum("lives").over(so_far))
-        .join(carried, [*keys, "month"])
+        .join(carried, [*keys, "day"])
         .filter((F.col("refs") > 0) & (F.col("lives") + F.col("carried") <= 0))
         .select(*keys, "at", "refs")
     )
 
 
+def rows_of(missing: DataFrame, children: DataFrame, key: Column, at: Column, hot: int = 1_000_000) -> DataFrame:
+    """The rows of a table of references whose key and time are in ``missing``, with ``parent_table`` and ``key``.
+
+    ``missing`` goes to the rows where they lie if it is small. Otherwise pairs of key and time that more than
+    ``hot`` rows share are joined apart (there are few of them, so they are small), and no key of the other join has
+    more than ``hot`` rows.
+    """
+    missing = materialize(missing, "missing").withColumnRenamed("refs", "__refs")
+    side = broadcast_if_small(missing, 96)
+    on = (key == F.col("key")) & (at == F.col("at"))
+    if side is not missing:
+        return children.join(side, on).drop("at", "__refs")
+    many, few = (missing.filter(F.col("__refs") > hot), missing.filter(F.col("__refs") <= hot))
+    return children.join(broadcast_if_small(many, 96), on).unionByName(children.join(few, on)).drop("at", "__refs")
+
+
 def report_missing(missing: DataFrame, by: list[Column]) -> DataFrame:
     """References without a record, summed by the given columns."""
     return missing.groupBy(*by).agg(F.sum("refs").alias("missing"), F.countDistinct("key").alias("missing_keys"))

@@ -56,24 +56,22 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_trees(spark, d))
 
 
-def _missing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _missing(spark: SparkSession, d: str) -> DataFrame:
+    """Links without a target, with the table and the key that they name."""
     links = table(spark, d, "links").withColumn("__key", expand(F.col("resource_ref")))
     parents = orphans.tag_parents(table(spark, d, "resources"), "resources", expand(F.col("resource_id"), bare=True), F.col("declared_at"), F.col("deleted_at"))
     children = orphans.tag_children(links, "resources", F.col("__key"), F.col("load_closed_at"))
-    missing = orphans.missing_keys([parents], [children])
-    # the keys that miss a record are far fewer than the links; the join is on key and time, so a hot key is split
-    hit = links.join(missing, (F.col("__key") == F.col("key")) & (F.col("load_closed_at") == F.col("at")))
-    return hit, missing
+    return orphans.rows_of(orphans.missing_keys([parents], [children]), links, F.col("__key"), F.col("load_closed_at"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Links whose target does not exist when the load closes."""
-    return _missing(spark, d)[0].select("link_id")
+    return _missing(spark, d).select("link_id")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Missing references per parent table, subject type and month."""
-    hit = _missing(spark, d)[0].withColumn("refs", F.lit(1).cast("long"))
+    hit = _missing(spark, d).withColumn("refs", F.lit(1).cast("long"))
     return orphans.report_missing(hit, [F.col("parent_table"), F.col("subject_type"), F.date_format("load_closed_at", "yyyy-MM").alias("month")])
 
 

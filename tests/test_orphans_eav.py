@@ -106,3 +106,14 @@ def test_local_names(spark):
     df = spark.createDataFrame([(r,) for r in refs], "r string")
     got = df.select(local(F.col("r")).alias("a"), local_name(expand(F.col("r"), bare=True)).alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got] and [r.a for r in got][:4] == ["x"] * 4
+
+
+def test_rows_of_hot_pairs(spark, monkeypatch):
+    links = spark.createDataFrame([(i, f"k{i % 3}", D(1 + i % 2)) for i in range(60)] + [(100, None, D(1)), (101, "k0", None)], "id long, k string, t timestamp")
+    missing = links.filter("k IN ('k0', 'k1')").groupBy(F.lit("p").alias("parent_table"), F.col("k").alias("key"), F.col("t").alias("at")).agg(F.count("*").alias("refs")).filter("at is not null")
+    want = {i for i in range(60) if i % 3 < 2}
+    assert {r.id for r in orphans.rows_of(missing, links, F.col("k"), F.col("t")).collect()} == want
+    monkeypatch.setattr(orphans, "broadcast_if_small", lambda df, *_: df)
+    for hot in (0, 10, 10**6):
+        got = orphans.rows_of(missing, links, F.col("k"), F.col("t"), hot=hot).collect()
+        assert {r.id for r in got} == want and len(got) == 40
