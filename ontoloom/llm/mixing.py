@@ -135,8 +135,9 @@ class Mixture:
         last = (1 << LEVEL_BITS) - 1
         rows, plan = self.sizes, None
         for level in range(LEVELS):
-            sums = materialize(rows.groupBy("source", self._bucket(level).alias("b")).agg(F.sum("tokens").alias("n")), "histogram")
+            sums = rows.groupBy("source", self._bucket(level).alias("b")).agg(F.sum("tokens").alias("n"))
             if plan is None:
+                sums = materialize(sums, "histogram")
                 have = self.targets.join(sums.groupBy("source").agg(F.sum("n").alias("tokens")), "source")
                 whole = F.least(F.expr("wanted div tokens"), F.col("repeats"))
                 plan = budgets(have, total).withColumn("whole", whole)
