@@ -75,3 +75,34 @@ def test_time_range(spark):
     rows = [("a", 0, 1.0), ("a", 6000, 1.0), ("a", 9000, 2.0)]
     got = regular_grid(frame(spark, rows), time_from=6000, time_to=9000).collect()
     assert [(r.period_start, r.status) for r in got] == [(6000, "observed")]
+
+
+def test_values_worked_by_hand(spark):
+    """Slopes 0, 3/2, 0, 0 of the points 0, 1, 4, 4: the harmonic mean of 1 and 3 inside, flat ends and steps."""
+    rows = [("m", 300 + 1200 * k, v) for k, v in enumerate([0.0, 1.0, 4.0, 4.0])]
+    df = spark.createDataFrame(rows, "meter string, time_stamp long, volt double")
+    got = {r.period_start: r.value for r in regular_grid(df).collect()}
+    assert got == pytest.approx({0: 0.0, 600: 0.3125, 1200: 1.0, 1800: 2.6875, 2400: 4.0, 3000: 4.0, 3600: 4.0})
+
+
+def test_shape_is_kept(spark):
+    """Lines stay lines, and between two readings the curve never leaves their range or turns round."""
+    r = random.Random(11)
+    rows, t, v = [], 0, 0.0
+    for _ in range(300):
+        t += r.randrange(60, 6000)
+        v += r.choice([0.0, 0.1, 5.0, 0.0, 2.0])
+        rows += [("up", t, v), ("line", t, t * 0.25 + 3)]
+    df = spark.createDataFrame(rows, "meter string, time_stamp long, volt double")
+    got = [r for r in regular_grid(df).filter("status = 'interpolated'").orderBy("source", "period_start").collect()]
+    assert len(got) > 500
+    for g in got:
+        mid = g.period_start + 300
+        if g.source == "line":
+            assert g.value == pytest.approx(mid * 0.25 + 3)
+        else:
+            before = max(x for x in rows if x[0] == "up" and x[1] <= mid)
+            after = min(x for x in rows if x[0] == "up" and x[1] > mid)
+            assert before[2] - 1e-9 <= g.value <= after[2] + 1e-9
+    up = [g for g in got if g.source == "up"]
+    assert all(a.value <= b.value + 1e-9 for a, b in zip(up, up[1:]))
