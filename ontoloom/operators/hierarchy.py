@@ -307,20 +307,72 @@ def _walk_partition(most: int = 200_000, chunk: int = 50_000):
     return run
 
 
-def _cyclic_alone(links: DataFrame) -> DataFrame | None:
-    """Nodes on cycles of links with at most one parent each, by pointer doubling; None if some node has several.
-
-    After as many doublings as the nodes have binary digits every pointer has left its tail, so what is pointed
-    to lies on a cycle, and each node of a cycle is pointed to.
+def _strong_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strongly connected sets of links ``tree, m, t`` that one task holds whole: ``tree, x, strong``, named by their least."""
+    pdf = pd.concat(list(batches), ignore_index=True)
+    for tree, own in pdf.groupby("tree", dropna=False):
+        names, at = np.unique(np.concatenate([own.m.to_numpy(str), own.t.to_numpy(str)]), return_inverse=True)
+        parents: list[list[int]] = [[] for _ in names]
+        for x, y in zip(at[: len(own)].tolist(), at[len(own) :].tolist()):
+            parents[x].append(y)
+        for group in _strong(parents):
+            yield pd.DataFrame({"tree": tree, "x": names[group].astype(object), "strong": str(names[min(group)])})
+
+
+def _strong_by_joins(links: DataFrame, in_one: int) -> DataFrame:
+    """``tree, x, strong`` of the nodes on cycles, by joins: nodes of one strong component have one ``strong``.
+
+    Nodes with one parent are jumped over by pointer doubling, so a chain of any length takes as many rounds as its
+    length has binary digits. A jump that never leaves such nodes ends on a ring of them. What is left are links
+    between nodes with several parents; their strong components are found in one task if a count proves that it holds
+    them (``in_one``), and else by closure of these links only. Nodes that were jumped over inside a component are
+    marked by the same jumps.
     """
-    up = materialize(links.filter("parent is not null").select("tree", F.col("node").alias("x"), F.col("parent").alias("y")).distinct(), "pointers")
-    if up.groupBy("tree", "x").count().filter("count > 1").limit(1).count():
-        return None
-    n, jump = up.count(), up
-    for _ in range(max(1, n.bit_length())):
-        ahead = jump.select("tree", F.col("x").alias("y"), F.col("y").alias("z"))
-        jump = materialize(jump.join(ahead, ["tree", "y"]).select("tree", "x", F.col("z").alias("y")), "pointers")
-    return jump.select("tree", F.col("y").alias("node_id")).distinct()
+    up = materialize(links.filter("parent is not null").select("tree", F.col("node").alias("x"), F.col("parent").alias("y")).distinct(), "up")
+    degree = up.groupBy("tree", "x").agg(F.count("*").alias("n"), F.min("y").alias("y"))
+    jumps = [materialize(degree.filter("n = 1").select("tree", "x", "y"), "jumps")]
+    for _ in range(jumps[0].count().bit_length()):
+        ahead = jumps[-1].select("tree", F.col("x").alias("y"), F.col("y").alias("z"))
+        far = materialize(jumps[-1].join(ahead, ["tree", "y"], "left").select("tree", "x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")), "jumps")
+        if not far.filter("moved").limit(1).count():
+            break
+        jumps.append(far.drop("moved"))
+    single, last = jumps[0].select("tree", "x"), jumps[-1]
+    # as many jumps as there are nodes end at a node without one parent, or on a ring
+    on_ring = last.join(single.withColumnRenamed("x", "y"), ["tree", "y"], "left_semi").select("tree", F.col("y").alias("x")).distinct()
+    ring = materialize(jumps[0].join(on_ring, ["tree", "x"], "left_semi").withColumn("strong", F.least("x", "y")), "ring")
+    for _ in range(ring.count().bit_length()):
+        ahead = ring.select("tree", F.col("x").alias("y"), F.col("y").alias("z"), F.col("strong").alias("other"))
+        ring = materialize(ring.join(ahead, ["tree", "y"]).select("tree", "x", F.col("z").alias("y"), F.least("strong", "other").alias("strong")), "ring")
+    multi = materialize(degree.filter("n > 1").select("tree", "x"), "multi")
+    legs = up.join(multi, ["tree", "x"], "left_semi").select("tree", F.col("x").alias("m"), F.col("y").alias("p"))
+    legs = legs.join(last.select("tree", F.col("x").alias("p"), F.col("y").alias("end")), ["tree", "p"], "left").select("tree", "m", "p", F.coalesce("end", "p").alias("t"))
+    legs = materialize(legs.join(multi.withColumnRenamed("x", "t"), ["tree", "t"], "left_semi"), "legs")
+    direct = legs.select("tree", "m", "t").distinct()
+    if direct.limit(in_one + 1).count() <= in_one:
+        core = direct.coalesce(1).mapInPandas(lambda b: _strong_batches(b), "tree string, x string, strong string")
+    else:
+        core = _mutual(direct)
+    core = materialize(core, "strong")
+    of = lambda c: core.withColumnRenamed("x", c)
+    passed = legs.join(of("m"), ["tree", "m"]).join(of("t"), ["tree", "t", "strong"]).select("tree", F.col("p").alias("x"), "strong")
+    passed = materialize(passed.join(single, ["tree", "x"], "left_semi").distinct(), "passed")
+    if passed.limit(1).count():
+        for jump in jumps:
+            more = passed.join(jump, ["tree", "x"]).select("tree", F.col("y").alias("x"), "strong").join(single, ["tree", "x"], "left_semi")
+            passed = materialize(passed.unionByName(more).distinct(), "passed")
+    return ring.select("tree", "x", "strong").unionByName(core).unionByName(passed).distinct()
+
+
+def _mutual(direct: DataFrame) -> DataFrame:
+    """``tree, x, strong`` of links ``tree, m, t`` by their closure: nodes that reach each other are one component."""
+    n, closure = -1, direct
+    while (size := closure.count()) != n:
+        n = size
+        more = closure.select("tree", "m", F.col("t").alias("by")).join(closure.select("tree", F.col("m").alias("by"), "t"), ["tree", "by"]).select("tree", "m", "t")
+        closure = materialize(closure.unionByName(more).distinct(), "closure")
+    both = closure.join(closure.select("tree", F.col("t").alias("m"), F.col("m").alias("t")), ["tree", "m", "t"])
+    return both.groupBy("tree", F.col("m").alias("x")).agg(F.min("t").alias("strong"))
 
 
 def _back_batches(batches):
@@ -342,15 +394,39 @@ def _back_batches(batches):
         yield done()
 
 
-def _doubled(links: DataFrame) -> DataFrame:
-    """The rows of ``NODES`` for components too large for one task, by joins; a strong component is walked by one task."""
-    up = materialize(links.filter("parent is not null").select("tree", F.col("node").alias("x"), F.col("parent").alias("y")).distinct(), "closure")
-    n, closure = -1, up
-    while (size := closure.count()) != n:
-        n = size
-        more = closure.alias("l").join(closure.alias("r"), (F.col("l.tree") == F.col("r.tree")) & (F.col("l.y") == F.col("r.x"))).select("l.tree", "l.x", "r.y")
-        closure = materialize(closure.unionByName(more).distinct(), "closure")
+def _doubled(links: DataFrame, columns: Iterable[str], in_one: int) -> DataFrame:
+    """The rows of ``NODES`` for components too large for one task, by joins; a strong component is walked by one task.
+
+    Of ``path, depth, root`` and of ``ancestors`` only what ``columns`` names is made; the others are null.
+    """
+    up = materialize(links.filter("parent is not null").select("tree", F.col("node").alias("x"), F.col("parent").alias("y")).distinct(), "up")
     nodes = links.select("tree", F.col("node").alias("x")).unionByName(up.select("tree", F.col("y").alias("x"))).distinct()
+    strong = materialize(_strong_by_joins(links, in_one), "strong")
+    within = up.join(strong, ["tree", "x"]).join(strong.select("tree", F.col("x").alias("y"), "strong"), ["tree", "y", "strong"])
+    within = within.groupBy("tree", "strong", "x").agg(F.sort_array(F.collect_list("y")).alias("ys"))
+    back = within.repartition("tree", "strong").sortWithinPartitions("tree", "strong").mapInPandas(_back_batches, "tree string, x string, back_edges array<string>")
+    out = nodes.join(strong.select("tree", "x", F.lit(True).alias("on_cycle")), ["tree", "x"], "left").join(back, ["tree", "x"], "left")
+    names = "array<string>"
+    if {"path", "depth", "root"} & set(columns):
+        out = out.join(_paths(nodes, up), ["tree", "x"])
+    else:
+        out = out.select("*", F.lit(None).cast(names).alias("path"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("string").alias("root"))
+    if "ancestors" in columns:
+        closure = materialize(up, "closure")
+        n = -1
+        while (size := closure.count()) != n:
+            n = size
+            more = closure.select("tree", "x", F.col("y").alias("by")).join(closure.select("tree", F.col("x").alias("by"), "y"), ["tree", "by"]).select("tree", "x", "y")
+            closure = materialize(closure.unionByName(more).distinct(), "closure")
+        above = closure.groupBy("tree", "x").agg(F.sort_array(F.collect_list("y")).alias("ancestors"))
+        out = out.join(above, ["tree", "x"], "left").withColumn("ancestors", F.coalesce("ancestors", F.array().cast(names)))
+    else:
+        out = out.withColumn("ancestors", F.lit(None).cast(names))
+    return out.select("tree", F.col("x").alias("node_id"), "path", "depth", "root", "ancestors", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), F.coalesce("back_edges", F.array().cast(names)).alias("back_edges"))
+
+
+def _paths(nodes: DataFrame, up: DataFrame) -> DataFrame:
+    """``tree, x, path, depth, root`` along the first parents, by pointer doubling."""
     first = up.groupBy("tree", "x").agg(F.min("y").alias("up"))
     step = materialize(nodes.join(first, ["tree", "x"], "left").select("tree", "x", "up", F.array("x").alias("path")), "step")
     while True:
@@ -362,27 +438,15 @@ def _doubled(links: DataFrame) -> DataFrame:
         step = materialize(step.select("tree", "x", F.col("up2").alias("up"), "path"), "step")
         if not step.filter("up is not null").limit(1).count():
             break
-    ancestors = closure.groupBy("tree", "x").agg(F.sort_array(F.collect_list("y")).alias("ancestors"), F.bool_or(F.col("x") == F.col("y")).alias("on_cycle"))
-    # nodes that are ancestors of each other make a strong component, named after its least
-    mutual = closure.join(closure.select("tree", F.col("y").alias("x"), F.col("x").alias("y")), ["tree", "x", "y"])
-    strong = materialize(mutual.groupBy("tree", "x").agg(F.min("y").alias("strong")), "strong")
-    within = up.join(strong, ["tree", "x"]).join(strong.select("tree", F.col("x").alias("y"), "strong"), ["tree", "y", "strong"])
-    within = within.groupBy("tree", "strong", "x").agg(F.sort_array(F.collect_list("y")).alias("ys"))
-    back = within.repartition("tree", "strong").sortWithinPartitions("tree", "strong").mapInPandas(_back_batches, "tree string, x string, back_edges array<string>")
     ends = step.withColumn("last", F.element_at("path", -1)).join(up.select("tree", F.col("x").alias("last")).distinct().withColumn("more", F.lit(True)), ["tree", "last"], "left")
-    return ends.join(ancestors, ["tree", "x"], "left").join(back, ["tree", "x"], "left").select(
-        "tree",
-        F.col("x").alias("node_id"),
-        F.reverse("path").alias("path"),
-        (F.size("path") - 1).cast("long").alias("depth"),
-        F.when(F.col("more").isNull(), F.col("last")).alias("root"),
-        F.coalesce("ancestors", F.array().cast("array<string>")).alias("ancestors"),
-        F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"),
-        F.coalesce("back_edges", F.array().cast("array<string>")).alias("back_edges"),
-    )
+    return ends.select("tree", "x", F.reverse("path").alias("path"), (F.size("path") - 1).cast("long").alias("depth"), F.when(F.col("more").isNull(), F.col("last")).alias("root"))
+
 
+#: Columns of ``hierarchy`` that grow with the depth of a tree.
+LONG = ("path", "depth", "root", "ancestors")
 
-def hierarchy(links: DataFrame, component_links: int = 500_000) -> DataFrame:
+
+def hierarchy(links: DataFrame, component_links: int = 500_000, columns: Iterable[str] = LONG) -> DataFrame:
     """One row per node of ``tree, node, parent`` links (see ``links_of``).
 
     Returns ``tree, node_id, path`` (root first, down to the node), ``depth, root`` (null if the path leads into
@@ -390,12 +454,15 @@ def hierarchy(links: DataFrame, component_links: int = 500_000) -> DataFrame:
     that were grey when the strong component of the node was walked from its least node, whatever the size of the
     component; without these links there is no cycle). A parent that is no node of its own is a node without a parent.
 
+    Components of up to ``component_links`` links are walked whole. Larger ones go by joins, where of ``LONG`` only
+    ``columns`` are made and others are null: a path per node of a chain of a million nodes has 10 ** 12 names.
+
     Cases: null nodes give nothing, a null parent makes a root, repeated links count once, several parents are
     allowed (``path`` follows the least by name), an empty table gives no rows.
     """
     whole, rest = _placed(links, component_links)
     out = whole.mapInArrow(_walk_partition(), NODES)
-    return out if rest is None else out.unionByName(_doubled(rest))
+    return out if rest is None else out.unionByName(_doubled(rest, columns, component_links))
 
 
 def _placed(links: DataFrame, component_links: int) -> tuple[DataFrame, DataFrame | None]:

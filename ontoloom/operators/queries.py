@@ -37,13 +37,13 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return part.unionByName(sub)
 
 
-def _trees(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchy(_links(spark, d))
+def _trees(spark: SparkSession, d: str, columns: tuple[str, ...] = hierarchy.LONG) -> DataFrame:
+    return hierarchy.hierarchy(_links(spark, d), columns=columns)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that lie on a cycle of parent links."""
-    return _trees(spark, d).filter("on_cycle").select("tree", "node_id")
+    return _trees(spark, d, ()).filter("on_cycle").select("tree", "node_id")
 
 
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:

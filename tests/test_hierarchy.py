@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ontoloom.operators import hierarchy as hierarchy_module
-from ontoloom.operators.hierarchy import NODES, _walk_partition, components, current_version, descendants, hierarchy, links_of, walk, with_counts
+from ontoloom.operators.hierarchy import NODES, _strong_by_joins, _walk_partition, components, current_version, descendants, hierarchy, links_of, walk, with_counts
 
 
 def closure(links):
@@ -137,3 +137,17 @@ def test_components_by_stars_when_tasks_see_little(spark, monkeypatch):
     assert {got.get(i, i) for i in range(400)} == {0} and got[6000] == 5000 and 5000 not in got
     monkeypatch.undo()
     assert got == {r.node: r.component for r in components(df).collect()}
+
+
+@pytest.mark.parametrize("in_one", [10**6, 2])
+def test_long_chains_by_joins(spark, in_one):
+    """A chain with a node of two parents in a ring, a ring of single parents and side chains; no path is made."""
+    n = 3000
+    links = [(f"n{i:05d}", f"n{i - 1:05d}") for i in range(1, n)] + [("n00500", "n02000"), ("n02500", "x1"), ("x1", "x2"), ("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("in", "r1"), ("self", "self"), ("n00100", "r1"), ("n00100", "n00090")]
+    df = spark.createDataFrame([("t", c, p) for c, p in links], "tree string, node string, parent string")
+    got = {r.x: r.strong for r in _strong_by_joins(df, in_one).collect()}
+    want = {f"n{i:05d}" for i in range(500, 2001)} | {"r1", "r2", "r3", "self"}
+    assert set(got) == want and len(set(got.values())) == 3
+    rows = hierarchy(df.filter("node != 'self'"), component_links=10, columns=()).filter("on_cycle").collect()
+    assert {r.node_id for r in rows} == want - {"self"} and all(r.path is None and r.ancestors is None for r in rows)
+    assert sum(len(r.back_edges) for r in rows) == 2
