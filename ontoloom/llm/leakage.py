@@ -97,13 +97,13 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         if len(t) >= SEED:
             h = _seeds(t)
             keys.append(h)
-            item.append(np.full(len(h), len(ids) - 1))
-            pos.append(np.arange(len(h)))
+            item.append(np.full(len(h), len(ids) - 1, np.int32))
+            pos.append(np.arange(len(h), dtype=np.int32))
     cat = lambda x, d: np.concatenate(x) if x else np.empty(0, d)
-    k, it, po = cat(keys, np.uint64), cat(item, np.int64), cat(pos, np.int64)
+    k, it, po = cat(keys, np.uint64), cat(item, np.int32), cat(pos, np.int32)
     order = np.argsort(k, kind="stable")
     u, first, count = np.unique(k[order], return_index=True, return_counts=True)
-    return Index(np.array(ids, np.int64), np.array(starts), cat(parts, np.int64), vocab, {}, u, first, count, it[order], po[order])
+    return Index(np.array(ids, np.int64), np.array(starts), cat(parts, np.int64).astype(np.int32), vocab, {}, u, first.astype(np.int32), count.astype(np.int32), it[order], po[order])
 
 
 class _Running:
@@ -284,7 +284,7 @@ def find_in(text: str, index: Index, rule: Rule, most: int = 1_000_000) -> list[
         np.add.at(seeds, index.item[ref], 1)
     for places, which in _spread(index.count[key], most):
         ref = index.first[key[places]] + which
-        codes.append(np.unique(index.item[ref] * width + (hit[places] - index.pos[ref] + longest) // BAND, return_counts=True))
+        codes.append(np.unique(index.item[ref].astype(np.int64) * width + (hit[places] - index.pos[ref] + longest) // BAND, return_counts=True))
     u, back = np.unique(np.concatenate([x for x, _ in codes]), return_inverse=True)
     c = np.bincount(back, np.concatenate([x for _, x in codes])).astype(np.int64)
     both = c + np.where(np.r_[u[1:] == u[:-1] + 1, False], np.r_[c[1:], 0], 0)
@@ -297,7 +297,7 @@ def find_in(text: str, index: Index, rule: Rule, most: int = 1_000_000) -> list[
     around = SEED * (gaps + 1)  # the end of a run that holds no seed is shorter
     out = []
     for x in sorted(cand):
-        a = index.tokens[index.starts[x] : index.starts[x + 1]]
+        a = index.tokens[index.starts[x] : index.starts[x + 1]].astype(np.int64)
         i, place = _matches(_seeds(a), h[hit])
         d = hit[place]
         seen, seen_cover = (False, 0, 0), 0.0
@@ -332,7 +332,7 @@ def find_in(text: str, index: Index, rule: Rule, most: int = 1_000_000) -> list[
 
 
 def leaked_items(
-    docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rule: Rule | None = None, block_chars: int = 16_000_000
+    docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rule: Rule | None = None, block_chars: int = 4_000_000
 ) -> DataFrame:
     """``doc_id, item_id, run, missing, coverage``: items that a document contains, fully or in part.
 
