@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import threading
 import uuid
 from collections.abc import Callable
+from urllib.parse import quote
+from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ontoloom import store
 from ontoloom.catalog import OBJ, PROVENANCE, RDF, RDFS, XSD, Catalog, CatalogError, ClassDef, PropertyDef, User
 from ontoloom.engine import Engine
 from ontoloom.functions.lexical import date_time, distance_km, mac_in, mac_out, parse_prefix
 from ontoloom.functions.xml import xml_digest
 from ontoloom.graph_queries import CUST, NAT, ORD, PART, REG
 from ontoloom.operators import history
+from ontoloom.server import serve
 from ontoloom.session import shared_dir, table
 from ontoloom.shop import EX, shop
 from ontoloom.sinks import writers
@@ -307,6 +312,79 @@ def schema_sink(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in lines], "value string").filter(F.col("value").contains(f'subClassOf rdf:resource="{EX}Event"'))
 
 
+# stores, servers, hooks
+
+
+@_query(f"select {REG('r_regionkey')} as x, case when r_regionkey = 1 then 'second' else r_name end as n from region")
+def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog saved, loaded, changed, saved to the same folder and loaded again."""
+    folder = f"{shared_dir(spark)}/ontoloom/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex[:12]}"
+    small = shop(spark, d)
+    small = dataclasses.replace(small, classes={c: dataclasses.replace(x, storage="orc" if c == EX + "Region" else "volatile") for c, x in small.classes.items()})
+    store.save(small, folder)
+    for name in ("first", "second"):
+        e = Engine(store.load(small, folder))
+        e.update(f"INSERT DATA {{ ex:region_1 ex:name '{name}' }}")
+        store.save(e.catalog, folder)
+    return Engine(store.load(small, folder)).query("SELECT ?x ?n WHERE { ?x a ex:Region ; ex:name ?n }")
+
+
+def _served(spark: SparkSession, engine: Engine, *requests: tuple[str, str | None]) -> DataFrame:
+    """Lines that a server answers to requests (a path, and the body of a POST), one after another; the last answer."""
+    httpd = serve(engine)
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    try:
+        for path, body in requests:
+            request = Request(f"http://127.0.0.1:{httpd.server_address[1]}{path}", body.encode() if body else None, {"Accept": "text/csv"})
+            with urlopen(request, timeout=300) as reply:
+                text = reply.read().decode()
+    finally:
+        httpd.shutdown()
+        httpd.server_close()
+    return spark.createDataFrame([(x,) for x in text.splitlines()], "value string")
+
+
+@_query("select 'n,k' as value union all select n_name || ',' || count(*) from customer join nation on c_nationkey = n_nationkey group by n_name")
+def server_csv(spark: SparkSession, d: str) -> DataFrame:
+    return _served(spark, Engine(shop(spark, d)), ("/sparql", "SELECT ?n COUNT(?c) AS ?k WHERE { ?c a ex:Customer ; ex:nation ?x . ?x ex:name ?n }"))
+
+
+@_query(f"select 'x' as value union all select {CUST('c_custkey')} from customer where c_nationkey = 3 or c_custkey = 5")
+def server_update(spark: SparkSession, d: str) -> DataFrame:
+    """An update and a query after it, both over HTTP."""
+    return _served(spark, Engine(shop(spark, d)), ("/sparql", "INSERT DATA { ex:customer_5 ex:nation ex:nation_3 }"), ("/sparql", "SELECT ?x WHERE { ?x a ex:Customer ; ex:nation ex:nation_3 }"))
+
+
+@_query(f"""select '<rdf:Description rdf:about="{EX}region_2"><ex:name>' || r_name || '</ex:name><rdf:type rdf:resource="{EX}Region"/></rdf:Description>' as value from region where r_regionkey = 2""")
+def server_data(spark: SparkSession, d: str) -> DataFrame:
+    """The description of a resource by its address."""
+    return _served(spark, Engine(shop(spark, d)), ("/data/" + quote(EX + "region_2", safe=""), None))
+
+
+@_query(f"select trim(x) as value from (select unnest(string_split('[' || (select string_agg('\"' || {NAT('n_nationkey')} || '\"', ', ' order by n_nationkey) from nation) || ']', ', ')) as x)")
+def server_rest(spark: SparkSession, d: str) -> DataFrame:
+    """All ids of a class as JSON, an id per row, in order of keys."""
+    cat = shop(spark, d)
+    c = cat.classes[EX + "Nation"]
+    got = _served(spark, Engine(cat.with_tables({EX + "Nation": (c.table.orderBy("id"), c.prefix)})), ("/rest/Nation", None))
+    return got.select(F.explode(F.split("value", ", ")).alias("value"))
+
+
+@_query(f"select {NAT('n_nationkey')} as x, n_name || ' (loaded)' as n from nation")
+def load_hook(spark: SparkSession, d: str) -> DataFrame:
+    """A load after which a hook changes what is there."""
+    cat = shop(spark, d)
+    folder = f"{shared_dir(spark)}/ontoloom/{spark.sparkContext.applicationId}/hook-{uuid.uuid4().hex[:12]}"
+    writers.write_rdf_xml(cat, folder, [EX + "Nation"])
+
+    def after(loaded: Catalog) -> Catalog:
+        c = loaded.classes[EX + "Nation"]
+        return loaded.with_tables({EX + "Nation": (c.table.withColumn("name", F.concat("name", F.lit(" (loaded)"))), c.prefix)})
+
+    bare = cat.with_tables({EX + "Nation": (cat.classes[EX + "Nation"].table.limit(0), cat.classes[EX + "Nation"].prefix)})
+    return Engine(rdf.load(bare, folder, after=after).catalog).query("SELECT ?x ?n WHERE { ?x a ex:Nation ; ex:name ?n }")
+
+
 # functions
 
 

@@ -114,9 +114,9 @@ _sparql(
 _sparql("class_shape", "SELECT ?c ?n WHERE { ?c rdfs:subClassOf ex:Party ; obj:sizeOf ?n }", f"select * from (values ('{EX}Customer', 6), ('{EX}Supplier', 4)) t(c, n)")
 _sparql("array_explode", "SELECT ?e ?v WHERE { ?e ex:component ?v }", f"select {_iri('vector', 'vec_id')} as e, unnest(embedding) as v from embeddings")
 _sparql("inverse_array", "SELECT ?c ?o WHERE { ?c a ex:Customer ; ex:order ?o }", f"select {CUST('o_custkey')} as c, {ORD('o_orderkey')} as o from orders")
-_sparql("pseudo_time", "SELECT ?e ?t WHERE { ?e a ex:ErrorEvent ; ex:ts_v ?t }", f"select {EVT('event_id')} as e, strftime(ts, '%Y-%m-%dT%H:%M:%S') as t from events where event_type = 'error'")
+_sparql("pseudo_time", "SELECT ?e ?t WHERE { ?e a ex:Event ; ex:ts_v ?t }", f"select {EVT('event_id')} as e, strftime(ts, '%Y-%m-%dT%H:%M:%S') as t from events")
 _AGE = "(epoch(timestamp '2024-02-01 00:00:00')::bigint - floor(epoch(ts))::bigint)"
-_sparql("pseudo_duration", "SELECT ?e ?t WHERE { ?e a ex:ErrorEvent ; ex:age ?t }", f"select {EVT('event_id')} as e, ({_AGE} // 86400) || 'd ' || ({_AGE} % 86400 // 3600) || 'h ' || ({_AGE} % 3600 // 60) || 'm' as t from events where event_type = 'error'")
+_sparql("pseudo_duration", "SELECT ?e ?t WHERE { ?e a ex:Event ; ex:age ?t }", f"select {EVT('event_id')} as e, ({_AGE} // 86400) || 'd ' || ({_AGE} % 86400 // 3600) || 'h ' || ({_AGE} % 3600 // 60) || 'm' as t from events")
 _sparql("hex_adapter", "SELECT ?x ?h WHERE { ?x ex:size_hex ?h }", f"select {PART('p_partkey')} as x, lower(to_hex(p_size)) as h from part")
 _sparql("unknown_predicate", "SELECT ?x ?y WHERE { ?x ex:nothing ?y }", "select c_name as x, c_name as y from customer where false")
 _sparql("user_path", "SELECT ?e ?n WHERE { ?e a ex:Event ; ex:user ?u ; ex:value ?v . ?u ex:name ?n . FILTER(?v > 50) }", f"select {EVT('event_id')} as e, c_name as n from events join customer on user_id = c_custkey where value > 50")
