@@ -52,6 +52,7 @@ def missing_keys(parents: list[DataFrame], children: list[DataFrame]) -> DataFra
         .groupBy(*keys, "day", "at")
         .agg(F.sum("lives").alias("lives"), F.sum("refs").alias("refs"))
     )
+    rows = materialize(rows, "references")  # read twice
     days = rows.groupBy(*keys, "day").agg(F.sum("lives").alias("lives"))
     before = W.partitionBy(*keys).orderBy("day").rowsBetween(W.unboundedPreceding, -1)
     carried = days.select(*keys, "day", F.coalesce(F.sum("lives").over(before), F.lit(0)).alias("carried"))
