@@ -312,6 +312,17 @@ def schema_sink(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in lines], "value string").filter(F.col("value").contains(f'subClassOf rdf:resource="{EX}Event"'))
 
 
+@_query(f"select {CUST('c_custkey')} as x, c_name as n, {NAT('c_nationkey')} as r, c_mktsegment as m from customer")
+def rdf_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as RDF/XML, a node per line, and loaded again from files that are split."""
+    cat = shop(spark, d)
+    c = cat.classes[EX + "Customer"]
+    folder = f"{shared_dir(spark)}/ontoloom/{spark.sparkContext.applicationId}/lines-{uuid.uuid4().hex[:12]}"
+    writers.write_rdf_xml(cat, folder, [c.iri])
+    bare = cat.with_tables({c.iri: (c.table.limit(0), c.prefix)})
+    return Engine(rdf.load(bare, folder, "lines").catalog).query("SELECT ?x ?n ?r ?m WHERE { ?x a ex:Customer ; ex:name ?n ; ex:nation ?r ; ex:mktsegment ?m }")
+
+
 # stores, servers, hooks
 
 

@@ -21,7 +21,7 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Periods without a usable reading: those that are marked as a gap, and those with a value of the curve."""
     filled = F.col("value").isNotNull() & ~F.isnan("value")
-    return _grid(spark, d).filter((F.col("n_readings") == 0) & ((F.col("status") == "gap") | filled)).select(F.col("source").alias("meter"), "period_start")
+    return _grid(spark, d).filter((F.col("status") != "observed") & ((F.col("status") == "gap") | filled)).select(F.col("source").alias("meter"), "period_start")
 
 
 def p1_grid(spark: SparkSession, d: str) -> DataFrame:

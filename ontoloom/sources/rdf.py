@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
+from html import escape
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -35,14 +36,17 @@ def _name(tag: str) -> str:
     return ns + local
 
 
-def parse_rdf_xml(text: str | bytes, base: str = "") -> Iterator[tuple[str, str, str, bool]]:
-    """Triples ``s, p, o, is_resource`` of a document, top-level node by top-level node."""
+def parse_rdf_xml(text: str | bytes, base: str = "", mark: str = "") -> Iterator[tuple[str, str, str, bool]]:
+    """Triples ``s, p, o, is_resource`` of a document, top-level node by top-level node.
+
+    Nodes without a name are numbered, after ``mark``; no ``rdf:nodeID`` can begin as their names do.
+    """
     data = text.encode() if isinstance(text, str) else text
     blank = [0]
 
     def fresh() -> str:
         blank[0] += 1
-        return f"_:n{blank[0]}"
+        return f"_:-{mark}{blank[0]}"
 
     def resolve(ref: str, at: str) -> str:
         return ref if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", ref) else at + ref
@@ -174,6 +178,45 @@ def read_triples(spark: SparkSession, path: str, form: str = "rdfxml", base: str
     return files.mapInPandas(run, TRIPLE_SCHEMA)
 
 
+def read_node_lines(catalog: Catalog, path: str) -> DataFrame:
+    """Triples of RDF/XML files with one top-level node per line (``src, n, s, p, o, r``), as ``write_rdf_xml`` writes them.
+
+    Such a file is split like any text, so one large file is read by many tasks. The prefixes are those of the
+    catalog; lines that begin or end the document are passed over. ``n`` grows along a file; nodes with one
+    ``rdf:nodeID`` are one within a file. A line that is not well-formed gives one row with ``s`` null.
+    """
+    spaces = " ".join(f'xmlns:{p}="{escape(ns)}"' for p, ns in catalog.namespaces.items())
+    head = f'<rdf:RDF {spaces} xml:base="{escape(catalog.base)}">'
+    base = catalog.base
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, place = None, 0
+        for pdf in batches:
+            rows = []
+            for src, block, line in zip(pdf.src, pdf.block, pdf.value):
+                if (src, block) != at:
+                    at, place = (src, block), int(block)
+                start, place = place, place + len(line.encode()) + 1  # a triple takes more than a byte of its line
+                bare = line.strip()
+                if not bare or bare.startswith(("<?xml", "<rdf:RDF", "</rdf:RDF")):
+                    continue
+                own = f"_:{abs(hash_text(src)):x}_"
+                try:
+                    for n, (s, p, o, r) in enumerate(parse_rdf_xml(f"{head}{bare}</rdf:RDF>", base, f"{start}-")):
+                        s, o = (own + x[2:] if x.startswith("_:") and (x is s or r) else x for x in (s, o))
+                        rows.append((src, start + n, s, p, o, r))
+                except ElementTree.ParseError as e:
+                    rows.append((src, start, None, None, f"ParseError: {e}", False))
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=["src", "n", "s", "p", "o", "r"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["src", "n", "s", "p", "o", "r"])
+
+    lines = catalog.spark.read.option("recursiveFileLookup", "true").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("src"), F.col("_metadata.file_block_start").alias("block"), "value").mapInPandas(run, TRIPLE_SCHEMA)
+
+
 def hash_text(s: str) -> int:
     """A number for a text that is the same in every process."""
     h = 1469598103934665603
@@ -253,6 +296,10 @@ def reified(triples: DataFrame) -> DataFrame:
 
 
 def load(catalog: Catalog, path: str, form: str = "rdfxml", after: Callable[[Catalog], Catalog] | None = None) -> Loaded:
-    """Read and merge the files below ``path``; ``after`` may change the catalog once all resources are there."""
-    out = load_triples(catalog, read_triples(catalog.spark, path, form, catalog.base))
+    """Read and merge the files below ``path``; ``after`` may change the catalog once all resources are there.
+
+    ``form`` is ``rdfxml``, ``turtle`` or ``lines`` (RDF/XML with a node per line, which is split over tasks).
+    """
+    triples = read_node_lines(catalog, path) if form == "lines" else read_triples(catalog.spark, path, form, catalog.base)
+    out = load_triples(catalog, triples)
     return replace(out, catalog=after(out.catalog)) if after else out

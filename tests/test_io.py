@@ -132,3 +132,30 @@ def test_rest_lists_every_id(spark, sf):
     catalog = Engine(shop(spark, sf)).catalog
     ids = json.loads(writers.rest(catalog, "/rest/Order")[1])
     assert len(ids) == len(set(ids)) == spark.read.parquet(f"{sf}/orders.parquet").count() > 1000
+
+
+def test_lines_are_split(spark, tmp_path):
+    from ontoloom.sources.rdf import parse_rdf_xml, read_node_lines, read_triples
+
+    cat = catalog(spark)
+    line = '<ex:A rdf:about="%sn%d"><ex:n>%d</ex:n><ex:link><ex:B><ex:s>s%d</ex:s></ex:B></ex:link><ex:many rdf:nodeID="n1"/></ex:A>'
+    body = [line % (EX, i, i, i) for i in range(3000)] + ["<ex:A", "", '<ex:B rdf:nodeID="n1"/>']
+    head = f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:ex="{EX}">'
+    (tmp_path / "a.rdf").write_text("\n".join([head, *body, "</rdf:RDF>"]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = read_node_lines(cat, str(tmp_path / "a.rdf"))
+        assert df.rdd.getNumPartitions() > 5
+        rows = df.orderBy("n").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(r.s is None for r in rows) == 1
+    good = [r for r in rows if r.s is not None]
+    assert len(good) == 3000 * 6 + 1 and len({r.s for r in good}) == 6001
+    assert len({r.o for r in good if r.p == EX + "many"}) == 1 == len({r.s for r in good if r.s.endswith("_n1")})
+    names = [s for s, _, _, _ in parse_rdf_xml(f'{head}<ex:A/><ex:A rdf:nodeID="n1"/></rdf:RDF>')]
+    assert len(set(names)) == 2
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b.rdf").write_text("\n".join([head, *body[:50], "</rdf:RDF>"]))
+    same = lambda x: sorted((r.p, r.o) for r in x.collect() if not r.r)
+    assert same(read_node_lines(cat, str(tmp_path / "b"))) == same(read_triples(spark, str(tmp_path / "b")))
