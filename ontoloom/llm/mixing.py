@@ -159,6 +159,11 @@ class Mixture:
                 at = broadcast_if_small(plan.filter("open").select("source", "threshold"), 64)
                 rows = rows.join(at, (rows["source"] == at["source"]) & (F.shiftright(rows["h"], HASH_BITS - LEVEL_BITS * (level + 1)) == at["threshold"])).select(rows["source"], "h", "tokens")
                 rows = materialize(rows, "boundary")
+                if not rows.limit(1).count():  # nothing is left to refine: all further levels end in their last bucket
+                    rest = LEVEL_BITS * (LEVELS - 1 - level)
+                    ended = F.shiftleft("threshold", rest).bitwiseOR(F.lit((1 << rest) - 1))
+                    plan = materialize(plan.withColumn("threshold", F.when(F.col("open"), ended).otherwise(F.col("threshold"))), "plan")
+                    break
         return plan.select("source", "whole", "threshold")
 
     def rows(self) -> DataFrame:
