@@ -199,29 +199,29 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""select logger_id, case when pt is null then null when pt < time_stamp - uptime then coalesce(data_bytes, 0) else coalesce(data_bytes, 0) - coalesce(pd, 0) end as delta
- from (select *, lag(time_stamp) over w as pt, lag(data_bytes) over w as pd from {_LOG} window w as (partition by meter order by time_stamp, logger_id))""")
+ from (select *, lag(time_stamp) over w as pt, lag(data_bytes) over w as pd from {_LOG} window w as (partition by meter order by time_stamp nulls first, logger_id))""")
 def ts_delta(spark: SparkSession, d: str) -> DataFrame:
     """Growth of the data counter, with restarts."""
     return timeseries.counter_delta(_log(spark, d), source="meter", time="time_stamp", counter="data_bytes", uptime="uptime", tie="logger_id").select("logger_id", "delta")
 
 
 @_query(f"""select meter, sum(delta)::bigint as total from (select meter, case when pt < time_stamp - uptime then coalesce(data_bytes, 0) else coalesce(data_bytes, 0) - coalesce(pd, 0) end as delta
- from (select *, lag(time_stamp) over w as pt, lag(data_bytes) over w as pd from {_LOG} window w as (partition by meter order by time_stamp, logger_id)) where pt is not null) group by 1""")
+ from (select *, lag(time_stamp) over w as pt, lag(data_bytes) over w as pd from {_LOG} window w as (partition by meter order by time_stamp nulls first, logger_id)) where pt is not null) group by 1""")
 def ts_total(spark: SparkSession, d: str) -> DataFrame:
     """Data used by each meter over all restarts."""
     delta = timeseries.counter_delta(_log(spark, d), source="meter", time="time_stamp", counter="data_bytes", uptime="uptime", tie="logger_id")
     return delta.filter("delta is not null").groupBy("meter").agg(F.sum("delta").alias("total"))
 
 
-@_query(f"""with f as (select *, case when lag(time_stamp) over w is null or time_stamp - lag(time_stamp) over w > 3600 or n_client is distinct from lag(n_client) over w then 1 else 0 end as flag from {_LOG} window w as (partition by meter order by time_stamp, logger_id)),
- i as (select *, sum(flag) over (partition by meter order by time_stamp, logger_id rows unbounded preceding) as island from f)
+@_query(f"""with f as (select *, case when lag(time_stamp) over w is null or time_stamp - lag(time_stamp) over w > 3600 or n_client is distinct from lag(n_client) over w then 1 else 0 end as flag from {_LOG} window w as (partition by meter order by time_stamp nulls first, logger_id)),
+ i as (select *, sum(flag) over (partition by meter order by time_stamp nulls first, logger_id rows unbounded preceding) as island from f)
  select meter, n_client, min(time_stamp) as start, max(time_stamp) as stop, count(*) as n from i group by meter, island, n_client""")
 def ts_islands(spark: SparkSession, d: str) -> DataFrame:
     """Stretches with the same number of clients and no long gap."""
     return timeseries.islands(_log(spark, d), source="meter", time="time_stamp", gap=3600, same=["n_client"], tie="logger_id")
 
 
-@_query(f"select meter, from_time, time_stamp as to_time from (select meter, time_stamp, lag(time_stamp) over (partition by meter order by time_stamp, logger_id) as from_time from {_LOG}) where time_stamp - from_time > 3600")
+@_query(f"select meter, from_time, time_stamp as to_time from (select meter, time_stamp, lag(time_stamp) over (partition by meter order by time_stamp nulls first, logger_id) as from_time from {_LOG}) where time_stamp - from_time > 3600")
 def ts_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Down-times of over an hour."""
     return timeseries.breaks(_log(spark, d), source="meter", time="time_stamp", gap=3600, tie="logger_id")
@@ -239,7 +239,7 @@ def ts_scale(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("m")).select("user_id", timeseries.nice_max(F.col("m")).alias("top"))
 
 
-@_query(f"select meter, m.t as time_stamp, m.v as volt from (select meter, min({{'t': time_stamp, 'v': volt}}) as m from {_LOG} where volt is not null and not isnan(volt) and volt <> -1 group by 1)")
+@_query(f"select meter, m.t as time_stamp, m.v as volt from (select meter, min({{'t': time_stamp, 'v': volt}}) as m from {_LOG} where time_stamp is not null and volt is not null and not isnan(volt) and volt <> -1 group by 1)")
 def ts_first_valid(spark: SparkSession, d: str) -> DataFrame:
     """First measured voltage of every meter."""
     return timeseries.first_valid(_log(spark, d), source="meter", time="time_stamp", value="volt", missing=-1.0)
@@ -251,7 +251,7 @@ def ts_day_marks(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.day_marks(table(spark, d, "events"), "ts").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "weekend")
 
 
-@_query(f"select logger_id from (select logger_id, row_number() over w as k, n_client, lag(n_client) over w as b from {_LOG} window w as (partition by meter order by time_stamp, logger_id)) where k = 1 or n_client is distinct from b")
+@_query(f"select logger_id from (select logger_id, row_number() over w as k, n_client, lag(n_client) over w as b from {_LOG} window w as (partition by meter order by time_stamp nulls first, logger_id)) where k = 1 or n_client is distinct from b")
 def ts_compress(spark: SparkSession, d: str) -> DataFrame:
     """Readings at which the number of clients changes."""
     return timeseries.compress(_log(spark, d), source="meter", time="time_stamp", same=["n_client"], tie="logger_id").select("logger_id")

@@ -58,9 +58,9 @@ def recent(df: DataFrame, time: str, length: Column | int) -> DataFrame:
 
 
 def first_valid(df: DataFrame, *, source: str, time: str, value: str, missing: float) -> DataFrame:
-    """First value of each source that is neither null, NaN nor ``missing``; ties take the least value."""
+    """First value of each source that is neither null, NaN nor ``missing``; a null time is never first, ties take the least value."""
     v = F.col(value)
-    return df.filter(v.isNotNull() & ~F.isnan(v) & (v != missing)).groupBy(source).agg(F.min(F.struct(time, value)).alias("__m")).select(source, F.col("__m")[time].alias(time), F.col("__m")[value].alias(value))
+    return df.filter(F.col(time).isNotNull() & v.isNotNull() & ~F.isnan(v) & (v != missing)).groupBy(source).agg(F.min(F.struct(time, value)).alias("__m")).select(source, F.col("__m")[time].alias(time), F.col("__m")[value].alias(value))
 
 
 def nice_max(x: Column) -> Column:
