@@ -8,6 +8,7 @@ where families mix, so joins hash small keys and filters reach the scans.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -22,6 +23,10 @@ from ontoloom.plans.terms import Blank, Count, Describe, Filter, Iri, Lit, Selec
 DOMAIN, RANGE, SUBCLASS, SUBPROPERTY = RDFS + "domain", RDFS + "range", RDFS + "subClassOf", RDFS + "subPropertyOf"
 CARDINALITY = OBJ + "cardinality"
 
+#: Fixed values of joins that multiply rows: rows of a side that share a key and meet the other side's in one task,
+#: rows that a task makes, and result rows for each row that is joined from which on the join is spread.
+BLOCK, TASK_ROWS, FAN = 1000, 8_000_000, 10
+
 
 @dataclass(frozen=True)
 class Binding:
@@ -40,6 +45,7 @@ class Solution:
 
     df: DataFrame
     bindings: dict[str, Binding]
+    unique: frozenset[str] | None = None  # variables by which all rows differ, if known
 
 
 def col_of(name: str) -> str:
@@ -277,7 +283,9 @@ class Planner:
                 if target is None:
                     return None
                 df = df.filter(v == target)
-        return Solution(df.select(*[x.alias(col_of(k)) for k, x in columns.items()]) if columns else df.select(F.lit(1).alias("v_")), binds)
+        several = any(isinstance(t.p, Var) or ((p := props.get(t.p.value)) is not None and (p.multi or p.inverse is not None)) for t in own)
+        subject = frozenset([s.name] if isinstance(s, Var) else [" " + s.name] if iri is None else [])
+        return Solution(df.select(*[x.alias(col_of(k)) for k, x in columns.items()]) if columns else df.select(F.lit(1).alias("v_")), binds, None if several else subject)
 
     def _target_key(self, iri: str, b: Binding) -> Column | None:
         if not b.prefix:
@@ -322,23 +330,28 @@ class Planner:
 
     # joins
 
-    def _same(self, a: Column, x: Binding, b: Column, y: Binding) -> Column:
+    def _sides(self, a: Column, x: Binding, b: Column, y: Binding) -> tuple[Column, Column] | None:
+        """What has to be equal for two values to be the same; None if they never are."""
         if x.kind == y.kind == "res":
-            return a == b if x.prefix == y.prefix else iri_of(a, x) == iri_of(b, y)
+            return (a, b) if x.prefix == y.prefix else (iri_of(a, x), iri_of(b, y))
         if x.kind == y.kind == "lit":
             if type(x.type) is type(y.type):
-                return a == b
+                return a, b
             if isinstance(x.type, T.NumericType) and isinstance(y.type, T.NumericType):
-                return a.cast("double") == b.cast("double")
+                return a.cast("double"), b.cast("double")
         if {x.kind, y.kind} == {"res", "lit"}:
-            return F.lit(False)
-        return text_of(a, x) == text_of(b, y)
+            return None
+        return text_of(a, x), text_of(b, y)
+
+    def _same(self, a: Column, x: Binding, b: Column, y: Binding) -> Column:
+        sides = self._sides(a, x, b, y)
+        return F.lit(False) if sides is None else sides[0] == sides[1]
 
     def unite(self, parts: list[Solution]) -> Solution:
         """Union of the scans of several classes; variables that differ in kind become text."""
         names = list(parts[0].bindings)
         if not names:
-            return Solution(reduce(DataFrame.unionByName, [p.df for p in parts]), {})
+            return Solution(reduce(DataFrame.unionByName, [p.df for p in parts]), {}, parts[0].unique)
         out: dict[str, Binding] = {}
         for n in names:
             bs = [p.bindings[n] for p in parts]
@@ -362,18 +375,67 @@ class Planner:
                     c = iri_of(c, b)
                 cols.append(c.alias(col_of(n)))
             frames.append(p.df.select(*cols))
-        return Solution(reduce(DataFrame.unionByName, frames), out)
+        return Solution(reduce(DataFrame.unionByName, frames), out, None if any(p.unique is None for p in parts) else parts[0].unique)
 
-    def join(self, a: Solution, b: Solution) -> Solution:
+    def join(self, a: Solution, b: Solution, shown: Collection[str] = ()) -> Solution:
+        """All pairs of rows that agree; ``shown``: variables of which only the result is wanted after this."""
         shared = [n for n in a.bindings if n in b.bindings]
+        both = None if a.unique is None or b.unique is None else a.unique | b.unique
         right = b.df
         for n in shared:
             right = right.withColumnRenamed(col_of(n), "r_" + col_of(n))
         if not shared:
-            return Solution(a.df.drop("v_").crossJoin(right.drop("v_")) if a.bindings and b.bindings else self._only(a, b), a.bindings | b.bindings)
+            return Solution(a.df.drop("v_").crossJoin(right.drop("v_")) if a.bindings and b.bindings else self._only(a, b), a.bindings | b.bindings, both)
+        few = [x.unique is not None and x.unique <= set(shared) for x in (a, b)]
+        if not any(few) and (spread := self._spread(a, b, shared, shown)) is not None:
+            return replace(spread, unique=both)
         on = [self._same(F.col(f"`{col_of(n)}`"), a.bindings[n], F.col(f"`r_{col_of(n)}`"), b.bindings[n]) for n in shared]
         df = a.df.join(right, reduce(lambda x, y: x & y, on)).drop(*("r_" + col_of(n) for n in shared))
-        return Solution(df, b.bindings | a.bindings)
+        return Solution(df, b.bindings | a.bindings, a.unique if few[1] else b.unique if few[0] else both)
+
+    def _spread(self, a: Solution, b: Solution, shared: list[str], shown: Collection[str]) -> Solution | None:
+        """The join of sides that both have many rows of a key, in tasks of about the same number of result rows; None
+        if a count proves that the ordinary join makes few.
+
+        The rows of a key are cut into blocks by hash, and every pair of blocks is a key of its own. IRIs of variables
+        that are only shown are built before the rows are multiplied.
+        """
+        sides = [self._sides(F.col(f"`{col_of(n)}`"), a.bindings[n], F.col(f"`{col_of(n)}`"), b.bindings[n]) for n in shared]
+        if None in sides:
+            return None
+        ka, kb = ([f"__{x}{i}" for i in range(len(sides))] for x in "ab")
+        left = a.df.select("*", *[x.alias(k) for (x, _), k in zip(sides, ka)])
+        right = b.df.select("*", *[y.alias(k) for (_, y), k in zip(sides, kb)])
+        kinds = [(left.schema[i].dataType, right.schema[j].dataType) for i, j in zip(ka, kb)]
+        if not all(i == j or (isinstance(i, T.IntegralType) and isinstance(j, T.IntegralType)) for i, j in kinds):
+            return None
+        equal = reduce(lambda x, y: x & y, [F.col(i) == F.col(j) for i, j in zip(ka, kb)])
+        count = F.count(F.lit(1))
+        counts = left.groupBy(*ka).agg(count.alias("__na")).join(right.groupBy(*kb).agg(count.alias("__nb")), equal)
+        product = F.col("__na").cast("double") * F.col("__nb")
+        rows, most, joined = counts.agg(F.sum(product), F.max(product), F.sum(F.col("__na") + F.col("__nb"))).first()
+        if (rows or 0) <= TASK_ROWS or (most <= BLOCK * BLOCK and rows <= FAN * joined):
+            return None
+
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(rows / TASK_ROWS) + 1)
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+
+        def cut(df: DataFrame, s: Solution, keys: list[str], n: str, other: str, names: list[str]) -> DataFrame:
+            """Each row in its block, once for every block of the other side."""
+            own = F.pmod(F.xxhash64(*[f"`{c}`" for c in s.df.columns]), blocks(n))
+            df = df.join(counts.select(*keys, "__na", "__nb"), keys).select(*[F.col(f"`{col_of(v)}`") for v in names], *keys, own.alias(f"_{n}"), every(other).alias(f"_{other}"))
+            df = df.repartition(tasks, *keys, "___na", "___nb")
+            return df.withColumns({col_of(v): iri_of(F.col(f"`{col_of(v)}`"), s.bindings[v]) for v in names if v in texts})
+
+        bindings = b.bindings | a.bindings
+        texts = {v for v in shown if v in bindings and bindings[v].kind == "res" and bindings[v].prefix}
+        left = cut(left, a, ka, "__na", "__nb", list(a.bindings))
+        right = cut(right, b, kb, "__nb", "__na", [v for v in b.bindings if v not in a.bindings])
+        right = right.withColumnsRenamed({"___na": "___ra", "___nb": "___rb"})
+        df = left.join(right.hint("merge"), equal & (F.col("___na") == F.col("___ra")) & (F.col("___nb") == F.col("___rb")))
+        df = df.select(*[f"`{col_of(v)}`" for v in bindings])
+        return Solution(df, {v: replace(x, prefix="") if v in texts else x for v, x in bindings.items()})
 
     @staticmethod
     def _only(a: Solution, b: Solution) -> DataFrame:
@@ -381,8 +443,8 @@ class Planner:
         left, right = (a, b) if a.bindings else (b, a)
         return left.df.crossJoin(right.df.drop("v_").select())
 
-    def solve(self, triples: list[Triple], filters: list[Filter], variables: list[str]) -> Solution:
-        """All solutions of a pattern, as a bag."""
+    def solve(self, triples: list[Triple], filters: list[Filter], variables: list[str], shown: Collection[str] = ()) -> Solution:
+        """All solutions of a pattern, as a bag; resources among ``shown`` may come as IRIs already."""
         stars: dict[Term, list[Triple]] = {}
         for t in triples:
             stars.setdefault(t.s, []).append(t)
@@ -395,7 +457,8 @@ class Planner:
         out = solved.pop(0) if solved else Solution(self.spark.range(1).select(F.lit(1).alias("v_")), {})
         while solved:
             k = next((i for i, x in enumerate(solved) if set(x.bindings) & set(out.bindings)), 0)
-            out = self.join(out, solved.pop(k))
+            b = solved.pop(k)
+            out = self.join(out, b, () if solved else shown)
         for f in filters:
             out = Solution(out.df.filter(self.condition(f, out)), out.bindings)
         return out
@@ -457,9 +520,9 @@ class Planner:
         return [k.asc() if ascending else k.desc() for k in keys]
 
     def select(self, q: Select, default_limit: int | None = None) -> DataFrame:
-        s = self.solve(q.where, q.filters, q.variables)
         items = [Var(v) for v in q.variables] if q.items is None else q.items
         counts = [i for i in items if isinstance(i, Count)]
+        s = self.solve(q.where, q.filters, q.variables, [] if counts else [i.name for i in items])
         if counts:
             groups = [i.name for i in items if isinstance(i, Var) and i.name in s.bindings]
             aggs = [(F.count(F.col(f"`{col_of(c.var)}`")) if c.var in s.bindings else F.lit(0).cast("long")).alias(col_of(c.alias)) for c in counts]
